@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.storage import materialize
+
 #: What parts words, and what counts as a symbol.
 SPACES = " \t\n\x0b\f\r"
 _GAPS, _WORD = r"[ \t\n\x0B\f\r]+", r"[^ \t\n\x0B\f\r]+"
@@ -108,7 +110,7 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def judge_quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed_percent: int = MAX_REMOVED_PERCENT) -> DataFrame:
-    """Measures and verdict of every row of ``docs`` (doc_id, text, source)."""
+    """Measures and verdict of every row of ``docs`` (doc_id, text, source). Write the result before filtering on it."""
     docs = _columns(docs)
     removed = boilerplate_uses(docs, max_docs).groupBy("doc_id", "row_hash").agg(F.sum("words").cast("long").alias("removed_words"))
     rows = measure(docs)
@@ -121,7 +123,9 @@ def judge_quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed_percent
 def apply_quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed_percent: int = MAX_REMOVED_PERCENT) -> DataFrame:
     """Kept rows of ``docs``, boilerplate lines taken out of ``text`` (and ``n_chars``, if there, counted anew)."""
     own = _columns(docs)
-    verdict = judge_quality(own, max_docs, max_removed_percent).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).agg(F.first("kept").alias("_kept"))
+    # written first: a filter on the verdict would be pushed into, and repeat, the expressions that measure a text
+    judged = materialize(judge_quality(own, max_docs, max_removed_percent).select("doc_id", "row_hash", "kept"), "verdicts")
+    verdict = judged.where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).agg(F.first("kept").alias("_kept"))
     lines = boilerplate_uses(own, max_docs).groupBy(F.col("doc_id").alias("_l_id"), F.col("row_hash").alias("_l_hash")).agg(F.collect_set("line").alias("_lines"))
     verdict = verdict.join(lines, F.col("_id").eqNullSafe(F.col("_l_id")) & (F.col("_hash") == F.col("_l_hash")), "left").select("_id", "_hash", "_lines")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
