@@ -8,6 +8,7 @@ keeps the ids of the pieces it has met, and a text costs one regex pass and one
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -17,15 +18,26 @@ import regex
 BYTE_LEVEL_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: printable ones themselves, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class _PieceIds(dict):
-    """Piece to its ids as little-endian unsigned 32-bit bytes; long pieces are not kept."""
+    """Piece to its ids as little-endian unsigned 32-bit bytes; long pieces are not kept.
+
+    A piece goes straight to the library's merge model, in the letters of its bytes.
+    """
 
-    def __init__(self, tokenizer, most: int = 1 << 18, longest: int = 48):
+    def __init__(self, tokenizer, most: int = 600_000, longest: int = 40):
         super().__init__()
-        self.tokenizer, self.most, self.longest = tokenizer, most, longest
+        self.merge, self.letters, self.most, self.longest = tokenizer.model.tokenize, _byte_letters(), most, longest
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        letters = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.merge(letters)]).tobytes()
         if len(piece) <= self.longest:
             if len(self) >= self.most:
                 self.clear()

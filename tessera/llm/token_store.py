@@ -32,7 +32,7 @@ from tessera.llm.token_ids import default_vocabulary, text_encoder
 from tessera.llm.words import mix64
 
 END_ID = 2
-MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 128, 9, 4096
+MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 256, 10, 8192
 SLICE_ROWS = 512
 
 
@@ -98,7 +98,7 @@ _STAGED_DDL = "doc_id long, n_tokens long, hashes array<binary>, sizes array<int
 
 def _stage(vocabulary: str, end_id: int, seen_most: int = 1 << 19):
     def run(batches):
-        encoder, packer = text_encoder(vocabulary), zstandard.ZstdCompressor(level=1)
+        encoder, packer = text_encoder(vocabulary), zstandard.ZstdCompressor(level=3)
         end, seen = np.array([end_id], "<u4").tobytes(), set()
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE_ROWS):
@@ -119,9 +119,7 @@ def _stage(vocabulary: str, end_id: int, seen_most: int = 1 << 19):
                             if len(seen) >= seen_most:
                                 seen.clear()
                             seen.add(address)
-                            wide = len(ids) and int(ids[last:stop].max()) > 0xFFFF
-                            body = piece if wide else ids[last:stop].astype("<u2").tobytes()
-                            payloads.append((b"\4" if wide else b"\2") + packer.compress(body))
+                            payloads.append(encode_payload(ids[last:stop], packer))
                         last = stop
                     for column, value in zip(out, (doc_id, len(ids), hashes, sizes, payloads, _leaf(doc_id, len(ids), hashes)), strict=True):
                         column.append(value)
@@ -130,10 +128,15 @@ def _stage(vocabulary: str, end_id: int, seen_most: int = 1 << 19):
     return run
 
 
+def encode_payload(ids: np.ndarray, packer: zstandard.ZstdCompressor) -> bytes:
+    """Bytes an id (2 or 4), then the ids compressed."""
+    width = 4 if int(ids.max()) > 0xFFFF else 2
+    return bytes([width]) + packer.compress(ids.astype(f"<u{width}").tobytes())
+
+
 def decode_payload(payload: bytes) -> bytes:
     """Ids of one chunk as ``<u4`` bytes."""
-    body = zstandard.ZstdDecompressor().decompress(payload[1:])
-    return body if payload[:1] == b"\4" else np.frombuffer(body, "<u2").astype("<u4").tobytes()
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(payload[1:]), f"<u{payload[0]}").astype("<u4").tobytes()
 
 
 def write_store(docs: DataFrame, path: str, *, vocabulary: str | None = None, end_id: int = END_ID) -> None:

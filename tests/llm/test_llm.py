@@ -222,7 +222,7 @@ def crc(ids):
 
 def test_encoder_gives_the_library_s_ids(spark):
     rng = random.Random(9)
-    texts = [r["text"] for r in awkward(spark).collect()] + ["a  b\n\n c\t\u00a0d 'S it's 12 3.4 <|endoftext|> !!?\u3000\u4e2d\u6587", "x" * 5000]
+    texts = [r["text"] for r in awkward(spark).collect()] + ["a  b\n\n c\t\u00a0d 'S it's 12 3.4 <|endoftext|> !!?\u3000\u4e2d\u6587", "x" * 5000, "a\x1cb \x1d c\x85 d\u2028e \x1c\x1c f\u180e g"]
     texts += ["".join(rng.choice(" \n\tab'sé1.<|\u2009\u00a0") for _ in range(200)) for _ in range(100)]
     encoder = token_ids.TextEncoder(token_ids.default_vocabulary())
     for text, ids in zip(texts, plain_ids(texts, 0), strict=True):
