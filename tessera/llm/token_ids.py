@@ -31,13 +31,16 @@ class _PieceIds(dict):
     A piece goes straight to the library's merge model, in the letters of its bytes.
     """
 
-    def __init__(self, tokenizer, most: int = 600_000, longest: int = 40):
+    def __init__(self, tokenizer, most: int = 500_000, longest: int = 40):
         super().__init__()
         self.merge, self.letters, self.most, self.longest = tokenizer.model.tokenize, _byte_letters(), most, longest
 
-    def __missing__(self, piece: str) -> bytes:
+    def ids(self, piece: str) -> bytes:
         letters = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        ids = array("I", [t.id for t in self.merge(letters)]).tobytes()
+        return array("I", [t.id for t in self.merge(letters)]).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.ids(piece)
         if len(piece) <= self.longest:
             if len(self) >= self.most:
                 self.clear()
@@ -45,6 +48,49 @@ class _PieceIds(dict):
         return ids
 
 
+class _OddSpace(Exception):
+    pass
+
+
+class _ChunkIds(dict):
+    """Ids of what stands between single spaces; ``lead`` is the space before it, or nothing.
+
+    A space or a line end with no other space beside it always begins or is a piece, so such chunks can be encoded one
+    by one. Words are kept; a word with a mark after it is two pieces; what holds a line end is parted there; anything
+    else goes through the pieces' pattern.
+    """
+
+    def __init__(self, pieces: _PieceIds, find, lead: str):
+        super().__init__()
+        self.pieces, self.find, self.lead, self.bare = pieces, find, lead, self
+        self.letter = lead.translate(pieces.letters)
+        self.marks = {c: pieces[c] for c in ",.;:!?"}
+        self.line = pieces["\n"]
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            pieces = self.pieces
+            if chunk.isascii():
+                ids = array("I", [t.id for t in pieces.merge(self.letter + chunk)]).tobytes()
+            else:
+                ids = pieces.ids(self.lead + chunk)
+            if len(chunk) <= pieces.longest:
+                if len(self) >= pieces.most:
+                    self.clear()
+                self[chunk] = ids
+            return ids
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise _OddSpace
+        mark = self.marks.get(chunk[-1])
+        if mark and chunk[:-1].isalpha():
+            return self[chunk[:-1]] + mark
+        if "\n" in chunk:
+            before, after = chunk.split("\n", 1)
+            if not before[-1].isspace() and not after[0].isspace():
+                return self[before] + self.line + self.bare[after]
+        return b"".join(map(self.pieces.__getitem__, self.find(self.lead + chunk)))
+
+
 class TextEncoder:
     """``encode(text)`` gives the ids of a whole text as bytes (``<u4``); null is empty.
 
@@ -59,15 +105,22 @@ class TextEncoder:
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.pieces = _PieceIds(self.tokenizer) if plain and not spec.get("normalizer") else None
         self.find = regex.compile(BYTE_LEVEL_PIECES).findall
+        self.pieces = _PieceIds(self.tokenizer) if plain and not spec.get("normalizer") else None
+        if self.pieces is not None:
+            self.chunks, self.bare = _ChunkIds(self.pieces, self.find, " "), _ChunkIds(self.pieces, self.find, "")
+            self.chunks.bare = self.bare
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.pieces is None:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+        first, *rest = text.split(" ")
+        try:
+            return b"".join([self.bare[first], *map(self.chunks.__getitem__, rest)])
+        except _OddSpace:
+            return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
 
 @lru_cache(maxsize=2)

@@ -201,20 +201,27 @@ def _chunk_sums(batches):
             yield pa.record_batch([pa.array(hashes, pa.binary()), part.column(1), pa.array(sums, pa.int64())], names=names)
 
 
-def join_crc(first: int, second: int, zeros: bytes) -> int:
-    """CRC-32 of two byte strings in a row; ``zeros`` is as long as the second."""
-    return zlib.crc32(zeros, first) ^ zlib.crc32(zeros) ^ second
+_ZEROS = bytes(4 * MAX_CHUNK)
+
+
+@lru_cache(maxsize=MAX_CHUNK + 1)
+def _zeros_crc(size: int) -> int:
+    return zlib.crc32(_ZEROS[:size])
+
+
+def join_crc(first: int, second: int, size: int) -> int:
+    """CRC-32 of two byte strings in a row, from theirs; ``size`` is the second's, at most that of a chunk."""
+    return zlib.crc32(memoryview(_ZEROS)[:size], first) ^ _zeros_crc(size) ^ second
 
 
 def _document_sums(batches):
     """CRC of whole documents from those of their chunks in order."""
-    zeros = bytes(4 * MAX_CHUNK)
     for batch in batches:
         crcs = []
         for chunks in batch.column(3).to_pylist():
             crc = 0
-            for c in chunks:
-                crc = join_crc(crc, c["crc"], zeros[: 4 * c["n_ids"]])
+            for k, c in enumerate(chunks):
+                crc = join_crc(crc, c["crc"], 4 * c["n_ids"]) if k else c["crc"]
             crcs.append(crc)
         n = [sum(c["n_ids"] for c in chunks) for chunks in batch.column(3).to_pylist()]
         if n != batch.column(2).to_pylist():
