@@ -45,6 +45,8 @@ MATCH, MATCH_ALL = 17, 38
 NEAR, FAR = 60, 75
 #: Of 64 coordinates, how many a document near the pivot shows but with a probability of 1e-7.
 NEAR_MATCH = 18
+#: Places of the sieve that spares texts a move: a bound on what is broadcast, 16 MB.
+SIEVE = 1 << 20
 _BYTES = [f"b{k}" for k in range(COORDINATES // 8)]
 
 _SEEDS = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -208,6 +210,14 @@ def _shared(postings: DataFrame) -> DataFrame:
     return postings.join(lists, "token", "left_semi")
 
 
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose id is not ``wanted``, before their texts are moved: ids are hashed to
+    SIEVE places, and at most so many, those that are taken, are broadcast."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)).alias("_place")
+    taken = wanted.select(place).distinct()
+    return docs.select("*", place).join(F.broadcast(taken), "_place", "left_semi").drop("_place")
+
+
 def find_links(docs: DataFrame, reps: DataFrame, width: int = WIDTH) -> DataFrame:
     """Linked pairs (a, b) of representatives that hold every component together."""
     postings = materialize(_shared(_postings(reps)), "postings")
@@ -215,7 +225,7 @@ def find_links(docs: DataFrame, reps: DataFrame, width: int = WIDTH) -> DataFram
     star = postings.join(lists, "token").where((F.col("doc_id") != F.col("pivot")) & _alike("n_shingles", "p_n", NEAR) & (matches("", "p_") >= NEAR_MATCH))
     star = star.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     wanted = postings.select("doc_id").distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
+    texts = _likely(docs, wanted).join(wanted, "doc_id", "left_semi").select("doc_id", "text")
     sets = materialize(texts.mapInArrow(_shingle_rows(width), "doc_id long, shingles array<long>"), "shingles")
     near = _similarity(_with_sets(star, sets)).withColumn("linked", _linked())
     near = materialize(near.where(100 * F.col("common") >= NEAR * F.col("either")).select("a", "b", "linked", "common", "either"), "near")
