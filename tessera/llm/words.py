@@ -21,7 +21,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word (bytes) to its 64-bit hash, for each worker process."""
 
-    def __init__(self, most: int = 1 << 19):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
