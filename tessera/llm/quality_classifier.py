@@ -88,9 +88,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> n
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # so many rows at most are broadcast
     texts = docs.join(F.broadcast(known), "doc_id").select("label", "text")
     found = texts.mapInArrow(_features, "label int, at array<int>, value array<float>").toArrow()
-    arrays = zip(*(found.column(c).to_pylist() for c in ("label", "at", "value")), strict=True)
-    rows = sorted(((y, np.array(a, np.int32), np.array(v, np.float32)) for y, a, v in arrays), key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
-    return train(rows) if rows else np.zeros((1 << BITS) + 1, np.float32)
+    if not found.num_rows:
+        return np.zeros((1 << BITS) + 1, np.float32)
+    label, at, value = (found.column(c).combine_chunks() for c in ("label", "at", "value"))
+    bounds, places_of, values = at.offsets.to_numpy(), at.values.to_numpy(), value.values.to_numpy()
+    rows = [(y, places_of[lo:hi], values[lo:hi]) for y, lo, hi in zip(label.to_pylist(), bounds[:-1], bounds[1:], strict=True)]
+    rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
+    return train(rows)
 
 
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
