@@ -13,8 +13,10 @@
      link allows), so the differences of the members are posted again, rarest first, with prefix lengths by which
      a link cannot be missed (delta).
    * otherwise both are further than FAR = NEAR - 0.15 (the triangle inequality of Jaccard distance): they stay in
-     the list (residue). A document with more than 15 % of its shingles in no other residual document can have no
-     link and leaves; the rest are compared in full by 64 coordinates, and pairs above the threshold confirmed.
+     the list (residue), marked if near the pivot: two marked ones were compared in delta. A document with more than
+     15 % of its shingles in no other residual document can have no link and leaves, and so does a list of marked
+     ones only. A list takes up to TURNS pivots, unmarked ones first; what is left then is compared by 64
+     coordinates, each pair in one list only, and pairs above the threshold are confirmed.
 4. Links are contracted to components by repeated hops to the smallest neighbour.
 
 A pair at the limit 0.85 agrees in fewer than MATCH of 32 coordinates with a probability of 3.5e-6, and in fewer than
@@ -27,6 +29,8 @@ no rows; other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -45,6 +49,8 @@ MATCH, MATCH_ALL = 17, 38
 NEAR, FAR = 60, 75
 #: Of 64 coordinates, how many a document near the pivot shows but with a probability of 1e-7.
 NEAR_MATCH = 18
+#: Pivots that a list takes one after another before what they leave open is compared in pairs.
+TURNS = 2
 #: Places of the sieve that spares texts a move: a bound on what is broadcast, 16 MB.
 SIEVE = 1 << 20
 _BYTES = [f"b{k}" for k in range(COORDINATES // 8)]
@@ -149,12 +155,20 @@ def _postings(reps: DataFrame) -> DataFrame:
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """The pivot of each list of two or more: the heaviest document, then the smallest."""
-    best = F.max(F.struct("weight", (-F.col("doc_id")).alias("neg"), "n_shingles", *_BYTES)).alias("p")
+    """The pivot of each list of two or more: a document near no pivot so far, the heaviest, then the smallest."""
+    best = F.max(F.struct(F.expr("near = 0").alias("new"), "weight", (-F.col("doc_id")).alias("neg"), "n_shingles", *_BYTES)).alias("p")
     lists = postings.groupBy("token").agg(best, F.count("*").alias("size")).where("size > 1")
     return lists.select("token", (-F.col("p.neg")).alias("pivot"), F.col("p.n_shingles").alias("p_n"), *(F.col(f"p.{b}").alias(f"p_{b}") for b in _BYTES))
 
 
+def _near(postings: DataFrame, lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pivots (a) and the members of their lists (b) that are near them."""
+    star = postings.join(lists, "token").where((F.col("doc_id") != F.col("pivot")) & _alike("n_shingles", "p_n", NEAR) & (matches("", "p_") >= NEAR_MATCH))
+    star = star.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    near = _similarity(_with_sets(star, sets)).withColumn("linked", _linked())
+    return near.where(100 * F.col("common") >= NEAR * F.col("either")).select("a", "b", "linked", "common", "either")
+
+
 def _delta_links(near: DataFrame, sets: DataFrame) -> DataFrame:
     """Links among documents near one pivot of which at least one is not linked to it.
 
@@ -186,27 +200,37 @@ def _delta_links(near: DataFrame, sets: DataFrame) -> DataFrame:
     return _similarity(_with_sets(pairs, sets)).where(_linked()).select("a", "b")
 
 
-def _residual_links(postings: DataFrame, near: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among documents of one list of which neither is settled by its pivot."""
-    lists = _lists(postings).select("token", "pivot")
-    settled = near.where(100 * F.col("common") >= FAR * F.col("either")).select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"))
-    rest = postings.join(lists, "token").where("doc_id <> pivot").join(settled, ["pivot", "doc_id"], "left_anti").drop("pivot", "weight")
-    rest = materialize(_shared(rest), "residue")
+def _residue(postings: DataFrame, lists: DataFrame, near: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
+    """Postings that the pivots of this turn do not settle; bit ``turn`` of ``near`` marks documents near theirs."""
+    seen = near.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), (100 * F.col("common") >= FAR * F.col("either")).alias("settled"))
+    rest = postings.join(lists.select("token", "pivot"), "token").where("doc_id <> pivot").join(seen, ["pivot", "doc_id"], "left")
+    rest = rest.where(~F.coalesce("settled", F.lit(False))).withColumn("near", F.col("near").bitwiseOR(F.when(F.col("settled").isNotNull(), 1 << turn).otherwise(0)))
+    rest = materialize(_shared(rest.drop("pivot", "settled")), "residue")
     docs = rest.select("doc_id").distinct()
     held = sets.join(docs, "doc_id", "left_semi").select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("e"))
     alone = held.groupBy("e").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other"), F.min("n").alias("n")).where("doc_id = other")
     closed = alone.groupBy("doc_id").agg(F.count("*").alias("own"), F.min("n").alias("n")).where(LINK[0] * F.col("own") > (LINK[0] - LINK[1]) * F.col("n"))
-    rest = materialize(_shared(rest.join(closed, "doc_id", "left_anti")), "residue")
-    x = rest.select("token", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n_shingles", *_BYTES)))
-    y = rest.select("token", *(F.col(c).alias(f"y_{c}") for c in ("doc_id", "n_shingles", *_BYTES)))
-    pairs = x.join(y, (x["token"] == y["token"]) & (F.col("x_doc_id") < F.col("y_doc_id")) & _alike("x_n_shingles", "y_n_shingles", LINK[1]) & (matches("x_", "y_") >= MATCH_ALL))
+    return materialize(_shared(rest.join(closed, "doc_id", "left_anti")), "residue")
+
+
+def _residual_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between residual documents of one list that were near no pivot in common. The first list that two
+    documents share reports them."""
+    rest = rest.join(rest.groupBy("doc_id").agg(F.collect_set("token").alias("tokens")), "doc_id")
+    columns = ("doc_id", "n_shingles", "near", "tokens", *_BYTES)
+    x = rest.select("token", *(F.col(c).alias(f"x_{c}") for c in columns))
+    y = rest.select("token", *(F.col(c).alias(f"y_{c}") for c in columns))
+    unseen = F.col("x_near").bitwiseAND(F.col("y_near")) == 0
+    likely = unseen & _alike("x_n_shingles", "y_n_shingles", LINK[1]) & (matches("x_", "y_") >= MATCH_ALL)
+    first = F.array_min(F.array_intersect("x_tokens", "y_tokens")) == x["token"]
+    pairs = x.join(y, (x["token"] == y["token"]) & (F.col("x_doc_id") < F.col("y_doc_id")) & likely & first)
     pairs = pairs.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
     return _similarity(_with_sets(pairs, sets)).where(_linked()).select("a", "b")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """Postings whose list has two documents or more."""
-    lists = postings.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token")
+    """Postings whose list has two documents or more that were not all near one pivot."""
+    lists = postings.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bit_and("near").alias("all_near")).where("lo < hi and all_near = 0").select("token")
     return postings.join(lists, "token", "left_semi")
 
 
@@ -220,18 +244,20 @@ def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def find_links(docs: DataFrame, reps: DataFrame, width: int = WIDTH) -> DataFrame:
     """Linked pairs (a, b) of representatives that hold every component together."""
-    postings = materialize(_shared(_postings(reps)), "postings")
-    lists = _lists(postings)
-    star = postings.join(lists, "token").where((F.col("doc_id") != F.col("pivot")) & _alike("n_shingles", "p_n", NEAR) & (matches("", "p_") >= NEAR_MATCH))
-    star = star.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    postings = materialize(_shared(_postings(reps).withColumn("near", F.lit(0))), "postings")
     wanted = postings.select("doc_id").distinct()
     texts = _likely(docs, wanted).join(wanted, "doc_id", "left_semi").select("doc_id", "text")
     sets = materialize(texts.mapInArrow(_shingle_rows(width), "doc_id long, shingles array<long>"), "shingles")
-    near = _similarity(_with_sets(star, sets)).withColumn("linked", _linked())
-    near = materialize(near.where(100 * F.col("common") >= NEAR * F.col("either")).select("a", "b", "linked", "common", "either"), "near")
-    delta = _delta_links(near, sets)
-    residue = _residual_links(postings, near, sets)
-    return near.where("linked").select("a", "b").union(delta).union(residue).distinct()
+    links, rest = [], postings
+    for turn in range(TURNS):
+        lists = materialize(_lists(rest), "lists")
+        near = materialize(_near(rest, lists, sets), "near")
+        links += [near.where("linked").select("a", "b"), _delta_links(near, sets)]
+        rest = _residue(rest, lists, near, sets, turn)
+        if rest.isEmpty():
+            break
+    links.append(_residual_links(rest, sets))
+    return reduce(DataFrame.union, links).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
