@@ -70,3 +70,40 @@ def morton(p: Vec, lo: Vec, hi: Vec) -> Column:
     """30-bit Morton code of a point in a box: 1024 steps an axis, x highest."""
     step = [F.least(F.greatest(F.floor(1024 * (p[k] - lo[k]) / (hi[k] - lo[k])), F.lit(0)), F.lit(1023)).cast("long") for k in range(3)]
     return 4 * spread_bits(step[0]) + 2 * spread_bits(step[1]) + spread_bits(step[2])
+
+
+def lerp(a: Column, b: Column, t: Column) -> Column:
+    return a * (1 - t) + b * t
+
+
+def clamp(x: Column, lo, hi) -> Column:
+    return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+
+
+def normalized(a: Vec) -> Vec:
+    """Unit vector; zero where there is none."""
+    size = length(a)
+    return tuple(F.when(size > 0, x / size).otherwise(0.0) for x in a)
+
+
+def determinant(rows: tuple[Vec, Vec, Vec]) -> Column:
+    return dot(rows[0], cross(rows[1], rows[2]))
+
+
+def inverse(rows: tuple[Vec, Vec, Vec]) -> tuple[Vec, Vec, Vec]:
+    """Inverse of a 3x3 matrix; null where the determinant is 0."""
+    d = determinant(rows)
+    columns = cross(rows[1], rows[2]), cross(rows[2], rows[0]), cross(rows[0], rows[1])
+    return tuple(tuple(F.when(d != 0, columns[c][r] / d) for c in range(3)) for r in range(3))
+
+
+def quaternion_product(p: tuple, q: tuple) -> tuple:
+    """Of quaternions (x, y, z, w)."""
+    v = cross(p[:3], q[:3])
+    return (*(p[3] * q[k] + q[3] * p[k] + v[k] for k in range(3)), p[3] * q[3] - dot(p[:3], q[:3]))
+
+
+def circular_segments(radius: Column, angle: float = 10.0, edge: float = 1.0) -> Column:
+    """Segments of a circle: the fewer of those that a smallest angle and a smallest edge ask for, in fours, 4 at least."""
+    n = F.least(F.lit(int(360 / angle)), F.floor(2 * 3.141592653589793 * radius / edge)).cast("int") + 3
+    return F.greatest(n - n % 4, F.lit(4))

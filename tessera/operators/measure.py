@@ -55,3 +55,16 @@ def polygon_measures(points: DataFrame) -> DataFrame:
     df = points.select("mesh_id", "x", "y", nxt["x"].alias("qx"), nxt["y"].alias("qy"))
     area = F.sum(F.col("x") * F.col("qy") - F.col("y") * F.col("qx")) / 2
     return df.groupBy("mesh_id").agg(F.count("*").alias("n"), area.alias("area"), *(f(c).alias(f"{k}_{c}") for k, f in (("min", F.min), ("max", F.max)) for c in "xy"))
+
+
+def checks(tris: DataFrame) -> DataFrame:
+    """mesh_id, triangles without area, whether all corners are finite, and how many vertices are used."""
+    n = cross(sub(vec("b"), vec("a")), sub(vec("c"), vec("a")))
+    finite = [F.abs(F.col(p + c)) < float("inf") for p in "abc" for c in "xyz"]
+    whole = finite[0]
+    for f in finite[1:]:
+        whole = whole & f
+    used = F.explode(F.array("v0", "v1", "v2")).alias("v")
+    count = tris.select("mesh_id", used).distinct().groupBy("mesh_id").agg(F.count("*").alias("n_used"))
+    flags = tris.groupBy("mesh_id").agg(F.count_if(length(n) == 0).alias("n_degenerate"), F.min(F.coalesce(whole, F.lit(False))).alias("is_finite"))
+    return flags.join(count, "mesh_id")

@@ -7,10 +7,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import measure, shapes, spatial, topology
-from tessera.plans.queries import ORACLE_SQL, QUERIES
+from tessera.operators import measure, shapes, solids, spatial, topology
+from tessera.plans import queries, solid_queries
 from tessera.sources import obj
 
+QUERIES = {**queries.QUERIES, **solid_queries.QUERIES}
+ORACLE_SQL = {**queries.ORACLE_SQL, **solid_queries.ORACLE_SQL}
 SF = "/root/testdata/sf0.001"
 TABLES = ("part", "lineitem", "embeddings")
 
@@ -107,3 +109,34 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 200
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_constructors_are_closed(spark):
+    ring = shapes.circle(spark.createDataFrame([(1, 1.0, 7)], "mesh_id long, radius double, segments int"))
+    knobs = {"height": F.lit(2.0), "divisions": F.lit(3), "twist": F.lit(50.0), "scale_top": F.lit(0.5)}
+    twisted = solids.extrude(ring.withColumns(knobs))
+    cone = solids.extrude(ring.withColumns({**knobs, "scale_top": F.lit(0.0)}))
+    turned = solids.revolve(ring.withColumns({"x": F.col("x") + 2, "segments": F.lit(5)}))
+    ball = solids.sphere(spark.createDataFrame([(1, 1.0, 3)], "mesh_id long, radius double, n int"))
+    for tris in (twisted, cone, turned, ball, solids.refine(twisted, 4)):
+        assert tris.groupBy("mesh_id", "tri").count().where("count > 1").count() == 0
+        check, size = topology.manifold_check(tris).first(), measure.measures(tris).first()
+        assert check["is_2_manifold"] and size["volume"] > 0
+    assert ball.count() == 72 and solids.extrude(ring.withColumns({**knobs, "height": F.lit(0.0)})).count() == 0
+    assert solids.refine(ball, 1).count() == 72
+
+
+def test_winding_and_pieces(spark):
+    ball = solids.sphere(spark.createDataFrame([(1, 1.0, 4)], "mesh_id long, radius double, n int"))
+    points = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 1.5), (3, 0.3, 0.3, -0.3), (4, 0.9, 0.9, 0.0), (5, None, 0.0, 0.0)], "id long, x double, y double, z double")
+    inside = {(r["id"], r["winding"]) for r in solids.winding_numbers(points, ball, 0.4).collect()}
+    assert inside == {(1, 1), (3, 1)}
+    two = solids.compose(shapes.triangles(one(spark)), shapes.triangles(one(spark, tx=5.0)))
+    assert {r["piece"] for r in solids.decompose(two).select("piece").distinct().collect()} == {0, 8}
+
+
+def test_trim_of_a_ball(spark):
+    ball = solids.sphere(spark.createDataFrame([(1, 1.0, 8)], "mesh_id long, radius double, n int"))
+    whole = measure.measures(ball).first()["volume"]
+    halves = [measure.measures(solids.trim_above(t.withColumn("height", F.lit(0.2))).withColumns({"v0": F.lit(0), "v1": F.lit(0), "v2": F.lit(0)})).first()["volume"] for t in (ball, shapes.affine(ball, [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, -1, 0.4]))]
+    assert abs(sum(halves) - whole) < 1e-9 and 0 < halves[0] < halves[1]
