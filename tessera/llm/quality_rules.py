@@ -5,8 +5,8 @@ hashed, and for each host (``source``) the distinct documents that hold a line a
 ``max_docs`` of them is boilerplate. A document is depleted, and rejected, if boilerplate makes up more than
 ``max_removed_share`` percent of its words.
 
-Copies of one document count once: a document is known by its four smallest distinct line hashes, so a group of
-copies does not turn its own prose into boilerplate.
+Copies of one document count once: a document is known by the whole set of its line hashes, so a group of copies does
+not turn its own prose into boilerplate. One line of its own makes a document a different one.
 
 Defined cases: null text has no words and fails the base rules; null source is the host ''; null doc_id and repeated
 rows are judged each; an empty table gives no rows; other columns are not read.
@@ -25,6 +25,7 @@ _GAPS, _WORD = r"[ \t\n\x0B\f\r]+", r"[^ \t\n\x0B\f\r]+"
 _SYMBOL = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_DOCS, MAX_REMOVED_PERCENT = 20, 50
+#: Only the SQL still knows a document by so many line hashes.
 SKETCH = 4
 
 
@@ -79,21 +80,21 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def line_uses(docs: DataFrame) -> DataFrame:
-    """One row a line: doc_id, row_hash, host, sketch, pos, line (hash), words in it."""
+    """One row a line: doc_id, row_hash, host, doc (hash of its set of lines), pos, line (hash), words in it."""
     df = docs.select(*row_key(), F.coalesce("source", F.lit("")).alias("host"), lines_of(F.coalesce("text", F.lit(""))).alias("lines"))
     held = lambda x: F.struct(line_hash(x).alias("line"), F.regexp_count(x, F.lit(_WORD)).alias("words"))
     df = df.select("doc_id", "row_hash", "host", F.transform("lines", held).alias("held"))
-    known = F.substring(F.md5(F.array_join(F.slice(F.sort_array(F.array_distinct(F.col("held.line"))), 1, SKETCH), "")), 1, 16)
-    df = df.select("doc_id", "row_hash", "host", known.alias("sketch"), F.posexplode("held").alias("pos", "held"))
-    return df.select("doc_id", "row_hash", "host", "sketch", "pos", "held.line", "held.words")
+    known = F.substring(F.md5(F.array_join(F.sort_array(F.array_distinct(F.col("held.line"))), "")), 1, 16)
+    df = df.select("doc_id", "row_hash", "host", known.alias("doc"), F.posexplode("held").alias("pos", "held"))
+    return df.select("doc_id", "row_hash", "host", "doc", "pos", "held.line", "held.words")
 
 
 def boilerplate_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """host, line, n_docs of lines in more than ``max_docs`` distinct documents of a host.
 
-    Distinct (host, line, sketch) rows are formed first, which spreads a very common line over all tasks.
+    Distinct (host, line, doc) rows are formed first, which spreads a very common line over all tasks.
     """
-    held = line_uses(docs).select("host", "line", "sketch").distinct()
+    held = line_uses(docs).select("host", "line", "doc").distinct()
     return held.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
 
 

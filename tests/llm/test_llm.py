@@ -380,6 +380,17 @@ def test_quality_stage_takes_lines_out(spark):
     assert found == expected
 
 
+def test_documents_that_share_most_lines_count_each(spark):
+    rng = random.Random(6)
+    own = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    shared = [own(5) for _ in range(30)]
+    rows = [(k, "\n".join([*shared, own(8)]), host) for host, base, n in (("over", 0, 21), ("at", 100, 20)) for k in range(base, base + n)]
+    rows += [(200 + k, "\n".join([own(60), "a line of copies"]), "copies") for k in (0,)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {(r["doc_id"], r["removed_words"], r["kept"]) for r in quality_rules.judge_quality(docs).collect()}
+    assert found == {(k, 150, False) for k in range(21)} | {(k, 0, True) for k in range(100, 120)} | {(200, 0, True)}
+
+
 def test_quality_plan_has_no_python(spark):
     plan = quality_rules.judge_quality(table(spark, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
