@@ -56,8 +56,8 @@ class _ChunkIds(dict):
     """Ids of what stands between single spaces; ``lead`` is the space before it, or nothing.
 
     A space or a line end with no other space beside it always begins or is a piece, so such chunks can be encoded one
-    by one. Words are kept; a word with a mark after it is two pieces; what holds a line end is parted there; anything
-    else goes through the pieces' pattern.
+    by one. Words are kept; a word with a mark after it is two pieces; what holds line ends is parted at all of
+    them at once, as there may be any number; anything else goes through the pieces' pattern.
     """
 
     def __init__(self, pieces: _PieceIds, find, lead: str):
@@ -85,9 +85,9 @@ class _ChunkIds(dict):
         if mark and chunk[:-1].isalpha():
             return self[chunk[:-1]] + mark
         if "\n" in chunk:
-            before, after = chunk.split("\n", 1)
-            if not before[-1].isspace() and not after[0].isspace():
-                return self[before] + self.line + self.bare[after]
+            first, *rest = chunk.split("\n")
+            if not first[-1].isspace() and all(x and not x[0].isspace() and not x[-1].isspace() for x in rest):
+                return self.line.join([self[first], *map(self.bare.__getitem__, rest)])
         return b"".join(map(self.pieces.__getitem__, self.find(self.lead + chunk)))
 
 

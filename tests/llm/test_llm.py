@@ -229,6 +229,17 @@ def test_encoder_gives_the_library_s_ids(spark):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids[:-1]
 
 
+def test_encoder_takes_any_number_of_line_ends_without_a_space():
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    lines = [word() + rng.choice(("", ",", "7", "\u4e2d", "...")) for _ in range(5000)]
+    texts = ["\n".join(word() for _ in range(5000)), "\n".join(lines), "two words " + "\n".join(lines) + " end", "\n".join([*lines, "", *lines]), "\n".join([*lines[:9], "\tx", "y\t", *lines])]
+    texts += ["\n".join("\u4e2d\u6587\u5b57" for _ in range(5000)), "\r\n".join(lines), "\n".join(lines) + "\n"]
+    encoder = token_ids.TextEncoder(token_ids.default_vocabulary())
+    for text, ids in zip(texts, plain_ids(texts, 0), strict=True):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids[:-1]
+
+
 def check_packing(docs, found):
     ids = defaultdict(list)
     for r, x in zip(docs, plain_ids([r["text"] for r in docs], 1), strict=True):
