@@ -34,8 +34,8 @@ _ORDER = {kind: k for k, kind in enumerate(KINDS)}
 
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-#: base64 of a DER sequence with a long-form length begins MI or MH, of an OpenSSH key b3BlbnNzaC1rZXk.
-BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[IH]|b3BlbnNzaC1rZXk)[A-Za-z0-9+/_-]{38,}={0,2}")
+#: base64 of a DER sequence begins MA to MH if its length is in the short form, MI if in the long one, of an OpenSSH key b3BlbnNzaC1rZXk.
+BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-I]|b3BlbnNzaC1rZXk)[A-Za-z0-9+/_-]{38,}={0,2}")
 HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
 _SSH = b"openssh-key-v1\0"
 

@@ -72,6 +72,22 @@ def der(tag, body):
     return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x80 | (k := (n.bit_length() + 7) // 8)]) + n.to_bytes(k, "big")) + body
 
 
+def test_keys_with_a_short_length_are_confirmed():
+    rng = random.Random(8)
+    oid = {"ed25519": b"\x2b\x65\x70", "x25519": b"\x2b\x65\x6e", "ed448": b"\x2b\x65\x71"}
+    for name, size in (("ed25519", 32), ("x25519", 32), ("ed448", 57)):
+        key = der(0x30, der(2, b"\0") + der(0x30, der(6, oid[name])) + der(4, der(4, rng.randbytes(size))))
+        text = base64.b64encode(key).decode()
+        assert text[:6] == ("MEcCAQ" if name == "ed448" else "MC4CAQ")
+        found = secret_scan.confirmed_spans(f"a {text} b")
+        assert found == [("der_key", 2, 2 + len(text))]
+        assert secret_scan.redact(f"a {text} b", found) == "a [SECRET] b"
+        assert secret_scan.confirmed_spans(f"a {text[:44]} b") == []
+    for first in range(16):
+        body = bytes([0x30, rng.randrange(first * 8, first * 8 + 8)]) + rng.randbytes(90)
+        assert secret_scan.confirmed_spans(f"a {base64.b64encode(body).decode()}") == []
+
+
 def test_structures_are_confirmed_and_look_alikes_are_not():
     rng = random.Random(1)
     number = lambda k: der(2, b"\1" + rng.randbytes(k - 1))
