@@ -165,11 +165,20 @@ def _spread_sql(n: int) -> str:
 MORTON_SQL = f"SELECT vec_id, CAST(4 * ({_spread_sql(1)}) + 2 * ({_spread_sql(2)}) + ({_spread_sql(3)}) AS BIGINT) AS code FROM embeddings"
 
 
-def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = _table(spark, sf_dir, "lineitem").where("l_quantity = 1 and l_linenumber = 1")
+def _part_supplier_components(line: DataFrame) -> DataFrame:
     return topology.connected_components(line.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b")))
 
 
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the few edges that the recursive SQL can follow; ``components_whole`` takes all."""
+    return _part_supplier_components(_table(spark, sf_dir, "lineitem").where("l_quantity = 1 and l_linenumber = 1"))
+
+
+def components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL form, the recursive one is too slow; tested against union-find."""
+    return _part_supplier_components(_table(spark, sf_dir, "lineitem"))
+
+
 COMPONENTS_SQL = """WITH RECURSIVE l AS (SELECT l_partkey AS a, l_suppkey + 1000000000 AS b FROM lineitem WHERE l_quantity = 1 AND l_linenumber = 1),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), w AS (SELECT a AS node, a AS seen FROM e UNION SELECT w.node, e.b FROM w JOIN e ON w.seen = e.a)
 SELECT node, min(seen) AS component FROM w GROUP BY node"""
@@ -249,7 +258,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         solid_measures, tetra_measures, halfedge_pairing, manifold_check, open_edges, vertex_normals, gauss_curvature, affine_transform, sind_cosd, aabb_self_join,
-        aabb_overlap_join, box_booleans, morton_codes, components, prefix_sums, plane_slices, polygon_areas, sphere_vertices, turns, hulls, convex_triangles,
+        aabb_overlap_join, box_booleans, morton_codes, components, components_whole, prefix_sums, plane_slices, polygon_areas, sphere_vertices, turns, hulls, convex_triangles,
     )
 }
 

@@ -58,6 +58,36 @@ def test_tetrahedron_and_mirror(spark):
     assert abs(total - 4 * math.pi) < 1e-9
 
 
+def union_find(edges):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in edges:
+        lo, hi = sorted((find(a), find(b)))
+        parent[hi] = lo
+    return {x: find(x) for x in list(parent)}
+
+
+def test_components_of_all_edges(spark):
+    line = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()
+    expected = union_find((p, s + 1_000_000_000) for p, s in line)
+    found = QUERIES["components_whole"](spark, SF).collect()
+    assert {(r["node"], r["component"]) for r in found} == set(expected.items()) and len(found) == len(expected)
+
+
+def test_components_of_hubs_chains_and_scattered_pairs(spark):
+    hub = [(5000, 1000 + k) for k in range(300)] + [(1000 + k, 1001 + k) for k in range(0, 300, 3)]
+    chain = [(k, k + 1) for k in range(100, 112)]
+    edges = hub + chain + [(9000 + 2 * k, 9001 + 2 * k) for k in range(50)] + [(7, 7), (8, 6), (6, 8), (8, 6)]
+    found = topology.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    expected = union_find(edges)
+    assert {(r["node"], r["component"]) for r in found} == set(expected.items()) and len(found) == len(expected)
+
+
 def test_slices_of_a_cube(spark):
     for height, area in ((0.0, 1.0), (0.5, 1.0), (1.0, None)):
         cut = spatial.slice_segments(shapes.triangles(one(spark)).withColumn("height", F.lit(height)))
