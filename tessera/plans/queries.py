@@ -219,11 +219,21 @@ q AS (SELECT *, coalesce(lead(x) OVER w, first(x) OVER w) AS qx, coalesce(lead(y
 SELECT mesh_id, count(*) AS n, round(sum(x*qy-y*qx)/2, 4) + 0.0 AS area, round(min(x), 4) + 0.0 AS min_x, round(max(x), 4) + 0.0 AS max_x, round(min(y), 4) + 0.0 AS min_y, round(max(y), 4) + 0.0 AS max_y FROM q GROUP BY mesh_id"""
 
 
-def sphere_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _table(spark, sf_dir, "part").where("p_size <= 4").select(F.col("p_partkey").alias("mesh_id"), F.lit(2.0).alias("radius"), F.col("p_size").cast("int").alias("n"))
+def _part_spheres(part: DataFrame) -> DataFrame:
+    part = part.select(F.col("p_partkey").alias("mesh_id"), F.lit(2.0).alias("radius"), F.col("p_size").cast("int").alias("n"))
     return shapes.sphere_vertices(part).groupBy("mesh_id").agg(F.count("*").alias("n_vert"), (F.round(F.sum(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")), 4) + 0.0).alias("squares"))
 
 
+def sphere_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over small spheres only; ``sphere_vertices_whole`` takes every part."""
+    return _part_spheres(_table(spark, sf_dir, "part").where("p_size <= 4"))
+
+
+def sphere_vertices_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part_spheres(_table(spark, sf_dir, "part"))
+
+
+SPHERE_WHOLE_SQL = "SELECT p_partkey AS mesh_id, CAST(4 * p_size * p_size + 2 AS BIGINT) AS n_vert, (4 * (4 * p_size * p_size + 2))::DOUBLE AS squares FROM part"
 SPHERE_SQL = "SELECT p_partkey AS mesh_id, CAST(4 * p_size * p_size + 2 AS BIGINT) AS n_vert, (4 * (4 * p_size * p_size + 2))::DOUBLE AS squares FROM part WHERE p_size <= 4"
 
 
@@ -258,7 +268,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         solid_measures, tetra_measures, halfedge_pairing, manifold_check, open_edges, vertex_normals, gauss_curvature, affine_transform, sind_cosd, aabb_self_join,
-        aabb_overlap_join, box_booleans, morton_codes, components, components_whole, prefix_sums, plane_slices, polygon_areas, sphere_vertices, turns, hulls, convex_triangles,
+        aabb_overlap_join, box_booleans, morton_codes, components, components_whole, prefix_sums, plane_slices, polygon_areas, sphere_vertices, sphere_vertices_whole, turns, hulls, convex_triangles,
     )
 }
 
@@ -286,6 +296,7 @@ SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e o WHERE e.mesh_id = o.mesh_id
 SELECT mesh_id, tri, {", ".join(f"{_cross_sql(up, c)} AS {c}{e}" for e, up in ((0, False), (1, True)) for c in "xy")} FROM h WHERE least(az, bz, cz) <= h AND greatest(az, bz, cz) > h""",
     "polygon_areas": POLYGON_SQL,
     "sphere_vertices": SPHERE_SQL,
+    "sphere_vertices_whole": SPHERE_WHOLE_SQL,
     "turns": TURNS_SQL,
 }
 ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}

@@ -99,6 +99,12 @@ def test_sphere_points(spark):
     assert len(p) == 4 * 16 + 2 and all(abs(math.hypot(r["x"], r["y"], r["z"]) - 2) < 1e-12 for r in p)
 
 
+def test_spheres_of_every_part(spark):
+    sizes = {r["p_partkey"]: r["p_size"] for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    found = {r["mesh_id"]: r["n_vert"] for r in QUERIES["sphere_vertices_whole"](spark, SF).collect()}
+    assert found == {k: 4 * n * n + 2 for k, n in sizes.items()} and max(sizes.values()) > 4
+
+
 def test_hulls_hold_all_points(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     hulls = {}
