@@ -27,6 +27,8 @@ from tessera.llm.words import mix64
 SEQUENCE, END_ID = 2048, 1
 DIMENSIONS, BITS = 3, 10
 SLICE_ROWS = 512
+#: Ids of a range, about: 64 MB at two bytes each.
+RANGE_IDS = 1 << 25
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -65,30 +67,32 @@ def id_directions(size: int) -> np.ndarray:
 
 
 def grid_point(ids: np.ndarray, directions: np.ndarray) -> np.ndarray:
-    """Mean direction of the ids, scaled by root length, squashed to the grid."""
+    """Mean direction of the ids, scaled by 8 whatever the length, squashed to the grid: texts of one mixture of ids
+    land close by, however long they are; long ones lie nearer to the middle, as their means do."""
     mean = directions[ids].sum(axis=0) / len(ids)
     squashed = 0.5 + np.arctan(mean * 8) / np.pi
     return np.minimum((squashed * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
 
 
-_KEYED = pa.schema([("doc_id", pa.int64()), ("curve", pa.int64()), ("ids", pa.binary())])
+_KEYED = pa.schema([("doc_id", pa.int64()), ("curve", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
 
 def _encode(vocabulary: str, end_id: int):
     def run(batches):
         encoder, directions = text_encoder(vocabulary), None
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], np.uint32)
         for batch in batches:
             if directions is None:
                 directions = id_directions(max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1))
             for lo in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(lo, SLICE_ROWS)
-                points, packed = [], []
-                for text in part.column(1).to_pylist():
-                    ids = np.frombuffer(encoder.encode(text) + end, "<u4")
+                points, packed, sizes = [], [], []
+                for ids in encoder.encode_many(part.column(1).to_pylist()):
+                    ids = np.concatenate([ids, end])
+                    sizes.append(len(ids))
                     points.append(grid_point(ids, directions))
-                    packed.append((b"\2" + ids.astype("<u2").tobytes()) if len(directions) <= 1 << 16 else b"\4" + ids.tobytes())
-                yield pa.record_batch([part.column(0), pa.array(hilbert_key(np.array(points)), pa.int64()), pa.array(packed, pa.binary())], schema=_KEYED)
+                    packed.append((b"\2" + ids.astype("<u2").tobytes()) if len(directions) <= 1 << 16 else b"\4" + ids.astype("<u4").tobytes())
+                yield pa.record_batch([part.column(0), pa.array(hilbert_key(np.array(points)), pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], schema=_KEYED)
 
     return run
 
@@ -151,9 +155,10 @@ def pack_documents(docs: DataFrame, *, vocabulary: str | None = None, length: in
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    keyed = materialize(rows.mapInArrow(_encode(vocabulary or default_vocabulary(), end_id), "doc_id long, curve long, ids binary"), "pack-ids")
+    keyed = materialize(rows.mapInArrow(_encode(vocabulary or default_vocabulary(), end_id), "doc_id long, curve long, n long, ids binary"), "pack-ids")
+    total = keyed.agg(F.sum("n")).first()[0] or 0
     order = ("curve", F.xxhash64("doc_id"), "doc_id", F.xxhash64("ids"))
-    ranged = keyed.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
+    ranged = keyed.select("doc_id", "curve", "ids").repartitionByRange(max(shuffle_width(spark), -(-total // RANGE_IDS)), *order).sortWithinPartitions(*order)
     pieces = ranged.mapInArrow(_pack(length), _PIECES_DDL)
     return pieces.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",

@@ -1,45 +1,7 @@
-"""Shared-folder helpers: every intermediate that must outlive an executor is a Parquet table
-in the folder the session names in ``spark.checkpoint.dir``."""
+"""Shared-folder helpers of the library, as the text operators use them."""
 
 from __future__ import annotations
 
-import uuid
+from tessera.storage import discard, fresh_path, materialize, remove_path, shared_dir, shuffle_width, spread_join
 
-from pyspark.sql import DataFrame, SparkSession
-
-#: Used only where the session names no folder, as in tests on one machine.
-DEFAULT_SHARED = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{DEFAULT_SHARED}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system, whichever store it is in."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    """How many partitions a repartitioning of the whole input gets."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["discard", "fresh_path", "materialize", "remove_path", "shared_dir", "shuffle_width", "spread_join"]

@@ -3,7 +3,7 @@
 Layout under one folder (all Parquet, so writes are committed or absent):
 
 ``chunks/``    hash (SHA-256 of the ids' bytes), n_ids, payload (zstd of the ids); each unique chunk once
-``recipes/``   documents in ascending doc_id order: part, doc_id, n_tokens, hashes, leaf
+``recipes/``   documents in ascending doc_id order: part, at (place in it), inner (ids before it there), doc_id, n_tokens, hashes, leaf
 ``manifest/``  one row a recipe part: part, n_docs, n_tokens, root; and the top Merkle root
 
 Chunk bounds come from a rolling hash over the last 32 ids, so equal passages give equal chunks wherever
@@ -27,13 +27,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import fresh_path, remove_path, shuffle_width
+from tessera.llm.storage import fresh_path, remove_path, shuffle_width, spread_join
 from tessera.llm.token_ids import default_vocabulary, text_encoder
 from tessera.llm.words import mix64
 
 END_ID = 2
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 256, 10, 8192
 SLICE_ROWS = 512
+#: Documents of a recipe part, about; the manifest has one row a part.
+PART_DOCS = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -68,15 +70,34 @@ def chunk_bounds(ids: np.ndarray) -> list[int]:
     return ends
 
 
+class MerkleTree:
+    """Root of a binary hash tree over leaves that come one by one; leaves and nodes are hashed with different first
+    bytes. Kept are the roots of whole subtrees, one a size; no leaves: hash of nothing."""
+
+    def __init__(self):
+        self.peaks: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        level, node = 0, hashlib.sha256(b"\0" + leaf).digest()
+        while self.peaks and self.peaks[-1][0] == level:
+            node = hashlib.sha256(b"\1" + self.peaks.pop()[1] + node).digest()
+            level += 1
+        self.peaks.append((level, node))
+
+    def root(self) -> bytes:
+        if not self.peaks:
+            return hashlib.sha256(b"").digest()
+        node = self.peaks[-1][1]
+        for _, left in reversed(self.peaks[:-1]):
+            node = hashlib.sha256(b"\1" + left + node).digest()
+        return node
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
-    """Root of a binary hash tree; leaves and nodes are hashed with different first bytes; no leaves: hash of nothing."""
-    level = [hashlib.sha256(b"\0" + x).digest() for x in leaves]
-    if not level:
-        return hashlib.sha256(b"").digest()
-    while len(level) > 1:
-        pairs = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() for i in range(0, len(level) - 1, 2)]
-        level = pairs + level[len(pairs) * 2 :]
-    return level[0]
+    tree = MerkleTree()
+    for leaf in leaves:
+        tree.add(leaf)
+    return tree.root()
 
 
 def _leaf(doc_id: int | None, n: int, hashes: list[bytes]) -> bytes:
@@ -99,14 +120,14 @@ _STAGED_DDL = "doc_id long, n_tokens long, hashes array<binary>, sizes array<int
 def _stage(vocabulary: str, end_id: int, seen_most: int = 1 << 19):
     def run(batches):
         encoder, packer = text_encoder(vocabulary), zstandard.ZstdCompressor(level=3)
-        end, seen = np.array([end_id], "<u4").tobytes(), set()
+        end, seen = np.array([end_id], np.uint32), set()
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(lo, SLICE_ROWS)
                 out: list[list] = [[] for _ in _STAGED]
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    raw = encoder.encode(text) + end
-                    ids = np.frombuffer(raw, "<u4")
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode_many(part.column(1).to_pylist()), strict=True):
+                    ids = np.concatenate([ids, end])
+                    raw = ids.astype("<u4").tobytes()
                     hashes, sizes, payloads, last = [], [], [], 0
                     for stop in chunk_bounds(ids):
                         piece = raw[4 * last : 4 * stop]
@@ -159,31 +180,55 @@ def write_store(docs: DataFrame, path: str, *, vocabulary: str | None = None, en
         .write.option("compression", "uncompressed")
         .parquet(f"{path}/chunks")
     )
-    recipes = (
-        staged.select("doc_id", "n_tokens", "hashes", "leaf")
-        .repartitionByRange(shuffle_width(spark), F.col("doc_id").asc_nulls_first(), "n_tokens", "leaf")
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "leaf")
-    )
-    recipes.select(F.spark_partition_id().alias("part"), "*").write.parquet(f"{path}/recipes")
-    parts = _part_roots(spark.read.parquet(f"{path}/recipes"))
-    rows = parts.orderBy("part").collect()  # one row a recipe part: as many as partitions, not documents
+    parts = max(shuffle_width(spark), -(-staged.count() // PART_DOCS))
+    order = (F.col("doc_id").asc_nulls_first(), "n_tokens", "leaf")
+    recipes = staged.select("doc_id", "n_tokens", "hashes", "leaf").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    recipes.select(F.spark_partition_id().alias("part"), "*").mapInArrow(_place, _RECIPE_DDL).write.parquet(f"{path}/recipes")
+    rows = _part_roots(spark.read.parquet(f"{path}/recipes")).orderBy("part").collect()  # one row a recipe part: a millionth of the documents
     top = merkle_root([bytes(r["root"]) for r in rows])
     listed = [(r["part"], r["n_docs"], r["n_tokens"], bytes(r["root"]), top) for r in rows]
     spark.createDataFrame(listed, "part int, n_docs long, n_tokens long, root binary, top binary").coalesce(1).write.parquet(f"{path}/manifest")
     remove_path(spark, staged_path)
 
 
-def _part_roots(recipes: DataFrame) -> DataFrame:
-    """Merkle root of each recipe part, from its documents in their order. A part is one range partition."""
+_RECIPE_DDL = "part int, at long, inner long, doc_id long, n_tokens long, hashes array<binary>, leaf binary"
 
-    def root(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("n_tokens", "ascending"), ("leaf", "ascending")])
-        leaves = [_leaf(*row) for row in zip(table["doc_id"].to_pylist(), table["n_tokens"].to_pylist(), table["hashes"].to_pylist(), strict=True)]
-        if leaves != table["leaf"].to_pylist():
-            raise ValueError("a recipe does not match its leaf")
-        return pa.table({"part": table["part"][:1], "n_docs": [table.num_rows], "n_tokens": [sum(table["n_tokens"].to_pylist())], "root": pa.array([merkle_root(leaves)], pa.binary())})
 
-    return recipes.groupBy("part").applyInArrow(root, "part int, n_docs long, n_tokens long, root binary")
+def _place(batches):
+    """Number one part's documents and sum up the ids before them; a task holds one part in order."""
+    at = inner = 0
+    for batch in batches:
+        sizes = batch.column(2).to_numpy()
+        sums = np.cumsum(sizes)
+        where, before = np.arange(at, at + len(sizes)), inner + sums - sizes
+        yield pa.record_batch([batch.column(0), pa.array(where, pa.int64()), pa.array(before, pa.int64()), *batch.columns[1:]], names=["part", "at", "inner", "doc_id", "n_tokens", "hashes", "leaf"])
+        at, inner = at + len(sizes), inner + int(sums[-1]) if len(sums) else inner
+
+
+def _part_roots(recipes: DataFrame) -> DataFrame:
+    """Merkle root of each recipe part, from its documents in their order, whose leaves, places and sums are verified
+    on the way. Parts are dealt whole and read as a stream, so memory does not grow with them."""
+
+    def roots(batches):
+        part, tree, n_docs, n_tokens, done = None, MerkleTree(), 0, 0, []
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if row[0] != part:
+                    if n_docs:
+                        done.append((part, n_docs, n_tokens, tree.root()))
+                    part, tree, n_docs, n_tokens = row[0], MerkleTree(), 0, 0
+                leaf = _leaf(row[3], row[4], row[5])
+                if leaf != row[6] or (row[1], row[2]) != (n_docs, n_tokens):
+                    raise ValueError("a recipe does not match its leaf or its place")
+                tree.add(leaf)
+                n_docs, n_tokens = n_docs + 1, n_tokens + row[4]
+        if n_docs:
+            done.append((part, n_docs, n_tokens, tree.root()))
+        columns = list(zip(*done, strict=True)) or [[]] * 4
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "n_docs", "n_tokens", "root"])
+
+    rows = recipes.select("part", "at", "inner", "doc_id", "n_tokens", "hashes", "leaf").repartition("part").sortWithinPartitions("part", "at")
+    return rows.mapInArrow(roots, "part int, n_docs long, n_tokens long, root binary")
 
 
 def _chunk_sums(batches):
@@ -229,15 +274,14 @@ def _document_sums(batches):
         yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def _placed_recipes(spark: SparkSession, path: str) -> DataFrame:
-    """Recipes with ``start``, the ids of all documents before: within the part by a running sum, and the sums of
-    the parts before, which are one row a part in the manifest."""
+def _placed_recipes(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """Recipes with ``start``, the ids of all documents before: those of the part, and the sums of the parts before,
+    which are one row a part in the manifest. And how many chunks they use."""
     manifest = spark.read.parquet(f"{path}/manifest")
     recipes = spark.read.parquet(f"{path}/recipes")
     before = manifest.select("part", (F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")).alias("base"))
-    order = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "leaf")
-    placed = recipes.select("*", F.row_number().over(order).alias("at"), (F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")).alias("inner"))
-    return placed.join(F.broadcast(before), "part").withColumn("start", F.col("inner") + F.col("base"))
+    used = recipes.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    return recipes.join(F.broadcast(before), "part").withColumn("start", F.col("inner") + F.col("base")), used
 
 
 def verify_manifest(spark: SparkSession, path: str) -> None:
@@ -255,9 +299,10 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     """
     verify_manifest(spark, path)
     sums = spark.read.parquet(f"{path}/chunks").select("hash", "n_ids", "payload").mapInArrow(_chunk_sums, "hash binary, n_ids int, crc long")
-    uses = _placed_recipes(spark, path).select("part", "at", "doc_id", "start", "n_tokens", F.posexplode("hashes").alias("pos", "hash"))
+    placed, used = _placed_recipes(spark, path)
+    uses = placed.select("part", "at", "doc_id", "start", "n_tokens", F.posexplode("hashes").alias("pos", "hash"))
     docs = (
-        uses.join(sums, "hash")
+        spread_join(uses, sums, ["hash"], ["part", "at", "pos"], used)
         .groupBy("part", "at", "doc_id", "start", "n_tokens")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "n_ids", "crc"))).alias("chunks"))
         .select("doc_id", "start", "n_tokens", "chunks")
@@ -267,11 +312,11 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ids(spark: SparkSession, path: str, doc_ids: DataFrame | None = None) -> DataFrame:
     """doc_id and the rebuilt ids (array of long) of all documents, or of those in ``doc_ids`` (one column, doc_id)."""
-    uses = _placed_recipes(spark, path)
+    uses, used = _placed_recipes(spark, path)
     if doc_ids is not None:
         uses = uses.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
     uses = uses.select("part", "at", "doc_id", F.posexplode("hashes").alias("pos", "hash"))
-    whole = uses.join(spark.read.parquet(f"{path}/chunks"), "hash").groupBy("part", "at", "doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "payload"))).alias("chunks"))
+    whole = spread_join(uses, spark.read.parquet(f"{path}/chunks"), ["hash"], ["part", "at", "pos"], used).groupBy("part", "at", "doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "payload"))).alias("chunks"))
 
     def rebuild(batches):
         for batch in batches:

@@ -228,7 +228,6 @@ def plain_ids(texts, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_ids.default_vocabulary())
-    t.encode_special_tokens = True
     return [[*e.ids, end] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -236,13 +235,21 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_encoder_gives_the_library_s_ids(spark):
+def test_encoder_gives_the_library_s_ids(spark, monkeypatch):
     rng = random.Random(9)
     texts = [r["text"] for r in awkward(spark).collect()] + ["a  b\n\n c\t\u00a0d 'S it's 12 3.4 <|endoftext|> !!?\u3000\u4e2d\u6587", "x" * 5000, "a\x1cb \x1d c\x85 d\u2028e \x1c\x1c f\u180e g"]
     texts += ["".join(rng.choice(" \n\tab'sé1.<|\u2009\u00a0") for _ in range(200)) for _ in range(100)]
+    texts += ["'", "'s", " 's", "a'", "a'sx", "a'rex 'tis x've ll 'll'd", "\n's", "''s", "'l", "x <|endoftext|>y", "<|endoftext|>", "\u1c89 a", "\U000105c0b c"]
+    texts += ["".join(rng.choice(" \nab'stredvlm1.") for _ in range(rng.randint(0, 80))) for _ in range(2000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0x3000), rng.randrange(0xE000, 0x110000)])) for _ in range(rng.randint(0, 99))) for _ in range(2000)]
     encoder = token_ids.TextEncoder(token_ids.default_vocabulary())
-    for text, ids in zip(texts, plain_ids(texts, 0), strict=True):
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids[:-1]
+    expected = [ids[:-1] for ids in plain_ids(texts, 0)]
+    assert [ids.tolist() for ids in encoder.encode_many(texts)] == expected
+    assert [np.frombuffer(encoder.encode(text), "<u4").tolist() for text in texts[:200]] == expected[:200]
+    monkeypatch.setattr(token_ids, "PASS_CHARS", 150)
+    encoder = token_ids.TextEncoder(token_ids.default_vocabulary())
+    encoder.table.most = 50
+    assert [ids.tolist() for ids in encoder.encode_many(texts)] == expected
 
 
 def test_encoder_takes_any_number_of_line_ends_without_a_space():
@@ -295,6 +302,43 @@ def test_packing(spark):
     assert packing.pack_documents(empty(docs)).count() == 0
 
 
+def test_neighbours_on_the_curve_are_alike(spark):
+    docs = table(spark, "documents").where("length(text) > 400").dropDuplicates(["text"])
+    words = {r["doc_id"]: frozenset(r["text"].split()) for r in docs.collect()}
+    found = {}
+    for r in packing.pack_documents(docs).collect():
+        found[r["doc_id"]] = (r["curve"], r["doc_id"])
+    order = sorted(found, key=found.get)
+    alike = lambda pairs: float(np.mean([len(words[a] & words[b]) / len(words[a] | words[b]) for a, b in pairs]))
+    rng = random.Random(1)
+    apart = [(rng.choice(order), rng.choice(order)) for _ in range(2000)]
+    assert alike(zip(order, order[1:], strict=False)) > 1.3 * alike((a, b) for a, b in apart if a != b)
+
+
+def test_merkle_tree_matches_its_definition():
+    sha = lambda x: hashlib.sha256(x).digest()
+
+    def root(level):
+        while len(level) > 1:
+            pairs = [sha(b"\1" + level[i] + level[i + 1]) for i in range(0, len(level) - 1, 2)]
+            level = pairs + level[len(pairs) * 2 :]
+        return level[0]
+
+    leaves = [bytes([k]) for k in range(70)]
+    assert all(token_store.merkle_root(leaves[:n]) == root([sha(b"\0" + x) for x in leaves[:n]]) for n in range(1, 70))
+    assert token_store.merkle_root([]) == sha(b"")
+
+
+def test_hot_chunks_are_split(spark):
+    rows = [(k, None) for k in range(3000)] + [(5000 + k, "stock text of many") for k in range(2500)] + [(9000, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = fresh_path(spark, "store-test")
+    token_store.write_store(docs, path)
+    found = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_store.read_store(spark, path).collect()}
+    ids = plain_ids([t for _, t in rows], 2)
+    assert found == {d: (len(x), crc(x)) for (d, _), x in zip(rows, ids, strict=True)}
+
+
 def test_hilbert_neighbours_touch():
     n = 1 << 4
     grid = np.array([(x, y, z) for x in range(n) for y in range(n) for z in range(n)])
@@ -369,9 +413,9 @@ def plain_quality(rows, max_docs=quality_rules.MAX_DOCS):
     held, out = defaultdict(set), []
     for r in rows:
         lines = [x for x in (r["text"] or "").split("\n") if words(x)]
-        sketch = "".join(sorted({norm(x) for x in lines})[:4])
+        known = frozenset(map(norm, lines))
         for x in lines:
-            held[r["source"] or "", norm(x)].add(sketch)
+            held[r["source"] or "", norm(x)].add(known)
     for r in rows:
         text = r["text"] or ""
         w, lines = words(text), [x for x in text.split("\n") if words(x)]
@@ -518,14 +562,6 @@ def test_one_of_each_group_is_kept(spark):
     assert Counter(r["doc_id"] for r in near_dedup.keep_one(twice).collect() if r["doc_id"] is not None and r["doc_id"] >= 100) == Counter(range(100, 120))
 
 
-def test_components_of_long_paths(spark):
-    order = list(range(60))
-    random.Random(1).shuffle(order)
-    links = [(a, b) for a, b in zip(order, order[1:], strict=False)] + [(100, 101), (101, 102), (102, 100)]
-    found = {r["node"]: r["component"] for r in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert found == {**{k: 0 for k in range(60)}, 100: 100, 101: 100, 102: 100}
-
-
 # ---- op7 and op9
 
 
