@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import materialize
+from tessera.llm.storage import materialize, spread_join
 
 #: What parts words, and what counts as a symbol.
 SPACES = " \t\n\x0b\f\r"
@@ -25,8 +25,6 @@ _GAPS, _WORD = r"[ \t\n\x0B\f\r]+", r"[^ \t\n\x0B\f\r]+"
 _SYMBOL = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_DOCS, MAX_REMOVED_PERCENT = 20, 50
-#: Only the SQL still knows a document by so many line hashes.
-SKETCH = 4
 
 
 def words_of(text: Column) -> Column:
@@ -39,8 +37,8 @@ def lines_of(text: Column) -> Column:
 
 
 def line_hash(line: Column) -> Column:
-    """64 bits, in hex, of the line in lower case, without outer space, digits made alike."""
-    return F.substring(F.md5(F.regexp_replace(F.lower(F.btrim(line, F.lit(SPACES))), "[0-9]+", "0")), 1, 16)
+    """64 bits of the line in lower case, without outer space, digits made alike."""
+    return F.xxhash64(F.regexp_replace(F.lower(F.btrim(line, F.lit(SPACES))), "[0-9]+", "0"))
 
 
 def _with_repeats(df: DataFrame) -> DataFrame:
@@ -84,56 +82,63 @@ def line_uses(docs: DataFrame) -> DataFrame:
     df = docs.select(*row_key(), F.coalesce("source", F.lit("")).alias("host"), lines_of(F.coalesce("text", F.lit(""))).alias("lines"))
     held = lambda x: F.struct(line_hash(x).alias("line"), F.regexp_count(x, F.lit(_WORD)).alias("words"))
     df = df.select("doc_id", "row_hash", "host", F.transform("lines", held).alias("held"))
-    known = F.substring(F.md5(F.array_join(F.sort_array(F.array_distinct(F.col("held.line"))), "")), 1, 16)
+    known = F.xxhash64(F.array_sort(F.array_distinct(F.col("held.line"))))
     df = df.select("doc_id", "row_hash", "host", known.alias("doc"), F.posexplode("held").alias("pos", "held"))
     return df.select("doc_id", "row_hash", "host", "doc", "pos", "held.line", "held.words")
 
 
-def boilerplate_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+def boilerplate_lines(uses: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """host, line, n_docs of lines in more than ``max_docs`` distinct documents of a host.
 
     Distinct (host, line, doc) rows are formed first, which spreads a very common line over all tasks.
     """
-    held = line_uses(docs).select("host", "line", "doc").distinct()
+    held = uses.select("host", "line", "doc").distinct()
     return held.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
 
 
-def boilerplate_uses(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """Uses of boilerplate: doc_id, row_hash, pos, line, words; equal rows give one."""
-    uses = line_uses(docs).select("doc_id", "row_hash", "host", "pos", "line", "words")
-    held = uses.join(boilerplate_lines(docs, max_docs).select("host", "line"), ["host", "line"])
-    # dealt by row once: both this grouping and the caller's use that
-    return held.repartition("doc_id", "row_hash").groupBy("doc_id", "row_hash", "pos").agg(F.max("words").alias("words"), F.max("line").alias("line"))
+def boilerplate_uses(uses: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """doc_id, row_hash, removed_words and removed (hashes) of rows that hold boilerplate; equal rows give one.
+
+    A line that very many rows hold, as boilerplate does, is met in as many parts as its uses ask for.
+    """
+    known = boilerplate_lines(uses, max_docs).select("host", "line")
+    held = spread_join(uses.select("doc_id", "row_hash", "host", "pos", "line", "words"), known, ["host", "line"], ["row_hash", "pos"], uses.count())
+    # dealt by row once: both groupings use that
+    once = held.repartition("doc_id", "row_hash").groupBy("doc_id", "row_hash", "pos").agg(F.max("words").alias("words"), F.max("line").alias("line"))
+    return once.groupBy("doc_id", "row_hash").agg(F.sum("words").cast("long").alias("removed_words"), F.collect_set("line").alias("removed"))
 
 
 def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))
 
 
-def judge_quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed_percent: int = MAX_REMOVED_PERCENT) -> DataFrame:
-    """Measures and verdict of every row of ``docs`` (doc_id, text, source). Write the result before filtering on it."""
-    docs = _columns(docs)
-    removed = boilerplate_uses(docs, max_docs).groupBy("doc_id", "row_hash").agg(F.sum("words").cast("long").alias("removed_words"))
+def _judged(docs: DataFrame, max_docs: int, max_removed_percent: int) -> DataFrame:
+    """Measures, verdict and boilerplate (``removed``) of every row of ``docs``, which are read twice."""
+    uses = materialize(line_uses(docs), "line-uses")
+    found = boilerplate_uses(uses, max_docs).select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "removed_words", "removed")
     rows = measure(docs)
-    on = rows["doc_id"].eqNullSafe(removed["doc_id"]) & (rows["row_hash"] == removed["row_hash"])
-    joined = rows.join(removed, on, "left").select(rows["*"], F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"))
+    joined = rows.join(found, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["row_hash"] == F.col("_hash")), "left")
+    joined = joined.select(rows["*"], F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"), "removed")
     depleted = 100 * F.col("removed_words") > max_removed_percent * F.col("n_words")
     return joined.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
+def judge_quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed_percent: int = MAX_REMOVED_PERCENT) -> DataFrame:
+    """Measures and verdict of every row of ``docs`` (doc_id, text, source). Write the result before filtering on it."""
+    return _judged(_columns(docs), max_docs, max_removed_percent).drop("removed")
+
+
 def apply_quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_removed_percent: int = MAX_REMOVED_PERCENT) -> DataFrame:
     """Kept rows of ``docs``, boilerplate lines taken out of ``text`` (and ``n_chars``, if there, counted anew)."""
-    own = _columns(docs)
     # written first: a filter on the verdict would be pushed into, and repeat, the expressions that measure a text
-    judged = materialize(judge_quality(own, max_docs, max_removed_percent).select("doc_id", "row_hash", "kept"), "verdicts")
-    verdict = judged.where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).agg(F.first("kept").alias("_kept"))
-    lines = boilerplate_uses(own, max_docs).groupBy(F.col("doc_id").alias("_l_id"), F.col("row_hash").alias("_l_hash")).agg(F.collect_set("line").alias("_lines"))
-    verdict = verdict.join(lines, F.col("_id").eqNullSafe(F.col("_l_id")) & (F.col("_hash") == F.col("_l_hash")), "left").select("_id", "_hash", "_lines")
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    kept = docs.join(verdict, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_hash")))
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_lines", line_hash(x))), "\n")
-    changed = {"text": F.when(F.col("_lines").isNull(), F.col("text")).otherwise(rest)}
-    out = kept.withColumns(changed)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_lines").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    judged = materialize(_judged(_columns(docs), max_docs, max_removed_percent).select("doc_id", "row_hash", "kept", "removed"), "verdicts")
+    verdict = judged.where("kept").groupBy("doc_id", "row_hash").agg(F.first("removed").alias("removed"))
+    # the row in one struct, so that no name of its columns meets ours
+    own = F.col("row.doc_id").cast("long"), F.col("row.source").cast("string"), F.col("row.text").cast("string")
+    rows = docs.select(F.struct("*").alias("row")).withColumn("key", F.xxhash64(*own))
+    kept = rows.join(verdict, own[0].eqNullSafe(verdict["doc_id"]) & (F.col("key") == verdict["row_hash"])).select("row", "removed")
+    rest = F.array_join(F.filter(F.split(own[2], "\n"), lambda x: ~F.array_contains("removed", line_hash(x))), "\n")
+    whole = F.col("removed").isNull()
+    kept = kept.withColumn("rest", F.when(whole, own[2]).otherwise(rest))
+    changed = {"text": F.col("rest"), "n_chars": F.when(whole, F.col("row")["n_chars"]).otherwise(F.length("rest")) if "n_chars" in docs.columns else None}
+    return kept.select(*(changed.get(c, F.col("row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))

@@ -97,8 +97,8 @@ l AS (SELECT r, host, unnest(list_filter(string_split(text, chr(10)), lambda x:
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY r),
 h AS (SELECT r, host, substr(md5(regexp_replace(lower(regexp_replace(line, '{_TRIM}', '', 'g')), '[0-9]+', '0', 'g')), 1, 16) AS h,
         len(regexp_extract_all(line, '{_W}')) AS words FROM l),
-k AS (SELECT r, array_to_string(list_sort(list(DISTINCT h))[1:{quality_rules.SKETCH}], '') AS sketch FROM h GROUP BY r),
-c AS (SELECT host, h FROM h JOIN k USING (r) GROUP BY host, h HAVING count(DISTINCT sketch) > {quality_rules.MAX_DOCS}),
+k AS (SELECT r, md5(array_to_string(list_sort(list(DISTINCT h)), ',')) AS doc FROM h GROUP BY r),
+c AS (SELECT host, h FROM h JOIN k USING (r) GROUP BY host, h HAVING count(DISTINCT doc) > {quality_rules.MAX_DOCS}),
 rm AS (SELECT r, CAST(sum(words) AS BIGINT) AS removed_words FROM h JOIN c USING (host, h) GROUP BY r),
 m AS (
   SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
