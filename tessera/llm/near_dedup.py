@@ -15,9 +15,9 @@
    * otherwise both are further than FAR = NEAR - 0.15 (the triangle inequality of Jaccard distance): they stay in
      the list (residue), marked if near the pivot: two marked ones were compared in delta. A document with more than
      15 % of its shingles in no other residual document can have no link and leaves, and so does a list of marked
-     ones only. A list takes up to TURNS pivots, unmarked ones first; what is left then is compared by 64
-     coordinates, each pair in one list only, and pairs above the threshold are confirmed.
-4. Links are contracted to components by repeated hops to the smallest neighbour.
+     ones only. Lists take further pivots, unmarked ones first, until what is left has no more pairs than there are
+     documents, so pairs grow with the input and not with the square of a list. Those are compared by 64 coordinates, each pair in one list only, and pairs above the threshold are confirmed.
+4. Links are contracted to components by repeated hops to the least neighbour in an order drawn anew each round.
 
 A pair at the limit 0.85 agrees in fewer than MATCH of 32 coordinates with a probability of 3.5e-6, and in fewer than
 MATCH_ALL of 64 with 1e-6; everything else is exact.
@@ -37,8 +37,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import materialize
+from tessera.llm.storage import discard, materialize, spread_join
 from tessera.llm.words import mix64, shingle_set, split_words, word_hashes
+from tessera.operators.topology import connected_components
 
 WIDTH = 5
 #: A link: LINK[0] * intersection >= LINK[1] * union.
@@ -49,8 +50,9 @@ MATCH, MATCH_ALL = 17, 38
 NEAR, FAR = 60, 75
 #: Of 64 coordinates, how many a document near the pivot shows but with a probability of 1e-7.
 NEAR_MATCH = 18
-#: Pivots that a list takes one after another before what they leave open is compared in pairs.
-TURNS = 2
+#: What pivots leave open is compared in pairs when these are so few for each document, or after MOST_TURNS pivots a
+#: list (as many as there are bits to mark them).
+PAIRS_A_DOC, MOST_TURNS = 1, 60
 #: Places of the sieve that spares texts a move: a bound on what is broadcast, 16 MB.
 SIEVE = 1 << 20
 _BYTES = [f"b{k}" for k in range(COORDINATES // 8)]
@@ -121,11 +123,27 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+class _Scratch:
+    """Intermediate tables of one run, deleted at its end."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables.append(materialize(df, label))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        discard(*self.tables)
+        self.tables.clear()
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) with both shingle arrays."""
+    """``pairs`` (a, b, ...; a written table) with both shingle arrays. A document of very many pairs, as a pivot is,
+    meets them in as many parts as they ask for."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b")
+    return spread_join(pairs, left, ["a"], ["b"], pairs.count()).join(right, "b")
 
 
 def _similarity(df: DataFrame) -> DataFrame:
@@ -161,15 +179,15 @@ def _lists(postings: DataFrame) -> DataFrame:
     return lists.select("token", (-F.col("p.neg")).alias("pivot"), F.col("p.n_shingles").alias("p_n"), *(F.col(f"p.{b}").alias(f"p_{b}") for b in _BYTES))
 
 
-def _near(postings: DataFrame, lists: DataFrame, sets: DataFrame) -> DataFrame:
+def _near(postings: DataFrame, lists: DataFrame, sets: DataFrame, scratch: _Scratch) -> DataFrame:
     """Pivots (a) and the members of their lists (b) that are near them."""
-    star = postings.join(lists, "token").where((F.col("doc_id") != F.col("pivot")) & _alike("n_shingles", "p_n", NEAR) & (matches("", "p_") >= NEAR_MATCH))
+    star = spread_join(postings, lists, ["token"], ["doc_id"], postings.count()).where((F.col("doc_id") != F.col("pivot")) & _alike("n_shingles", "p_n", NEAR) & (matches("", "p_") >= NEAR_MATCH))
     star = star.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    near = _similarity(_with_sets(star, sets)).withColumn("linked", _linked())
+    near = _similarity(_with_sets(scratch.keep(star, "star"), sets)).withColumn("linked", _linked())
     return near.where(100 * F.col("common") >= NEAR * F.col("either")).select("a", "b", "linked", "common", "either")
 
 
-def _delta_links(near: DataFrame, sets: DataFrame) -> DataFrame:
+def _delta_links(near: DataFrame, sets: DataFrame, scratch: _Scratch) -> DataFrame:
     """Links among documents near one pivot of which at least one is not linked to it.
 
     A member's difference is its symmetric difference from the pivot. For a link, two sets of a and b shingles may
@@ -177,10 +195,10 @@ def _delta_links(near: DataFrame, sets: DataFrame) -> DataFrame:
     smaller posts a prefix for partners no smaller, the larger one for partners no smaller than a link allows.
     """
     outside = near.where(~F.col("linked")).select("a").distinct()
-    rows = _with_sets(near.join(outside, "a", "left_semi"), sets)
+    rows = _with_sets(scratch.keep(near.join(outside, "a", "left_semi"), "outside"), sets)
     rows = rows.withColumn("delta", F.concat(F.array_except("set_a", "set_b"), F.array_except("set_b", "set_a")))
     rows = rows.select("a", "b", "linked", F.size("set_b").alias("n"), F.size("set_a").alias("n_p"), "delta").withColumn("d", F.size("delta"))
-    held = materialize(rows.select("a", "b", "linked", "n", "n_p", "d", F.explode("delta").alias("e")), "delta")
+    held = scratch.keep(rows.select("a", "b", "linked", "n", "n_p", "d", F.explode("delta").alias("e")), "delta")
     shared = held.groupBy("a", "e").agg(F.count("*").alias("uses")).where("uses > 1")
     mine = Window.partitionBy("a", "b")
     known = held.join(shared, ["a", "e"])
@@ -197,23 +215,23 @@ def _delta_links(near: DataFrame, sets: DataFrame) -> DataFrame:
     ordered = (F.col("x_d") < F.col("y_d")) | ((F.col("x_d") == F.col("y_d")) & (F.col("x") < F.col("y")))
     pairs = x.join(y, ["a", "e"]).where(ordered & ~(F.col("x_linked") & F.col("y_linked")))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return _similarity(_with_sets(pairs, sets)).where(_linked()).select("a", "b")
+    return _similarity(_with_sets(scratch.keep(pairs, "pairs"), sets)).where(_linked()).select("a", "b")
 
 
-def _residue(postings: DataFrame, lists: DataFrame, near: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
+def _residue(postings: DataFrame, lists: DataFrame, near: DataFrame, sets: DataFrame, turn: int, scratch: _Scratch) -> DataFrame:
     """Postings that the pivots of this turn do not settle; bit ``turn`` of ``near`` marks documents near theirs."""
     seen = near.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), (100 * F.col("common") >= FAR * F.col("either")).alias("settled"))
-    rest = postings.join(lists.select("token", "pivot"), "token").where("doc_id <> pivot").join(seen, ["pivot", "doc_id"], "left")
-    rest = rest.where(~F.coalesce("settled", F.lit(False))).withColumn("near", F.col("near").bitwiseOR(F.when(F.col("settled").isNotNull(), 1 << turn).otherwise(0)))
-    rest = materialize(_shared(rest.drop("pivot", "settled")), "residue")
+    rest = spread_join(postings, lists.select("token", "pivot"), ["token"], ["doc_id"], postings.count()).where("doc_id <> pivot").join(seen, ["pivot", "doc_id"], "left")
+    rest = rest.where(~F.coalesce("settled", F.lit(False))).withColumn("near", F.col("near").bitwiseOR(F.when(F.col("settled").isNotNull(), F.lit(1 << turn).cast("long")).otherwise(F.lit(0).cast("long"))))
+    rest = scratch.keep(_shared(rest.drop("pivot", "settled")), "residue")
     docs = rest.select("doc_id").distinct()
     held = sets.join(docs, "doc_id", "left_semi").select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("e"))
     alone = held.groupBy("e").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("other"), F.min("n").alias("n")).where("doc_id = other")
     closed = alone.groupBy("doc_id").agg(F.count("*").alias("own"), F.min("n").alias("n")).where(LINK[0] * F.col("own") > (LINK[0] - LINK[1]) * F.col("n"))
-    return materialize(_shared(rest.join(closed, "doc_id", "left_anti")), "residue")
+    return scratch.keep(_shared(rest.join(closed, "doc_id", "left_anti")), "residue")
 
 
-def _residual_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
+def _residual_links(rest: DataFrame, sets: DataFrame, scratch: _Scratch) -> DataFrame:
     """Links between residual documents of one list that were near no pivot in common. The first list that two
     documents share reports them."""
     rest = rest.join(rest.groupBy("doc_id").agg(F.collect_set("token").alias("tokens")), "doc_id")
@@ -224,7 +242,7 @@ def _residual_links(rest: DataFrame, sets: DataFrame) -> DataFrame:
     likely = unseen & _alike("x_n_shingles", "y_n_shingles", LINK[1]) & (matches("x_", "y_") >= MATCH_ALL)
     first = F.array_min(F.array_intersect("x_tokens", "y_tokens")) == x["token"]
     pairs = x.join(y, (x["token"] == y["token"]) & (F.col("x_doc_id") < F.col("y_doc_id")) & likely & first)
-    pairs = pairs.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
+    pairs = scratch.keep(pairs.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct(), "pairs")
     return _similarity(_with_sets(pairs, sets)).where(_linked()).select("a", "b")
 
 
@@ -242,47 +260,26 @@ def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("*", place).join(F.broadcast(taken), "_place", "left_semi").drop("_place")
 
 
-def find_links(docs: DataFrame, reps: DataFrame, width: int = WIDTH) -> DataFrame:
+def find_links(docs: DataFrame, reps: DataFrame, n_docs: int, width: int = WIDTH) -> DataFrame:
     """Linked pairs (a, b) of representatives that hold every component together."""
-    postings = materialize(_shared(_postings(reps).withColumn("near", F.lit(0))), "postings")
+    scratch = _Scratch()
+    postings = scratch.keep(_shared(_postings(reps).withColumn("near", F.lit(0).cast("long"))), "postings")
     wanted = postings.select("doc_id").distinct()
     texts = _likely(docs, wanted).join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    sets = materialize(texts.mapInArrow(_shingle_rows(width), "doc_id long, shingles array<long>"), "shingles")
+    sets = scratch.keep(texts.mapInArrow(_shingle_rows(width), "doc_id long, shingles array<long>"), "shingles")
     links, rest = [], postings
-    for turn in range(TURNS):
-        lists = materialize(_lists(rest), "lists")
-        near = materialize(_near(rest, lists, sets), "near")
-        links += [near.where("linked").select("a", "b"), _delta_links(near, sets)]
-        rest = _residue(rest, lists, near, sets, turn)
-        if rest.isEmpty():
+    for turn in range(MOST_TURNS):
+        lists = scratch.keep(_lists(rest), "lists")
+        near = scratch.keep(_near(rest, lists, sets, scratch), "near")
+        links += [near.where("linked").select("a", "b"), _delta_links(near, sets, scratch)]
+        rest = _residue(rest, lists, near, sets, turn, scratch)
+        pairs = rest.groupBy("token").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0] or 0
+        if pairs <= PAIRS_A_DOC * n_docs:
             break
-    links.append(_residual_links(rest, sets))
-    return reduce(DataFrame.union, links).distinct()
-
-
-def components(links: DataFrame) -> DataFrame:
-    """node, component (its smallest reachable node) of all nodes in ``links`` (a, b).
-
-    Each round hops every node to its smallest neighbour and joins the links between what remains; a node's
-    way is followed through all rounds at the end of each. Nothing is gathered on the driver but row counts.
-    """
-    edges = materialize(links.where("a <> b").select("a", "b"), "edges")
-    labels = None
-    while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hop = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("from"), F.least("a", "m").alias("to"))
-        hop = materialize(hop, "hop")
-        if labels is None:
-            labels = hop.select(F.col("from").alias("node"), F.col("to").alias("component"))
-        else:
-            moved = labels.join(hop, labels["component"] == hop["from"], "left")
-            labels = materialize(moved.select("node", F.coalesce("to", "component").alias("component")), "labels")
-        a = hop.select(F.col("from").alias("a"), F.col("to").alias("a_to"))
-        b = hop.select(F.col("from").alias("b"), F.col("to").alias("b_to"))
-        moved = edges.join(a, "a").join(b, "b").where("a_to <> b_to")
-        edges = materialize(moved.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "edges")
-        if edges.isEmpty():
-            return labels
+    links.append(_residual_links(rest, sets, scratch))
+    out = materialize(reduce(DataFrame.union, links).distinct(), "links")
+    scratch.clear()
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -292,7 +289,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
     reps = signed.where("n_shingles > 0").join(classes, [signed["doc_id"] == classes["rep"], signed["set_hi"] == classes["set_hi"], signed["set_lo"] == classes["set_lo"]], "left_semi")
-    labels = components(find_links(docs, reps, width))
+    links = find_links(docs, reps, signed.count(), width)
+    labels = materialize(connected_components(links), "labels")
+    discard(links)
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select("set_hi", "set_lo", "n_shingles", F.coalesce("component", "rep").alias("component"))
     rows = signed.select("doc_id", "n_shingles", "set_hi", "set_lo").join(named, ["set_hi", "set_lo", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
@@ -302,12 +301,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest doc_id; columns as they are.
 
-    Rows that repeat the kept doc_id all stay out but one. Wordless rows and rows without id are no near-duplicates
-    of anything and stay.
+    Of rows of the kept doc_id that have the same text one stays; rows of one doc_id with other texts are one node, and
+    all stay if it does. Wordless rows and rows without id are no near-duplicates of anything and stay.
     """
     found = near_duplicates(docs, width)
-    gone = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct(), "gone")
-    rest = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    again = rest.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    repeated = rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return rest.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
+    gone = materialize(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    # the row in one struct, so that no name of its columns meets ours
+    own = F.col("row.doc_id").cast("long")
+    rest = docs.select(F.struct("*").alias("row")).join(gone, own == gone["id"], "left_anti")
+    again = rest.groupBy(own.alias("id")).agg(F.count("*").alias("n")).where("n > 1 and id is not null").select("id")
+    again = materialize(again, "repeated")
+    once = rest.join(again, own == again["id"], "left_anti")
+    repeated = rest.join(again, own == again["id"], "left_semi").groupBy(own.alias("id"), F.col("row.text").cast("string").alias("words")).agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(repeated).select("row.*")

@@ -22,7 +22,7 @@ from tessera.llm.words import mix64
 BYTE_LEVEL_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LETTER, _NUMBER, _OTHER, _SPACE, _UNKNOWN = range(5)
 #: Characters of one pass, most pieces that are kept, and the longest that is.
-PASS_CHARS, KEPT, LONGEST = 1 << 18, 1 << 20, 64
+PASS_CHARS, KEPT, LONGEST = 1 << 18, 1 << 18, 64
 _STEP = 0x9E3779B97F4A7C15
 
 
