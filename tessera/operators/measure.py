@@ -1,25 +1,47 @@
-"""Aggregates of solids given as triangles (mesh_id, tri, v0..v2, ax..cz): one shuffle on mesh_id, partial sums first."""
+"""Aggregates of solids given as triangles (mesh_id, tri, v0..v2, ax..cz): partial sums first, then one row a solid.
+
+Rows with a null mesh_id are one solid of their own; an empty table gives no rows; a triangle row that comes twice
+counts twice; other columns are not read.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import cross, dot, length, sub, vec
+from tessera.functions.vectors import Vec, cross, dot, length, sub, vec
 
 MIN_COLUMNS, MAX_COLUMNS = [f"min_{c}" for c in "xyz"], [f"max_{c}" for c in "xyz"]
+_CORNERS = (("v0", "a"), ("v1", "b"), ("v2", "c"))
+
+
+def _normal() -> Vec:
+    """Twice the area, along the face normal."""
+    return cross(sub(vec("b"), vec("a")), sub(vec("c"), vec("a")))
 
 
 def measures(tris: DataFrame) -> DataFrame:
-    """Counts, signed volume, area, bounds and genus of each solid."""
-    a, b, c = vec("a"), vec("b"), vec("c")
-    n = cross(sub(b, a), sub(c, a))
-    aggs = [F.count("*").alias("n_tri"), F.sum(dot(n, a) / 6).alias("volume"), F.sum(length(n) / 2).alias("area")]
-    aggs += [F.min(F.least(*(F.col(v + k) for v in "abc"))).alias(f"min_{k}") for k in "xyz"] + [F.max(F.greatest(*(F.col(v + k) for v in "abc"))).alias(f"max_{k}") for k in "xyz"]
-    aggs.append((F.max(F.greatest("v0", "v1", "v2")) + 1).cast("long").alias("n_vert"))
-    df = tris.groupBy("mesh_id").agg(*aggs)
-    edges = (3 * F.col("n_tri") / 2).cast("long")
-    return df.withColumn("n_edge", edges).withColumn("genus", F.expr("1 - (n_vert - n_edge + n_tri) div 2"))
+    """Counts, signed volume, area, bounds and genus of each solid. Vertices are counted, whatever their numbers.
+
+    Each corner is a row, the first one with the triangle's share, so one pass sums up the triangles and counts the
+    vertices; coordinates that are not finite numbers are left out of the bounds.
+    """
+    n = _normal()
+    df = tris.select("mesh_id", "v0", "v1", "v2", *(p + c for p in "abc" for c in "xyz"), (dot(n, vec("a")) / 6).alias("volume"), (length(n) / 2).alias("area"))
+    zero = F.lit(0.0)
+    corner = [
+        F.struct(
+            F.col(v).cast("long").alias("vert"), *(F.nanvl(F.col(p + c), F.lit(None).cast("double")).alias(c) for c in "xyz"),
+            (zero if k else F.col("volume")).alias("volume"), (zero if k else F.col("area")).alias("area"), F.lit(0 if k else 1).cast("long").alias("tri"),
+        )
+        for k, (v, p) in enumerate(_CORNERS)
+    ]
+    rows = df.select("mesh_id", F.explode(F.array(*corner)).alias("p")).select("mesh_id", "p.*")
+    sums = [F.sum(c).alias(c) for c in ("volume", "area", "tri")]
+    per_vert = rows.groupBy("mesh_id", "vert").agg(*sums, *(f(c).alias(f"{k}_{c}") for k, f in (("min", F.min), ("max", F.max)) for c in "xyz"))
+    bounds = [F.min(f"min_{c}").alias(f"min_{c}") for c in "xyz"] + [F.max(f"max_{c}").alias(f"max_{c}") for c in "xyz"]
+    per_mesh = per_vert.groupBy("mesh_id").agg(F.sum("tri").alias("n_tri"), F.sum("volume").alias("volume"), F.sum("area").alias("area"), *bounds, F.count("*").alias("n_vert"))
+    return per_mesh.withColumn("n_edge", F.expr("3 * n_tri div 2")).withColumn("genus", F.expr("1 - (n_vert - n_edge + n_tri) div 2"))
 
 
 def vertex_normals(tris: DataFrame) -> DataFrame:
@@ -40,15 +62,40 @@ def vertex_normals(tris: DataFrame) -> DataFrame:
     return sums.select("mesh_id", "vert", *(F.when(size > 0, F.col(f"s{k}") / size).otherwise(0.0).alias(f"n{k}") for k in "xyz"), "angles")
 
 
-def gauss_curvature(tris: DataFrame) -> DataFrame:
-    """mesh_id, vert, gauss: 2 pi less the angles around a vertex."""
-    return vertex_normals(tris).select("mesh_id", "vert", (F.lit(2 * 3.141592653589793) - F.col("angles")).alias("gauss"))
+def curvature(tris: DataFrame) -> DataFrame:
+    """mesh_id, vert, gauss, mean of closed solids in which two faces meet at every edge.
+
+    Gauss: 2 pi less the angles around a vertex; mean: for each half-edge, a quarter of its length times the dihedral
+    angle, at both its ends. Both are scaled by degree / (6 * a third of the area around the vertex).
+    """
+    n = _normal()
+    df = tris.withColumns({f"n{k}": v for k, v in zip("xyz", n, strict=True)}).withColumn("l", length(vec("n")))
+    df = df.withColumns({f"u{k}": F.try_divide(F.col(f"n{k}"), F.col("l")) for k in "xyz"})
+
+    def angle(p: str, q: str, r: str) -> Column:
+        u, v = sub(vec(q), vec(p)), sub(vec(r), vec(p))
+        return F.acos(F.least(F.greatest(F.try_divide(dot(u, v), length(u) * length(v)), F.lit(-1.0)), F.lit(1.0)))
+
+    corners = F.array(*(F.struct(F.col(v).alias("vert"), angle(p, q, r).alias("angle")) for v, p, q, r in (("v0", "a", "b", "c"), ("v1", "b", "c", "a"), ("v2", "c", "a", "b"))))
+    faces = df.select("mesh_id", (F.col("l") / 6).alias("third"), F.explode(corners).alias("p"))
+    faces = faces.select("mesh_id", "p.vert", "p.angle", "third", F.lit(1.0).alias("degree"), F.lit(0.0).alias("bend"))
+    sides = F.array(*(F.struct(F.col(s).alias("s"), F.col(e).alias("e"), *(F.col(q + k) - F.col(p + k) for k in "xyz")) for s, e, p, q in (("v0", "v1", "a", "b"), ("v1", "v2", "b", "c"), ("v2", "v0", "c", "a"))))
+    edge = df.select("mesh_id", "ux", "uy", "uz", F.explode(sides).alias("h")).select("mesh_id", "ux", "uy", "uz", F.col("h.s").alias("s"), F.col("h.e").alias("e"), *(F.col(f"h.col{k}").alias(f"d{c}") for k, c in enumerate("xyz", 3)))
+    forward = F.col("s") < F.col("e")
+    both = edge.groupBy("mesh_id", F.least("s", "e").alias("lo"), F.greatest("s", "e").alias("hi")).agg(
+        *(F.max(F.when(forward, F.col(f"{g}{c}"))).alias(f"{g}{c}") for g in "ud" for c in "xyz"), *(F.max(F.when(~forward, F.col(f"u{c}"))).alias(f"w{c}") for c in "xyz")
+    )
+    size = length(vec("d"))
+    sine = F.try_divide(dot(cross(vec("u"), vec("w")), vec("d")), size)
+    bend = 0.5 * size * F.asin(F.least(F.greatest(sine, F.lit(-1.0)), F.lit(1.0)))  # both half-edges
+    ends = both.select("mesh_id", F.explode(F.array("lo", "hi")).alias("vert"), bend.alias("bend")).select("mesh_id", "vert", *(F.lit(0.0).alias(c) for c in ("angle", "third", "degree")), "bend")
+    total = faces.unionByName(ends).groupBy("mesh_id", "vert").agg(*(F.sum(c).alias(c) for c in ("angle", "third", "degree", "bend")))
+    factor = F.try_divide(F.col("degree"), 6 * F.col("third"))
+    return total.select("mesh_id", "vert", ((F.lit(2 * 3.141592653589793) - F.col("angle")) * factor).alias("gauss"), (F.col("bend") * factor).alias("mean"))
 
 
 def polygon_measures(points: DataFrame) -> DataFrame:
     """mesh_id, signed area (shoelace), n and bounds of contours (mesh_id, pos, x, y)."""
-    from pyspark.sql import Window
-
     ring = Window.partitionBy("mesh_id").orderBy("pos")
     whole = Window.partitionBy("mesh_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nxt = {c: F.coalesce(F.lead(c).over(ring), F.first(c).over(whole)) for c in "xy"}
@@ -57,14 +104,23 @@ def polygon_measures(points: DataFrame) -> DataFrame:
     return df.groupBy("mesh_id").agg(F.count("*").alias("n"), area.alias("area"), *(f(c).alias(f"{k}_{c}") for k, f in (("min", F.min), ("max", F.max)) for c in "xy"))
 
 
-def checks(tris: DataFrame) -> DataFrame:
-    """mesh_id, triangles without area, whether all corners are finite, and how many vertices are used."""
-    n = cross(sub(vec("b"), vec("a")), sub(vec("c"), vec("a")))
-    finite = [F.abs(F.col(p + c)) < float("inf") for p in "abc" for c in "xyz"]
-    whole = finite[0]
-    for f in finite[1:]:
-        whole = whole & f
+def checks(tris: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """mesh_id, triangles at finite places whose corners lie within ``tolerance`` of a line (seen along the main axis of
+    their normal), whether all corners are finite, whether all numbers are from 0 to the most there can be, and how many are used."""
+    a, b, c = vec("a"), vec("b"), vec("c")
+    u, v, n = sub(b, a), sub(c, a), _normal()
+    size = [F.abs(x) for x in n]
+    main = F.when((size[2] >= size[0]) & (size[2] >= size[1]), 2).when(size[1] >= size[0], 1).otherwise(0)
+    flat = lambda w, k: dot(w, w) - w[k] * w[k]
+    base = F.when(main == 2, F.greatest(flat(u, 2), flat(v, 2))).when(main == 1, F.greatest(flat(u, 1), flat(v, 1))).otherwise(F.greatest(flat(u, 0), flat(v, 0)))
+    most = F.greatest(*size)
+    colinear = 4 * most * most <= base * tolerance * tolerance
+    finite = F.lit(True)
+    for p in "abc":
+        for k in "xyz":
+            finite = finite & (F.abs(F.col(p + k)) < float("inf"))
     used = F.explode(F.array("v0", "v1", "v2")).alias("v")
-    count = tris.select("mesh_id", used).distinct().groupBy("mesh_id").agg(F.count("*").alias("n_used"))
-    flags = tris.groupBy("mesh_id").agg(F.count_if(length(n) == 0).alias("n_degenerate"), F.min(F.coalesce(whole, F.lit(False))).alias("is_finite"))
-    return flags.join(count, "mesh_id")
+    count = tris.select("mesh_id", used).distinct().groupBy("mesh_id").agg(F.count("*").alias("n_used"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    flags = tris.groupBy("mesh_id").agg(F.count_if(colinear & finite).alias("n_degenerate"), F.min(F.coalesce(finite, F.lit(False))).alias("is_finite"))
+    whole = flags.join(count.withColumnRenamed("mesh_id", "_mesh"), F.col("mesh_id").eqNullSafe(F.col("_mesh")))
+    return whole.select("mesh_id", "n_degenerate", "is_finite", ((F.col("lo") >= 0) & (F.col("hi") < F.col("n_used"))).alias("is_dense"), "n_used")

@@ -3,6 +3,9 @@ fixed few triangles, which are exploded."""
 
 from __future__ import annotations
 
+import math
+from itertools import combinations, product
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +15,22 @@ from tessera.functions.vectors import cosd, sind
 CUBE_FACES = ((0, 1, 3, 2), (4, 6, 7, 5), (0, 4, 5, 1), (2, 3, 7, 6), (0, 2, 6, 4), (1, 5, 7, 3))
 CUBE_VERTS = tuple((v >> 2 & 1, v >> 1 & 1, v & 1) for v in range(8))
 CUBE = tuple(t for a, b, c, d in CUBE_FACES for t in ((a, b, c), (a, c, d)))
-#: Alternate corners of a cube of side two around the origin.
-TETRA_VERTS = ((-1, -1, 1), (-1, 1, -1), (1, -1, -1), (1, 1, 1))
-TETRA = ((2, 3, 0), (0, 3, 1), (2, 1, 3), (0, 1, 2))
-SHAPES = {"cube": (CUBE_VERTS, CUBE), "tetrahedron": (TETRA_VERTS, TETRA)}
+#: Alternate corners of a cube of side two around the origin, in the order of their coordinates.
+TETRA_VERTS = tuple(sorted(v for v in product((-1, 1), repeat=3) if v[0] * v[1] * v[2] == 1))
+OCTA_VERTS = ((-1, 0, 0), (0, -1, 0), (0, 0, -1), (0, 0, 1), (0, 1, 0), (1, 0, 0))
+
+
+def _outward(verts, face) -> tuple[int, int, int]:
+    """The face of a solid around the origin, seen counter-clockwise from outside."""
+    (ax, ay, az), (bx, by, bz), (cx, cy, cz) = (verts[v] for v in face)
+    turn = ax * (by * cz - bz * cy) + ay * (bz * cx - bx * cz) + az * (bx * cy - by * cx)
+    return face if turn > 0 else (face[0], face[2], face[1])
+
+
+#: Every three corners are a face, those of the octahedron that have no two opposite ones.
+TETRA = tuple(_outward(TETRA_VERTS, f) for f in combinations(range(4), 3))
+OCTA = tuple(_outward(OCTA_VERTS, f) for f in combinations(range(6), 3) if all(i + j != 5 for i, j in combinations(f, 2)))
+SHAPES = {"cube": (CUBE_VERTS, CUBE), "tetrahedron": (TETRA_VERTS, TETRA), "octahedron": (OCTA_VERTS, OCTA)}
 
 
 def triangles(instances: DataFrame, shape: str = "cube") -> DataFrame:
@@ -61,3 +76,43 @@ def affine(tris: DataFrame, matrix: list[float]) -> DataFrame:
     moved = {n: {c: m[r][0] * F.col(n + "x") + m[r][1] * F.col(n + "y") + m[r][2] * F.col(n + "z") + m[r][3] for r, c in enumerate("xyz")} for n in "abc"}
     order, ends = ("abc", ("v0", "v1", "v2")) if d >= 0 else ("acb", ("v0", "v2", "v1"))
     return tris.select("mesh_id", "tri", *(F.col(e).alias(f"v{i}") for i, e in enumerate(ends)), *(moved[o][c].alias(n + c) for n, o in zip("abc", order, strict=True) for c in "xyz"))
+
+
+def rotation(x: float, y: float = 0.0, z: float = 0.0) -> list[float]:
+    """3x4 matrix of turns in degrees about x, then y, then z; exact at multiples of 90."""
+
+    def both(degrees: float) -> tuple[float, float]:
+        quarter = round(degrees / 90)
+        rest = math.radians(degrees - 90 * quarter)
+        s, c = math.sin(rest), math.cos(rest)
+        return ((s, c), (c, -s), (-s, -c), (-c, s))[quarter % 4]
+
+    (sx, cx), (sy, cy), (sz, cz) = both(x), both(y), both(z)
+    return [
+        cy * cz, sx * sy * cz - cx * sz, cx * sy * cz + sx * sz, 0.0,
+        cy * sz, sx * sy * sz + cx * cz, cx * sy * sz - sx * cz, 0.0,
+        -sy, sx * cy, cx * cy, 0.0,
+    ]
+
+
+def reflection(x: float, y: float, z: float) -> list[float]:
+    """3x4 matrix of the mirror through the origin with this normal."""
+    n, size = (x, y, z), x * x + y * y + z * z
+    return [v for r in range(3) for v in (*((1.0 if r == c else 0.0) - 2 * n[r] * n[c] / size for c in range(3)), 0.0)]
+
+
+def translate(tris: DataFrame, x: float, y: float, z: float) -> DataFrame:
+    return affine(tris, [1.0, 0.0, 0.0, x, 0.0, 1.0, 0.0, y, 0.0, 0.0, 1.0, z])
+
+
+def scale(tris: DataFrame, x: float, y: float, z: float) -> DataFrame:
+    return affine(tris, [x, 0.0, 0.0, 0.0, 0.0, y, 0.0, 0.0, 0.0, 0.0, z, 0.0])
+
+
+def rotate(tris: DataFrame, x: float, y: float = 0.0, z: float = 0.0) -> DataFrame:
+    return affine(tris, rotation(x, y, z))
+
+
+def mirror(tris: DataFrame, x: float, y: float, z: float) -> DataFrame:
+    """No rows if the normal has no length."""
+    return affine(tris, reflection(x, y, z)) if x * x + y * y + z * z > 0 else tris.where("false")

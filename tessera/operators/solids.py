@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import Vec, cosd, sind, vec
-from tessera.operators.spatial import slice_segments
+from tessera.operators.spatial import overlap_join, slice_segments, triangle_boxes
 from tessera.operators.topology import connected_components, halfedges, paired
 
 _CORNERS = [n + c for n in "abc" for c in "xyz"]
@@ -79,43 +79,92 @@ def revolve(points: DataFrame) -> DataFrame:
     return _numbered(df, F.array(_triangle(a, d, b), _triangle(a, c, d)), 2 * number(F.col("pos"), F.col("k")))
 
 
+def once(df: DataFrame) -> DataFrame:
+    """The same rows, passed through a generator: what is done to the columns afterwards takes their values, and does not
+    spell out the expressions that made them again, which outgrows compiled code where they are large."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def _lattice(n: Column) -> list[Column]:
+    """(i, j, down) of the small triangles in a face cut ``n`` times an edge, as an array of structs to explode."""
+    i = F.sequence(F.lit(0), n - 1)
+    return F.flatten(F.transform(i, lambda k: F.transform(F.sequence(F.lit(0), 2 * (n - k) - 2), lambda m: F.struct(k.alias("i"), F.shiftright(m, 1).alias("j"), m.bitwiseAND(F.lit(1)).alias("down")))))
+
+
+def _octahedral_number(x: Column, y: Column, z: Column, n: Column) -> Column:
+    """Number from 0 of the lattice point with |x| + |y| + |z| = n: layer by layer of z, around each ring."""
+    r = F.abs(x) + F.abs(y)
+    turn = F.when((x > 0) & (y >= 0), y).when((x <= 0) & (y > 0), r - x).when((x < 0) & (y <= 0), 2 * r - y).otherwise(3 * r + x)
+    below = F.when(r == 0, 0).otherwise(1 + 2 * r * (r - 1))
+    above = 4 * n * n + 2 - (2 * r * r + 2 * r + 1)
+    return F.when(z <= 0, below).otherwise(above) + F.when(r == 0, 0).otherwise(turn)
+
+
 def sphere(instances: DataFrame) -> DataFrame:
-    """8 n^2 triangles per instance (mesh_id, radius, n): each face of an octahedron cut n times an edge, then bent."""
-    n = F.col("n")
-    df = instances.where("n > 0 and radius > 0").withColumn("i", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), n - 1 - F.col("i"))))
-    df = df.withColumn("octant", F.explode(F.array(*map(F.lit, range(8)))))
-    sign = [1 - 2 * F.shiftright("octant", k).bitwiseAND(F.lit(1)) for k in range(3)]
-
-    def corner(di: int, dj: int) -> tuple[Column, Vec]:
-        place = [F.col("i") + di, F.col("j") + dj, n - F.col("i") - F.col("j") - di - dj]
-        bent = [s * F.sin(F.lit(3.141592653589793 / 2) * p / n) for s, p in zip(sign, place, strict=True)]
-        size = F.sqrt(bent[0] * bent[0] + bent[1] * bent[1] + bent[2] * bent[2])
-        side = 2 * n + 1
-        number = ((sign[0] * place[0] + n) * side + sign[1] * place[1] + n) * side + sign[2] * place[2] + n
-        return number, tuple(F.col("radius") * x / size for x in bent)
-
-    mirrored = sign[0] * sign[1] * sign[2] < 0
-    up, down = [corner(1, 0), corner(0, 1), corner(0, 0)], [corner(1, 1), corner(0, 1), corner(1, 0)]
-    turned = lambda t: F.when(mirrored, _triangle(t[0], t[2], t[1])).otherwise(_triangle(*t))
-    parts = F.array(turned(up), F.when(F.col("i") + F.col("j") < n - 1, turned(down)))
-    return _numbered(df, parts, 2 * ((F.col("octant") * n + F.col("i")) * n + F.col("j")))
+    """8 n^2 triangles per instance (mesh_id, radius, n): each face of an octahedron cut n times an edge, then bent.
+
+    A triangle is a row of small integers first; its three corners are numbered and placed once each. Vertices have the
+    numbers 0 to 4 n^2 + 1. A radius or n not above 0 gives no solid.
+    """
+    df = instances.where("n > 0 and radius > 0").select("mesh_id", F.col("radius").cast("double"), F.col("n").cast("long"))
+    df = df.select("*", F.explode(_lattice(F.col("n"))).alias("t"))
+    df = df.select("mesh_id", "radius", "n", *(F.col(f"t.{c}").alias(c) for c in ("i", "j", "down")), F.explode(F.array(*map(F.lit, range(8)))).alias("octant"))
+    sign = {c: 1 - 2 * F.shiftright("octant", k).bitwiseAND(F.lit(1)) for k, c in enumerate("xyz")}
+    df = df.withColumns({f"s{c}": v for c, v in sign.items()})
+    turned = F.col("sx") * F.col("sy") * F.col("sz") < 0
+    # corners of the upright triangle (1, 0), (0, 1), (0, 0) and of the other (1, 1), (0, 1), (1, 0); a mirrored octant
+    # takes the last two the other way round
+    last = {"b": (F.lit(0), F.lit(1)), "c": (F.col("down"), F.lit(0))}
+    steps = {"a": (F.lit(1), F.col("down"))}
+    for p, q in (("b", "c"), ("c", "b")):
+        steps[p] = tuple(F.when(turned, last[q][k]).otherwise(last[p][k]) for k in range(2))
+    places = {}
+    for p, (di, dj) in steps.items():
+        places |= {f"{p}i": F.col("i") + di, f"{p}j": F.col("j") + dj}
+    df = df.select("*", *(v.alias(k) for k, v in places.items()))
+    df = df.select("*", *((F.col("n") - F.col(f"{p}i") - F.col(f"{p}j")).alias(f"{p}k") for p in "abc"))
+    bent = {f"{p}s{c}": F.sin(F.lit(3.141592653589793 / 2) * F.col(f"{p}{c}") / F.col("n")) for p in "abc" for c in "ijk"}
+    df = df.select("*", *(v.alias(k) for k, v in bent.items()))
+    scale = {f"{p}r": F.col("radius") / F.sqrt(sum((F.col(f"{p}s{c}") * F.col(f"{p}s{c}") for c in "ijk"), F.lit(0.0))) for p in "abc"}
+    df = df.select("*", *(v.alias(k) for k, v in scale.items()))
+    number = [_octahedral_number(*(F.col(f"s{c}") * F.col(f"{p}{e}") for c, e in zip("xyz", "ijk", strict=True)), F.col("n")).cast("long").alias(f"v{k}") for k, p in enumerate("abc")]
+    at = [(F.col(f"s{c}") * F.col(f"{p}s{e}") * F.col(f"{p}r")).alias(p + c) for p in "abc" for c, e in zip("xyz", "ijk", strict=True)]
+    tri = F.col("octant") * F.col("n") * F.col("n") + F.col("i") * (2 * F.col("n") - F.col("i")) + 2 * F.col("j") + F.col("down")
+    return once(df.select("mesh_id", tri.cast("long").alias("tri"), *number, *at))
 
 
 def refine(tris: DataFrame, n: int) -> DataFrame:
-    """Each edge in ``n`` parts and so each triangle in n^2; n < 2 is the same solid. A new vertex's number is a hash
-    of the corners it lies between and its place, so triangles that share an edge share its points without a join."""
+    """Each edge in ``n`` parts and so each triangle in n^2; n < 2 is the same solid.
+
+    A new vertex on an edge is numbered by a 64-bit hash of the edge's ends and its place there, so triangles that share
+    an edge share its points without a join; ``topology.renumber`` makes the numbers dense.
+    """
     if n < 2:
         return tris
-    steps = [(i, j) for i in range(n) for j in range(n - i)]
-
-    def point(i: int, j: int) -> tuple[Column, Vec]:
-        w = (i, j, n - i - j)
-        on = [F.struct(F.col(f"v{k}").cast("long").alias("v"), F.lit(w[k]).alias("w")) for k in range(3) if w[k]]
-        return F.xxhash64(F.array_sort(F.array(*on))), tuple(sum((F.col(p + c) * w[k] for k, p in enumerate("abc")), F.lit(0.0)) / n for c in "xyz")
-
-    up = [_triangle(point(i + 1, j), point(i, j + 1), point(i, j)) for i, j in steps]
-    down = [_triangle(point(i + 1, j + 1), point(i, j + 1), point(i + 1, j)) for i, j in steps if i + j < n - 1]
-    return _numbered(tris, F.array(*up, *down), F.col("tri") * n * n)
+    steps = [(i, j, d) for i in range(n) for j in range(n - i) for d in (0, 1) if not d or i + j < n - 1]
+    df = tris.select("mesh_id", "tri", *(F.col(f"v{k}").cast("long") for k in range(3)), *_CORNERS, F.posexplode(F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in zip(("i", "j", "down"), s, strict=True))) for s in steps))).alias("place", "t"))
+    i, j, down = (F.col(f"t.{c}") for c in ("i", "j", "down"))
+    weights = {"a": (i + 1, j + down), "b": (i, j + 1), "c": (i + down, j)}
+    out = {}
+    for p, (w0, w1) in weights.items():
+        out |= {f"{p}0": w0, f"{p}1": w1, f"{p}2": n - w0 - w1}
+    df = df.select("*", *(v.alias(f"w_{k}") for k, v in out.items()))
+
+    def number(p: str) -> Column:
+        w = [F.col(f"w_{p}{k}") for k in range(3)]
+        v = [F.col(f"v{k}") for k in range(3)]
+        chain = F.xxhash64(F.least(*v), F.greatest(*v), v[0] + v[1] + v[2], F.lit(n), "tri", w[0], w[1])
+        for k in range(3):
+            x, y = (k + 1) % 3, (k + 2) % 3
+            swap = v[x] > v[y]
+            chain = F.when(w[k] == 0, F.xxhash64(F.least(v[x], v[y]), F.greatest(v[x], v[y]), F.when(swap, w[y]).otherwise(w[x]))).otherwise(chain)
+        for k in range(3):
+            chain = F.when(w[k] == n, v[k]).otherwise(chain)
+        return chain
+
+    at = [(sum((F.col(q + c) * F.col(f"w_{p}{k}") for k, q in enumerate("abc")), F.lit(0.0)) / n).alias(f"n_{p}{c}") for p in "abc" for c in "xyz"]
+    df = df.select("mesh_id", (F.col("tri") * (n * n) + F.col("place")).alias("tri"), *(number(p).alias(f"v{k}") for k, p in enumerate("abc")), *at)
+    return once(df.select("mesh_id", "tri", "v0", "v1", "v2", *(F.col(f"n_{c}").alias(c) for c in _CORNERS)))
 
 
 def silhouette(tris: DataFrame) -> DataFrame:
@@ -166,20 +215,22 @@ def decompose(tris: DataFrame) -> DataFrame:
     """``tris`` with ``piece``, the smallest vertex of the connected part that a triangle belongs to (numbers below 2^31)."""
     key = lambda v: F.shiftleft(F.col("mesh_id").cast("long"), 31) + F.col(v)
     links = tris.select(key("v0").alias("a"), key("v1").alias("b")).union(tris.select(key("v1"), key("v2")))
-    labels = connected_components(links.distinct()).select(F.col("node").alias("_at"), F.col("component").bitwiseAND(F.lit((1 << 31) - 1)).alias("piece"))
-    return tris.withColumn("_at", key("v0")).join(labels, "_at").drop("_at")
+    labels = connected_components(links.distinct()).select("node", F.col("component").bitwiseAND(F.lit((1 << 31) - 1)).alias("piece"))
+    whole = tris.select(F.struct("*").alias("row"), key("v0").alias("node")).join(labels, "node")
+    return whole.select(*(F.col("row")[c].alias(c) for c in tris.columns if c != "piece"), "piece")
 
 
-def winding_numbers(points: DataFrame, tris: DataFrame, cell: float) -> DataFrame:
+def winding_numbers(points: DataFrame, tris: DataFrame, same_mesh: bool = False) -> DataFrame:
     """id, mesh_id, winding (where not 0) of points (id, x, y, z) in solids: faces that a vertical ray upwards leaves
-    through less those it enters by. Points meet triangles by cells of a grid over x and y; an edge counts for the
-    face on one side of it alone, so rays through edges are counted once."""
-    boxes = tris
-    for c in "xy":
-        lo, hi = (F.floor(f(*(F.col(n + c) for n in "abc")) / cell) for f in (F.least, F.greatest))
-        boxes = boxes.withColumn(f"cell_{c}", F.explode(F.sequence(lo, hi)))
-    dealt = points.select("id", *(F.col(c).alias(f"p{c}") for c in "xyz"), *(F.floor(F.col(c) / cell).alias(f"cell_{c}") for c in "xy"))
-    met = dealt.join(boxes, ["cell_x", "cell_y"])
+    through less those it enters by. Points meet the shadows of triangles by a join of boxes over x and y; an edge
+    counts for the face on one side of it alone, so rays through edges are counted once. Points with a null or without
+    a finite place have no row; repeated points of one id are added up. With ``same_mesh``, points have a mesh_id too
+    and meet that solid alone."""
+    shade = triangle_boxes(tris.select("mesh_id", "tri", *_CORNERS)).withColumns({"lo_z": F.lit(0.0), "hi_z": F.lit(0.0)})
+    dots = points.where(" and ".join(f"abs({c}) < double('infinity')" for c in "xyz")).select("id", *(["mesh_id"] if same_mesh else []), *(F.col(c).cast("double") for c in "xyz"))
+    dots = dots.withColumns({f"{e}_{c}": F.col(c) if c != "z" else F.lit(0.0) for e in ("lo", "hi") for c in "xyz"})
+    pairs = overlap_join(dots, shade, keys=("mesh_id",)) if same_mesh else overlap_join(dots, shade).withColumnRenamed("b_mesh_id", "mesh_id")
+    met = pairs.select(F.col("a_id").alias("id"), "mesh_id", *(F.col(f"a_{c}").alias(f"p{c}") for c in "xyz"), *(F.col(f"b_{c}").alias(c) for c in _CORNERS))
 
     def crosses(p: str, q: str) -> Column:
         """1 or -1 where a ray to greater x crosses the edge's projection upwards or downwards, else 0."""

@@ -16,33 +16,86 @@ def halfedges(tris: DataFrame) -> DataFrame:
 
 
 def paired(edges: DataFrame) -> DataFrame:
-    """``edges`` with ``paired``: the half-edge that runs the other way; the i-th of equal ones with the i-th, null if open."""
-    rank = F.row_number().over(Window.partitionBy("mesh_id", "start_v", "end_v").orderBy("he"))
-    ranked = edges.withColumn("rank", rank)
-    other = ranked.select("mesh_id", F.col("start_v").alias("end_v"), F.col("end_v").alias("start_v"), "rank", F.col("he").alias("paired"))
-    return ranked.join(other, ["mesh_id", "start_v", "end_v", "rank"], "left").select("mesh_id", "he", "start_v", "end_v", "paired")
+    """``edges`` with ``paired``: the half-edge that runs the other way; the i-th of equal ones with the i-th, null if
+    open. Both directions of an edge meet by one move; ranks and partners are found where they meet."""
+    df = edges.withColumns({"lo": F.least("start_v", "end_v"), "hi": F.greatest("start_v", "end_v"), "forward": F.col("start_v") < F.col("end_v")})
+    df = df.repartition("mesh_id", "lo", "hi")
+    df = df.withColumn("rank", F.row_number().over(Window.partitionBy("mesh_id", "lo", "hi", "forward").orderBy("he")))
+    mates = Window.partitionBy("mesh_id", "lo", "hi", "rank")
+    other = F.when(F.col("forward"), F.max(F.when(~F.col("forward"), F.col("he"))).over(mates)).otherwise(F.max(F.when(F.col("forward"), F.col("he"))).over(mates))
+    return df.withColumn("paired", other).select("mesh_id", "he", "start_v", "end_v", "paired")
+
+
+def undirected(edges: DataFrame) -> DataFrame:
+    """mesh_id, lo, hi, how many half-edges run forward and backward, and the least forward one (or the least)."""
+    forward = F.col("start_v") < F.col("end_v")
+    return edges.groupBy("mesh_id", F.least("start_v", "end_v").alias("lo"), F.greatest("start_v", "end_v").alias("hi")).agg(
+        F.count_if(forward).alias("forward"), F.count_if(~forward).alias("backward"), F.coalesce(F.min(F.when(forward, F.col("he"))), F.min("he")).alias("he")
+    )
 
 
 def manifold_check(tris: DataFrame) -> DataFrame:
-    """mesh_id, n_halfedge, n_open, n_duplicate, is_manifold, is_2_manifold."""
-    by_edge = paired(halfedges(tris)).groupBy("mesh_id", "start_v", "end_v").agg(F.count("*").alias("n"), F.count_if(F.col("paired").isNull()).alias("open"))
-    df = by_edge.groupBy("mesh_id").agg(F.sum("n").alias("n_halfedge"), F.sum("open").alias("n_open"), F.sum(F.col("n") - 1).alias("n_duplicate"))
+    """mesh_id, n_halfedge, n_open, n_duplicate, is_manifold, is_2_manifold: one grouping by edge, partial counts first."""
+    more = lambda c: F.greatest(F.col(c) - 1, F.lit(0))
+    df = undirected(halfedges(tris)).groupBy("mesh_id").agg(
+        F.sum(F.col("forward") + F.col("backward")).alias("n_halfedge"), F.sum(F.abs(F.col("forward") - F.col("backward"))).alias("n_open"), F.sum(more("forward") + more("backward")).alias("n_duplicate")
+    )
     return df.withColumn("is_manifold", F.col("n_open") == 0).withColumn("is_2_manifold", (F.col("n_open") == 0) & (F.col("n_duplicate") == 0))
 
 
 def open_edges(tris: DataFrame) -> DataFrame:
-    """Half-edges without one that runs the other way."""
-    edges = halfedges(tris)
-    other = edges.select("mesh_id", F.col("end_v").alias("start_v"), F.col("start_v").alias("end_v"))
-    return edges.join(other, ["mesh_id", "start_v", "end_v"], "left_anti")
+    """Half-edges that pairing leaves alone."""
+    return paired(halfedges(tris)).where("paired is null").drop("paired")
+
+
+def without_opposed(tris: DataFrame) -> DataFrame:
+    """``tris`` without triangles that have the same corners as another, the other way round: the i-th of either way
+    go together."""
+    key = F.array_sort(F.array("v0", "v1", "v2"))
+    low = F.least("v0", "v1", "v2")
+    after = F.when(F.col("v0") == low, F.col("v1")).when(F.col("v1") == low, F.col("v2")).otherwise(F.col("v0"))
+    df = tris.withColumns({"_key": key, "_way": after == key[1]})
+    sides = Window.partitionBy("mesh_id", "_key")
+    df = df.withColumn("_rank", F.row_number().over(Window.partitionBy("mesh_id", "_key", "_way").orderBy("tri")))
+    df = df.withColumns({"_on": F.count_if(F.col("_way")).over(sides), "_against": F.count_if(~F.col("_way")).over(sides)})
+    return df.where(F.col("_rank") > F.least("_on", "_against")).select(*tris.columns)
+
+
+def orbits(tris: DataFrame) -> DataFrame:
+    """mesh_id, vert, he, next: from each half-edge that leaves a vertex the next one that leaves it, across the edge."""
+    edges = paired(halfedges(tris)).where("paired is not null")
+    return edges.select("mesh_id", F.col("start_v").alias("vert"), "he", F.when(F.col("paired") % 3 == 2, F.col("paired") - 2).otherwise(F.col("paired") + 1).alias("next"))
+
+
+def edge_predicates(tris: DataFrame, epsilon: float) -> DataFrame:
+    """mesh_id, he, is_forward, is_short (shorter than ``epsilon``), is_paired (its partner runs the other way), of every
+    half-edge."""
+    sides = F.array(*(F.struct(F.lit(k).alias("k"), sum(((F.col(p + c) - F.col(q + c)) * (F.col(p + c) - F.col(q + c)) for c in "xyz"), F.lit(0.0)).alias("d")) for k, (p, q) in enumerate(("ab", "bc", "ca"))))
+    size = tris.select("mesh_id", "tri", F.explode(sides).alias("h")).select("mesh_id", (3 * F.col("tri") + F.col("h.k")).alias("he"), F.col("h.d").alias("d"))
+    flags = paired(halfedges(tris)).select("mesh_id", "he", (F.col("start_v") < F.col("end_v")).alias("is_forward"), F.col("paired").isNotNull().alias("is_paired"))
+    return flags.join(size, ["mesh_id", "he"]).select("mesh_id", "he", "is_forward", (F.col("d") < epsilon * epsilon).alias("is_short"), "is_paired")
+
+
+def renumber(tris: DataFrame) -> DataFrame:
+    """``tris`` with vertices numbered from 0 in the order of their old numbers, those not used left out.
+
+    Numbers are ranks within a solid; they reach the triangles by joins on (mesh_id, old number).
+    """
+    used = tris.select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("old")).distinct()
+    ranks = used.withColumn("new", F.row_number().over(Window.partitionBy("mesh_id").orderBy("old")) - 1)
+    out = tris
+    for k in range(3):
+        out = out.join(ranks.select("mesh_id", F.col("old").alias(f"v{k}"), F.col("new").cast("long").alias(f"w{k}")), ["mesh_id", f"v{k}"])
+    return out.withColumns({f"v{k}": F.col(f"w{k}") for k in range(3)}).select(*tris.columns)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node) of an edge list (a, b).
 
-    Every round each node hops to that of its neighbours and itself which is least in an order drawn anew, and links
-    are drawn between what is left. About two fifths of the nodes that still have links go each round, however they are
-    numbered, so rounds grow with the logarithm of the number of nodes. Hubs are split where labels follow the hops.
+    Every round each node hops to that of its neighbours and itself which is least in the order of a hash, and links are
+    drawn between what is left. In that order about half of the nodes of a path go each round, however they are
+    numbered, and all leaves of a star, so rounds grow with the logarithm of the number of nodes. Hubs are split where
+    labels follow the hops.
 
     Edges with a null end, and their other end, are left out; repeated edges and loops are no matter (a node with only
     a loop is its own component); no edges give no rows; other columns are not read.
@@ -52,7 +105,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     nodes = materialize(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), "nodes")
     hops = []
     while size := live.count():
-        mark = lambda c: F.struct(F.xxhash64(c, F.lit(len(hops))).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
+        mark = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
         both = live.select(F.col("a").alias("at"), mark("b").alias("other")).union(live.select("b", mark("a")))
         least = both.groupBy("at").agg(F.min("other").alias("m"))
         hop = materialize(least.select("at", F.least("m", mark("at"))["id"].alias("to")), "hop")

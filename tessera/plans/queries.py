@@ -88,8 +88,40 @@ def vertex_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(df, "nx", "ny", "nz", "angles")
 
 
-def gauss_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(measure.gauss_curvature(shapes.triangles(instances(spark, sf_dir), "tetrahedron")), "gauss")
+def curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gauss and mean curvature of scaled cubes and tetrahedra."""
+    both = [measure.curvature(shapes.triangles(instances(spark, sf_dir), k)).withColumn("shape", F.lit(k)) for k in ("cube", "tetrahedron")]
+    return _rounded(both[0].unionByName(both[1]), "gauss", "mean")
+
+
+def _edge_length(p: str, q: str) -> str:
+    return "sqrt(" + " + ".join(f'pow("{q}{c}" - "{p}{c}", 2)' for c in "xyz") + ")"
+
+
+def _corner_angle(p: str, q: str, r: str) -> str:
+    top = " + ".join(f'("{q}{c}" - "{p}{c}") * ("{r}{c}" - "{p}{c}")' for c in "xyz")
+    return f"acos(least(greatest(({top}) / ({_edge_length(p, q)} * {_edge_length(p, r)}), -1), 1))"
+
+
+def _curvature_sql(shape: str) -> str:
+    """Angles, areas and dihedral angles of each vertex; the two faces of an edge meet by a join of half-edges."""
+    tri = _tri_sql(shape)
+    corner = " UNION ALL ".join(f"SELECT mesh_id, {v} AS vert, {_corner_angle(p, q, r)} AS angle, size FROM f" for v, p, q, r in (("v0", "a", "b", "c"), ("v1", "b", "c", "a"), ("v2", "c", "a", "b")))
+    edge = " UNION ALL ".join(f'SELECT mesh_id, {s} AS s, {e} AS e, ux, uy, uz, {", ".join(f""" "{q}{c}" - "{p}{c}" AS d{c}""" for c in "xyz")} FROM f' for s, e, p, q in (("v0", "v1", "a", "b"), ("v1", "v2", "b", "c"), ("v2", "v0", "c", "a")))
+    sine = "((h.uy*o.uz - h.uz*o.uy)*h.dx + (h.uz*o.ux - h.ux*o.uz)*h.dy + (h.ux*o.uy - h.uy*o.ux)*h.dz) / h.len"
+    return f"""WITH {tri}, f0 AS (SELECT *, {_N[0]} AS nx, {_N[1]} AS ny, {_N[2]} AS nz, {_SQRT} AS size FROM t), f AS (SELECT *, nx / size AS ux, ny / size AS uy, nz / size AS uz FROM f0),
+c AS ({corner}), h0 AS ({edge}), h AS (SELECT *, sqrt(dx*dx + dy*dy + dz*dz) AS len FROM h0),
+d AS (SELECT h.mesh_id, h.s, h.e, h.len / 4 * asin(least(greatest({sine}, -1), 1)) AS bend FROM h JOIN h o ON h.mesh_id = o.mesh_id AND h.s = o.e AND h.e = o.s),
+m AS (SELECT mesh_id, vert, sum(bend) AS bend FROM (SELECT mesh_id, s AS vert, bend FROM d UNION ALL SELECT mesh_id, e, bend FROM d) GROUP BY ALL),
+v AS (SELECT mesh_id, vert, 2 * pi() - sum(angle) AS rest, count(*) / sum(size) AS factor FROM c GROUP BY ALL)
+SELECT mesh_id, vert, '{shape}' AS shape, round(rest * factor, 4) + 0.0 AS gauss, round(bend * factor, 4) + 0.0 AS mean FROM v JOIN m USING (mesh_id, vert)"""
+
+
+def _normals_sql() -> str:
+    corner = " UNION ALL ".join(f"SELECT mesh_id, {v} AS vert, {_corner_angle(p, q, r)} AS w, ux, uy, uz FROM f" for v, p, q, r in (("v0", "a", "b", "c"), ("v1", "b", "c", "a"), ("v2", "c", "a", "b")))
+    return f"""WITH {_tri_sql("cube")}, f0 AS (SELECT *, {_N[0]} AS nx, {_N[1]} AS ny, {_N[2]} AS nz, {_SQRT} AS size FROM t), f AS (SELECT *, nx / size AS ux, ny / size AS uy, nz / size AS uz FROM f0), c AS ({corner}),
+n AS (SELECT mesh_id, vert, sum(w*ux) AS x, sum(w*uy) AS y, sum(w*uz) AS z, sum(w) AS angles FROM c GROUP BY ALL)
+SELECT mesh_id, vert, {", ".join(f"round({c} / sqrt(x*x + y*y + z*z), 4) + 0.0 AS n{c}" for c in "xyz")}, round(angles, 4) + 0.0 AS angles FROM n"""
 
 
 MATRIX = [0.0, -1.0, 0.0, 3.0, 2.0, 0.0, 0.0, 0.0, 0.0, 0.0, -1.0, 1.0]
@@ -127,13 +159,13 @@ _TOUCH = " AND ".join(f"a.lo_{k} <= b.hi_{k} AND b.lo_{k} <= a.hi_{k}" for k in
 
 def aabb_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = _boxes(spark, sf_dir)
-    return spatial.overlap_join(boxes, boxes, 0.04, self_join=True).select("a", "b")
+    return spatial.overlap_join(boxes, boxes, self_join=True).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
 def aabb_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = _boxes(spark, sf_dir)
     moved = boxes.select("id", *((F.col(f"{e}_{k}") + 0.03).alias(f"{e}_{k}") for e in ("lo", "hi") for k in "xyz"))
-    return spatial.overlap_join(boxes, moved, 0.04).select("a", "b")
+    return spatial.overlap_join(boxes, moved).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
 _MOVED = "m AS (SELECT id, " + ", ".join(f"{e}_{k} + 0.03::DOUBLE AS {e}_{k}" for e in ("lo", "hi") for k in "xyz") + " FROM b)"
@@ -141,7 +173,7 @@ _MOVED = "m AS (SELECT id, " + ", ".join(f"{e}_{k} + 0.03::DOUBLE AS {e}_{k}" fo
 
 def box_booleans(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = _boxes(spark, sf_dir)
-    return _rounded(spatial.box_boolean_volume(spatial.overlap_join(boxes, boxes, 0.04, self_join=True)), "intersection", "union_volume", "difference", places=9)
+    return _rounded(spatial.box_boolean_volume(spatial.overlap_join(boxes, boxes, self_join=True)), "intersection", "union_volume", "difference", places=9)
 
 
 _SIZE = lambda n: " * ".join(f"({n}.hi_{k} - {n}.lo_{k})" for k in "xyz")
@@ -170,18 +202,21 @@ def _part_supplier_components(line: DataFrame) -> DataFrame:
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the few edges that the recursive SQL can follow; ``components_whole`` takes all."""
-    return _part_supplier_components(_table(spark, sf_dir, "lineitem").where("l_quantity = 1 and l_linenumber = 1"))
+    """All part-supplier edges. No SQL form, the recursive one is too slow; tested against union-find."""
+    return _part_supplier_components(_table(spark, sf_dir, "lineitem"))
 
 
-def components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL form, the recursive one is too slow; tested against union-find."""
-    return _part_supplier_components(_table(spark, sf_dir, "lineitem"))
+def nation_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers tied to their nation, and nations to their region: few steps, which SQL can follow."""
+    nation, customer = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "customer")
+    key = lambda c, k: F.col(c).cast("long") + k * 1_000_000_000
+    links = nation.select(key("n_nationkey", 1).alias("a"), key("n_regionkey", 0).alias("b")).union(customer.select(key("c_custkey", 2), key("c_nationkey", 1)))
+    return topology.connected_components(links)
 
 
-COMPONENTS_SQL = """WITH RECURSIVE l AS (SELECT l_partkey AS a, l_suppkey + 1000000000 AS b FROM lineitem WHERE l_quantity = 1 AND l_linenumber = 1),
-e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), w AS (SELECT a AS node, a AS seen FROM e UNION SELECT w.node, e.b FROM w JOIN e ON w.seen = e.a)
-SELECT node, min(seen) AS component FROM w GROUP BY node"""
+COMPONENTS_SQL = """WITH RECURSIVE l AS (SELECT n_nationkey::BIGINT + 1000000000 AS a, n_regionkey::BIGINT AS b FROM nation UNION ALL SELECT c_custkey + 2000000000, c_nationkey::BIGINT + 1000000000 FROM customer),
+w AS (SELECT a AS node, b AS up FROM l UNION SELECT w.node, l.b FROM w JOIN l ON w.up = l.a)
+SELECT node, min(up) AS component FROM w GROUP BY node UNION SELECT b, min(b) FROM (SELECT n_regionkey::BIGINT AS b FROM nation) GROUP BY b"""
 
 
 def prefix_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,16 +260,10 @@ def _part_spheres(part: DataFrame) -> DataFrame:
 
 
 def sphere_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over small spheres only; ``sphere_vertices_whole`` takes every part."""
-    return _part_spheres(_table(spark, sf_dir, "part").where("p_size <= 4"))
-
-
-def sphere_vertices_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part_spheres(_table(spark, sf_dir, "part"))
 
 
-SPHERE_WHOLE_SQL = "SELECT p_partkey AS mesh_id, CAST(4 * p_size * p_size + 2 AS BIGINT) AS n_vert, (4 * (4 * p_size * p_size + 2))::DOUBLE AS squares FROM part"
-SPHERE_SQL = "SELECT p_partkey AS mesh_id, CAST(4 * p_size * p_size + 2 AS BIGINT) AS n_vert, (4 * (4 * p_size * p_size + 2))::DOUBLE AS squares FROM part WHERE p_size <= 4"
+SPHERE_SQL = "SELECT p_partkey AS mesh_id, CAST(4 * p_size * p_size + 2 AS BIGINT) AS n_vert, (4 * (4 * p_size * p_size + 2))::DOUBLE AS squares FROM part"
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,17 +278,29 @@ SELECT vec_id, CAST(CASE WHEN 4*area*area <= base*0.01::DOUBLE*0.01::DOUBLE THEN
 
 
 def hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL form; tested against its definition."""
+    """Of the first two elements of the vectors of each label."""
     e = F.col("embedding")
-    return spatial.hull_2d(_table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("mesh_id"), e[0].alias("x"), e[1].alias("y")))
+    return spatial.hull_2d(_table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("mesh_id"), e[0].cast("double").alias("x"), e[1].cast("double").alias("y")))
+
+
+#: A pair of points is a side if no other lies to its right; corners are the starts of sides, in order round their middle.
+HULL_SQL = """WITH p AS (SELECT DISTINCT label::BIGINT AS mesh_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+h AS (SELECT DISTINCT a.mesh_id, a.x, a.y FROM p a JOIN p b ON a.mesh_id = b.mesh_id AND (a.x <> b.x OR a.y <> b.y)
+  WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.mesh_id = a.mesh_id AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0)),
+m AS (SELECT *, avg(x) OVER w AS mx, avg(y) OVER w AS my, count(*) OVER w AS n FROM h WINDOW w AS (PARTITION BY mesh_id)),
+g AS (SELECT *, atan2(y - my, x - mx) AS turn FROM m WHERE n >= 3), f AS (SELECT *, first(turn) OVER (PARTITION BY mesh_id ORDER BY x, y) AS start FROM g)
+SELECT mesh_id, CAST(row_number() OVER (PARTITION BY mesh_id ORDER BY CASE WHEN turn >= start THEN turn ELSE turn + 2 * pi() END) - 1 AS INTEGER) AS pos, x, y FROM f"""
 
 
 def convex_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL form; tested for area and orientation."""
     part = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mesh_id"), F.lit(1.0).alias("radius"), (3 + F.col("p_partkey") % 10).cast("int").alias("segments"))
     return spatial.triangulate_convex(shapes.circle(part))
 
 
+CONVEX_SQL = """WITH i AS (SELECT p_partkey AS mesh_id, CAST(3 + p_partkey % 10 AS INTEGER) AS n FROM part), t AS (SELECT mesh_id, n, CAST(unnest(range(n - 2)) AS INTEGER) AS tri FROM i)
+SELECT mesh_id, tri, CAST((tri + 1) // 2 AS INTEGER) AS v0, CAST(CASE WHEN tri % 2 = 0 THEN tri // 2 + 1 ELSE n - 2 - tri // 2 END AS INTEGER) AS v1, CAST(n - 1 - tri // 2 AS INTEGER) AS v2 FROM t"""
+
+
 def tetra_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return solid_measures(spark, sf_dir, "tetrahedron")
 
@@ -267,8 +308,8 @@ def tetra_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        solid_measures, tetra_measures, halfedge_pairing, manifold_check, open_edges, vertex_normals, gauss_curvature, affine_transform, sind_cosd, aabb_self_join,
-        aabb_overlap_join, box_booleans, morton_codes, components, components_whole, prefix_sums, plane_slices, polygon_areas, sphere_vertices, sphere_vertices_whole, turns, hulls, convex_triangles,
+        solid_measures, tetra_measures, halfedge_pairing, manifold_check, open_edges, vertex_normals, curvature, affine_transform, sind_cosd, aabb_self_join,
+        aabb_overlap_join, box_booleans, morton_codes, components, nation_components, prefix_sums, plane_slices, polygon_areas, sphere_vertices, turns, hulls, convex_triangles,
     )
 }
 
@@ -283,20 +324,21 @@ SELECT mesh_id, CAST(sum(n) AS BIGINT) AS n_halfedge, CAST(sum(greatest(n - coal
 FROM k LEFT JOIN (SELECT mesh_id AS i, start_v AS s, end_v AS e, n AS m FROM k) o ON mesh_id = i AND start_v = e AND end_v = s GROUP BY mesh_id""",
     "open_edges": f"""WITH {_tri_sql("cube").replace("FROM r)", f"FROM r WHERE {_OPEN})")}, {_EDGES}
 SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e o WHERE e.mesh_id = o.mesh_id AND e.start_v = o.end_v AND e.end_v = o.start_v)""",
-    "gauss_curvature": None,
+    "vertex_normals": _normals_sql(),
+    "curvature": f"SELECT * FROM ({_curvature_sql('cube')}) UNION ALL SELECT * FROM ({_curvature_sql('tetrahedron')})",
+    "hulls": HULL_SQL,
+    "convex_triangles": CONVEX_SQL,
     "affine_transform": AFFINE_SQL,
     "sind_cosd": SIND_SQL,
     "aabb_self_join": f"WITH {_BOXES} SELECT a.id AS a, b.id AS b FROM b a JOIN b ON a.id < b.id AND {_TOUCH}",
     "aabb_overlap_join": f"WITH {_BOXES}, {_MOVED} SELECT a.id AS a, b.id AS b FROM b a JOIN m b ON {_TOUCH}",
     "box_booleans": BOX_SQL,
     "morton_codes": MORTON_SQL,
-    "components": COMPONENTS_SQL,
+    "nation_components": COMPONENTS_SQL,
     "prefix_sums": PREFIX_SQL,
     "plane_slices": f"""WITH {_tri_sql("cube")}, h AS (SELECT *, (CASE WHEN mesh_id % 3 = 0 THEN -1.5 ELSE -0.5 END)::DOUBLE AS h FROM t)
 SELECT mesh_id, tri, {", ".join(f"{_cross_sql(up, c)} AS {c}{e}" for e, up in ((0, False), (1, True)) for c in "xy")} FROM h WHERE least(az, bz, cz) <= h AND greatest(az, bz, cz) > h""",
     "polygon_areas": POLYGON_SQL,
     "sphere_vertices": SPHERE_SQL,
-    "sphere_vertices_whole": SPHERE_WHOLE_SQL,
     "turns": TURNS_SQL,
 }
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}

@@ -49,7 +49,7 @@ SELECT mesh_id, CAST(2*n*k AS BIGINT) AS n_tri, CAST(n*k AS BIGINT) AS n_vert, C
 
 def spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
     tris = solids.sphere(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mesh_id"), F.lit(2.0).alias("radius"), (1 + F.col("p_partkey") % 6).cast("int").alias("n")))
-    return _rounded(measure.measures(tris).select("mesh_id", "n_tri", "volume", "area"), "volume", "area")
+    return _rounded(measure.measures(tris).select(*_FACTS, "area"), "volume", "area")
 
 
 def _place_sql(name: str, di: int, dj: int) -> str:
@@ -66,17 +66,17 @@ _FACES = " UNION ALL ".join(
 )
 SPHERE_SQL = f"""WITH s AS (SELECT unnest(range(1, 7)) AS n), l0 AS (SELECT n, unnest(range(n)) AS i FROM s), l AS (SELECT n, i, unnest(range(n - i)) AS j FROM l0), f AS ({_FACES}),
 m AS (SELECT n, sum({" + ".join(f"{_NORMAL[k]}*aa{c}" for k, c in enumerate("xyz"))}) / 6 AS v, sum(sqrt({" + ".join(f"{x}*{x}" for x in _NORMAL)})) / 2 AS a FROM f GROUP BY n)
-SELECT p_partkey AS mesh_id, CAST(8*n*n AS BIGINT) AS n_tri, round(8*v, 4) + 0.0 AS volume, round(8*a, 4) + 0.0 AS area FROM part JOIN m ON n = 1 + p_partkey % 6"""
+SELECT p_partkey AS mesh_id, CAST(8*n*n AS BIGINT) AS n_tri, CAST(4*n*n + 2 AS BIGINT) AS n_vert, CAST(0 AS BIGINT) AS genus, round(8*v, 4) + 0.0 AS volume, round(8*a, 4) + 0.0 AS area FROM part JOIN m ON n = 1 + p_partkey % 6"""
 
 
 def refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cubes with every edge in three: the same solid, still closed."""
     tris = solids.refine(shapes.triangles(instances(spark, sf_dir)), 3)
-    sums = _rounded(measure.measures(tris).select("mesh_id", "n_tri", "volume", "area"), "volume", "area")
+    sums = _rounded(measure.measures(tris).select(*_FACTS, "area"), "volume", "area")
     return sums.join(topology.manifold_check(tris).select("mesh_id", "is_2_manifold"), "mesh_id")
 
 
-REFINE_SQL = f"""WITH {INSTANCES} SELECT mesh_id, CAST(108 AS BIGINT) AS n_tri, round(abs(sx*sy*sz), 4) + 0.0 AS volume, round(2*(abs(sx*sy) + abs(sy*sz) + abs(sx*sz)), 4) + 0.0 AS area, true AS is_2_manifold FROM i"""
+REFINE_SQL = f"""WITH {INSTANCES} SELECT mesh_id, CAST(108 AS BIGINT) AS n_tri, CAST(56 AS BIGINT) AS n_vert, CAST(0 AS BIGINT) AS genus, round(abs(sx*sy*sz), 4) + 0.0 AS volume, round(2*(abs(sx*sy) + abs(sy*sz) + abs(sx*sz)), 4) + 0.0 AS area, true AS is_2_manifold FROM i"""
 
 
 def projections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ def winding(spark: SparkSession, sf_dir: str) -> DataFrame:
     cubes = shapes.triangles(boxes.select(F.col("id").alias("mesh_id"), *(F.lit(0.04).alias(f"s{k}") for k in "xyz"), *(F.col(f"lo_{k}").alias(f"t{k}") for k in "xyz")))
     e = F.col("embedding")
     points = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), *((e[n].cast("double") + 0.0007).alias(k) for n, k in enumerate("xyz")))
-    return solids.winding_numbers(points, cubes, 0.04)
+    return solids.winding_numbers(points, cubes)
 
 
 _INSIDE = " AND ".join(f"q.{k} > b.{k} - 0.02::DOUBLE AND q.{k} < b.{k} + 0.02::DOUBLE" for k in "xyz")
@@ -152,12 +152,15 @@ CIRCLE_SQL = """WITH q AS (SELECT p_partkey, CAST(least(36, floor(2 * pi() * p_s
 
 
 def degenerate_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triangles without area, corners out of range and not finite, counted for each solid, part of them flattened."""
-    flat = F.when(F.col("mesh_id") % 4 == 0, 0.0).otherwise(F.col("sz"))
-    return measure.checks(shapes.triangles(instances(spark, sf_dir).withColumn("sz", flat)))
+    """Checks of solids of which some are flat and some have a corner at no finite place."""
+    key = F.col("mesh_id")
+    flat = F.when(key % 4 == 0, 0.0).otherwise(F.col("sz"))
+    far = F.when(key % 10 == 3, float("inf")).otherwise(F.col("tx"))
+    return measure.checks(shapes.triangles(instances(spark, sf_dir).withColumns({"sz": flat, "tx": far})), 1e-9)
 
 
-DEGENERATE_SQL = f"WITH {INSTANCES} SELECT mesh_id, CAST(CASE WHEN mesh_id % 4 = 0 THEN 8 ELSE 0 END AS BIGINT) AS n_degenerate, true AS is_finite, CAST(8 AS BIGINT) AS n_used FROM i"
+DEGENERATE_SQL = f"""WITH {INSTANCES} SELECT mesh_id, CAST(CASE WHEN mesh_id % 10 = 3 THEN 0 WHEN mesh_id % 4 = 0 THEN 8 ELSE 0 END AS BIGINT) AS n_degenerate, mesh_id % 10 <> 3 AS is_finite,
+true AS is_dense, CAST(8 AS BIGINT) AS n_used FROM i"""
 
 
 QUERIES = {f.__name__: f for f in (extrusions, revolutions, spheres, refinement, projections, trims, compose_decompose, winding, matrices, circle_quality, degenerate_triangles)}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Used only where the session names no folder and runs in one process, as in tests.
 DEFAULT_SHARED = "file:///tmp/checkpoints"
 #: A key is hot from so many rows on, and from the share 1 / MOST_HOT of all rows: so at most MOST_HOT keys are.
-HOT_ROWS, MOST_HOT = 1024, 1 << 16
+HOT_ROWS, MOST_HOT = 1 << 16, 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:

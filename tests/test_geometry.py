@@ -8,13 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import measure, shapes, solids, spatial, topology
-from tessera.plans import queries, solid_queries
+from tessera.plans import MODULES
 from tessera.sources import obj
 
-QUERIES = {**queries.QUERIES, **solid_queries.QUERIES}
-ORACLE_SQL = {**queries.ORACLE_SQL, **solid_queries.ORACLE_SQL}
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
 SF = "/root/testdata/sf0.001"
-TABLES = ("part", "lineitem", "embeddings")
+TABLES = ("part", "lineitem", "embeddings", "orders", "customer", "nation", "region")
 
 
 def one(spark, **scale):
@@ -35,7 +35,8 @@ def test_query_matches_sql(spark, name):
     columns = sorted(found.columns)
     rel = con.sql(ORACLE_SQL[name])
     assert sorted(rel.columns) == columns
-    expected = con.execute(f"select {', '.join(columns)} from ({ORACLE_SQL[name]})").fetchall()
+    listed = ", ".join(f'"{c}"' for c in columns)
+    expected = con.execute(f"select {listed} from ({ORACLE_SQL[name]})").fetchall()
     got = found.select(*columns).collect()
     assert Counter(tuple(map(text, r)) for r in got) == Counter(tuple(map(text, r)) for r in expected) and got
 
@@ -54,8 +55,17 @@ def test_tetrahedron_and_mirror(spark):
     assert abs(r["volume"] - 8 / 3) < 1e-12 and r["n_vert"] == 4
     m = measure.measures(shapes.affine(tris, [-1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0])).first()
     assert abs(m["volume"] - 8 / 3) < 1e-12
-    total = measure.gauss_curvature(tris).agg(F.sum("gauss")).first()[0]
-    assert abs(total - 4 * math.pi) < 1e-9
+    # four corners of three equilateral triangles: the angle left is pi, a third of the area 2 sqrt(3)
+    for r in measure.curvature(tris).collect():
+        assert abs(r["gauss"] - math.pi * 3 / (6 * 2 * math.sqrt(3))) < 1e-9
+
+
+def test_curvature_of_balls(spark):
+    for radius, mean, gauss in ((1.0, 2.0, 1.0), (2.0, 1.0, 0.25)):
+        ball = solids.sphere(spark.createDataFrame([(1, radius, 64)], "mesh_id long, radius double, n int"))
+        found = measure.curvature(ball)
+        far = found.agg(F.max(F.abs(F.col("mean") - mean)), F.max(F.abs(F.col("gauss") - gauss))).first()
+        assert far[0] < 0.015 * mean and far[1] < 0.015 * gauss and found.count() == 4 * 64 * 64 + 2
 
 
 def union_find(edges):
@@ -75,7 +85,7 @@ def union_find(edges):
 def test_components_of_all_edges(spark):
     line = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()
     expected = union_find((p, s + 1_000_000_000) for p, s in line)
-    found = QUERIES["components_whole"](spark, SF).collect()
+    found = QUERIES["components"](spark, SF).collect()
     assert {(r["node"], r["component"]) for r in found} == set(expected.items()) and len(found) == len(expected)
 
 
@@ -88,6 +98,17 @@ def test_components_of_hubs_chains_and_scattered_pairs(spark):
     assert {(r["node"], r["component"]) for r in found} == set(expected.items()) and len(found) == len(expected)
 
 
+def test_components_of_sorted_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    whole = topology.materialize
+    monkeypatch.setattr(topology, "materialize", lambda df, label: (rounds.append(label), whole(df, label))[1])
+    links = [(k, k + 1) for k in range(1000)] + [(5000, 5000), (6000, None), (None, None)] + [(7000, 7000 + k) for k in range(1, 500)]
+    found = {r["node"]: r["component"] for r in topology.connected_components(spark.createDataFrame([(*x, "n") for x in links], "a long, b long, node string")).collect()}
+    assert found == {**dict.fromkeys(range(1001), 0), 5000: 5000, **{7000 + k: 7000 for k in range(500)}}
+    assert rounds.count("hop") <= 25
+    assert topology.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_slices_of_a_cube(spark):
     for height, area in ((0.0, 1.0), (0.5, 1.0), (1.0, None)):
         cut = spatial.slice_segments(shapes.triangles(one(spark)).withColumn("height", F.lit(height)))
@@ -101,7 +122,7 @@ def test_sphere_points(spark):
 
 def test_spheres_of_every_part(spark):
     sizes = {r["p_partkey"]: r["p_size"] for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
-    found = {r["mesh_id"]: r["n_vert"] for r in QUERIES["sphere_vertices_whole"](spark, SF).collect()}
+    found = {r["mesh_id"]: r["n_vert"] for r in QUERIES["sphere_vertices"](spark, SF).collect()}
     assert found == {k: 4 * n * n + 2 for k, n in sizes.items()} and max(sizes.values()) > 4
 
 
@@ -134,10 +155,33 @@ def test_convex_triangles_cover_the_polygon(spark):
 def test_obj_round_trip(spark, tmp_path):
     tris = shapes.triangles(one(spark))
     verts = spark.createDataFrame([(1, k, *map(float, v)) for k, v in enumerate(shapes.CUBE_VERTS)], "mesh_id long, vert int, x double, y double, z double")
-    (tmp_path / "cube.obj").write_text("# tolerance = 1e-9\n" + obj.obj_text(verts, tris).first()["value"] + "\n")
-    v, f = obj.read_obj(spark, str(tmp_path / "cube.obj"))
+    heads = spark.createDataFrame([(1, 1e-9, 2e-10)], "mesh_id long, tolerance double, epsilon double")
+    folder = obj.write_obj(verts, tris, heads, str(tmp_path / "out"))
+    v, f, files = obj.read_obj(spark, f"{folder}/*/*.txt")
     assert [(r["x"], r["y"], r["z"]) for r in v.orderBy("vert").collect()] == [tuple(map(float, x)) for x in shapes.CUBE_VERTS]
     assert [(r["v0"], r["v1"], r["v2"]) for r in f.orderBy("tri").collect()] == list(shapes.CUBE)
+    assert [tuple(r)[1:] for r in files.collect()] == [(1e-9, 2e-10, "NoError")]
+
+
+def test_obj_files_that_are_odd(spark, tmp_path):
+    points = "v 0 0 0\nv 1 0 0\nv 0 1 0\nv 0 0 1\n"
+    cases = {
+        "ok": (points + "f 1/1 3/2/1 2//3\r\nf -4 -3 -1\n\n# note\nvn 0 0 1\n", "NoError", {(0, 2, 1), (0, 1, 3)}),
+        "quad": (points + "f 1 2 3 4\nf 1 2 3\n", "InvalidConstruction", set()),
+        "out": (points + "f 1 2 5\n", "VertexOutOfBounds", set()),
+        "word": (points + "f 1 2 x\n", "VertexOutOfBounds", set()),
+        "far": (points.replace("v 1 0 0", "v inf 0 0") + "f 1 2 3\n", "NonFiniteVertex", set()),
+        "none": ("\n", "NoError", set()),
+    }
+    for name, (text_, _, _) in cases.items():
+        (tmp_path / f"{name}.obj").write_text(text_)
+    _, f, files = obj.read_obj(spark, str(tmp_path))
+    name = lambda r: r["file"].rsplit("/", 1)[1][:-4]
+    assert {name(r): r["status"] for r in files.collect()} == {k: status for k, (_, status, _) in cases.items()}
+    found = {}
+    for r in f.collect():
+        found.setdefault(name(r), set()).add((r["v0"], r["v1"], r["v2"]))
+    assert found == {k: faces for k, (_, _, faces) in cases.items() if faces}
 
 
 def test_entry(spark):
@@ -165,7 +209,7 @@ def test_constructors_are_closed(spark):
 def test_winding_and_pieces(spark):
     ball = solids.sphere(spark.createDataFrame([(1, 1.0, 4)], "mesh_id long, radius double, n int"))
     points = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 1.5), (3, 0.3, 0.3, -0.3), (4, 0.9, 0.9, 0.0), (5, None, 0.0, 0.0)], "id long, x double, y double, z double")
-    inside = {(r["id"], r["winding"]) for r in solids.winding_numbers(points, ball, 0.4).collect()}
+    inside = {(r["id"], r["winding"]) for r in solids.winding_numbers(points, ball).collect()}
     assert inside == {(1, 1), (3, 1)}
     two = solids.compose(shapes.triangles(one(spark)), shapes.triangles(one(spark, tx=5.0)))
     assert {r["piece"] for r in solids.decompose(two).select("piece").distinct().collect()} == {0, 8}
