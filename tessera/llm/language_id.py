@@ -3,11 +3,11 @@
 Bytes are embedded, filters of several widths slide over a fixed-length window, each keeps its largest value, and a
 softmax layer reads these. A text is cut into windows that cover all of it; its prediction is the mean of theirs.
 
-Training reads at most ``SAMPLE_ROWS`` documents, the first by a hash of their id, and a few windows of each, so that
-the driver's work has a bound. For prediction, embedding and filters are folded into tables by byte and byte pair.
+Training reads at most ``SAMPLE_ROWS`` documents, the first by a hash of their id, each whole, until ``SAMPLE_WINDOWS``
+windows are there, so that the driver's work has a bound. For prediction, embedding and filters are folded into tables by byte and byte pair.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; null doc_id is predicted, never learnt from,
-and counts as not held out; rows without lang are not learnt from; repeated rows are predicted each; an empty table
+and counts as held out; rows without lang are not learnt from; repeated rows are predicted each; an empty table
 gives no rows; without any labelled row every text is ``und``; other columns are not read.
 """
 
@@ -23,7 +23,8 @@ from tessera.llm.quality_classifier import fold
 
 WINDOW = 192
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 12, 6
-SAMPLE_ROWS, SAMPLE_WINDOWS = 3000, 3
+#: Training takes documents in the order of a hash of their id, each whole, up to so many or so many windows.
+SAMPLE_ROWS, SAMPLE_WINDOWS = 3000, 12_000
 #: Windows that are held at once.
 BLOCK = 512
 FOLDS, HELD_OUT = 4, 2
@@ -124,12 +125,18 @@ class ByteNet:
         return prob / prob.sum(axis=1, keepdims=True)
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ByteNet | None:
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_windows: int = SAMPLE_WINDOWS) -> ByteNet | None:
     """A network learnt from text and lang of documents outside the held-out fold; None without any."""
     known = docs.where("doc_id is not null and lang is not null and text is not null").where(fold("doc_id", FOLDS) != HELD_OUT)
+    n = F.greatest(F.ceil(F.octet_length("text") / WINDOW), F.lit(1)).alias("n")
     known = known.select("doc_id", "lang", "text").withColumn("h", F.xxhash64("doc_id"))
-    chosen = known.select("h", "doc_id").orderBy("h", "doc_id").limit(sample_rows).agg(F.max("h").alias("last")).collect()[0]["last"]
-    if chosen is None:
+    first = known.select("h", "doc_id", n).orderBy("h", "doc_id").limit(sample_rows).collect()  # three numbers a row
+    held, last = 0, None
+    for row in first:
+        if held >= sample_windows:
+            break
+        held, last = held + row["n"], row["h"]
+    if last is None:
         return None
     size = WINDOW + _OVER
 
@@ -137,15 +144,14 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ByteNet | None:
         for batch in batches:
             ids, langs, parts = [], [], []
             for doc_id, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                x = windows(text.encode("utf-8", "surrogatepass"))
-                for k in sorted({0, len(x) // 2, len(x) - 1})[:SAMPLE_WINDOWS]:
+                for part in windows(text.encode("utf-8", "surrogatepass")):
                     ids.append(doc_id)
                     langs.append(lang)
-                    parts.append(x[k].tobytes())
+                    parts.append(part.tobytes())
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(parts, pa.binary())], names=["doc_id", "lang", "part"])
 
-    rows = known.where(F.col("h") <= chosen).select("doc_id", "lang", "text").mapInArrow(cut, "doc_id long, lang string, part binary").toArrow().to_pylist()
-    rows = sorted(((r["doc_id"], r["lang"], r["part"]) for r in rows))[: sample_rows * SAMPLE_WINDOWS * 2]
+    rows = known.where(F.col("h") <= last).select("doc_id", "lang", "text").limit(sample_rows).mapInArrow(cut, "doc_id long, lang string, part binary").toArrow().to_pylist()
+    rows = sorted((r["doc_id"], r["lang"], r["part"]) for r in rows)
     classes = sorted({lang for _, lang, _ in rows})
     net, number = ByteNet(classes), {c: k for k, c in enumerate(classes)}
     x = np.frombuffer(b"".join(part for _, _, part in rows), np.uint8).reshape(-1, size)
@@ -195,7 +201,7 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
                     langs[k], scores[k] = net.classes[best], float(mean[k][best])
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select("doc_id", F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "text")
+    rows = docs.select("doc_id", F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(True)).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 

@@ -3,8 +3,8 @@
 Features are single words and pairs of neighbours, hashed to 2^BITS places; a place's value is its count over the
 root of the text's n-gram count. A score is one sparse dot product.
 
-Training reads at most ``SAMPLE_ROWS`` labelled rows, the first by a hash of their id, so that the driver's work has
-a bound; features are made on the executors.
+Training reads at most ``SAMPLE_ROWS`` labelled documents of at most about ``SAMPLE_WORDS`` words in all, the first by a
+hash of their id, each whole, so that the driver's work has a bound; features are made on the executors.
 
 Defined cases: null or wordless text has the bias alone as score; null doc_id is scored, never learnt from, and counts
 as held out; of repeated labels the lowest is taken; repeated rows are scored each; an empty table gives no rows; without
@@ -15,13 +15,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.words import split_words, window_hashes, word_hashes
 
 BITS = 18
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS, SAMPLE_WORDS = 8000, 6_000_000
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 
@@ -81,12 +81,15 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 3, seed:
     return model.weights().astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> np.ndarray:
     """Weights learnt from ``labels`` (doc_id, quality) of documents outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label is not null")
     known = known.where(fold("doc_id", FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.min("label").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # so many rows at most are broadcast
-    texts = docs.join(F.broadcast(known), "doc_id").select("label", "text")
+    texts = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one row an id
+    texts = texts.withColumn("n", F.size(F.split("text", "[ \\t\\n\\x0B\\f\\r]+")))
+    before = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))  # sample_rows rows at most
+    texts = texts.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < sample_words).select("label", "text")
     found = texts.mapInArrow(_features, "label int, at array<int>, value array<float>").toArrow()
     if not found.num_rows:
         return np.zeros((1 << BITS) + 1, np.float32)

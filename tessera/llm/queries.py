@@ -36,6 +36,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
+def line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of op5 at a limit of one document a host, which lines pass on small tables too."""
+    found = quality_rules.judge_quality(_table(spark, sf_dir, "documents"), max_docs=1, max_removed_percent=10)
+    return found.select("doc_id", "n_words", "base_failed", "kept", "removed_words")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -69,7 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scans, op2_benchmark_decontamination, op3_warc, op4_packing, op5_quality_rules, op6_minhash_near_dedup,
-        op7_quality_classifier, op8_url_filters, op9_language_id, op10_token_store, pipeline,
+        op7_quality_classifier, op8_url_filters, op9_language_id, op10_token_store, line_frequency, pipeline,
     )
 }
 
@@ -87,7 +93,8 @@ FROM f
 #: DuckDB's RE2 spells the gaps as hex escapes; [^...] there would otherwise match as the words' pattern does.
 _W = r"[^\x20\x09-\x0D]+"
 _TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
-QUALITY_SQL = rf"""
+def _quality_sql(max_docs: int, max_removed_percent: int) -> str:
+    return rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, regexp_extract_all(text, '{_W}') AS ws FROM t),
 g AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3),
@@ -98,7 +105,7 @@ dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY
 h AS (SELECT r, host, substr(md5(regexp_replace(lower(regexp_replace(line, '{_TRIM}', '', 'g')), '[0-9]+', '0', 'g')), 1, 16) AS h,
         len(regexp_extract_all(line, '{_W}')) AS words FROM l),
 k AS (SELECT r, md5(array_to_string(list_sort(list(DISTINCT h)), ',')) AS doc FROM h GROUP BY r),
-c AS (SELECT host, h FROM h JOIN k USING (r) GROUP BY host, h HAVING count(DISTINCT doc) > {quality_rules.MAX_DOCS}),
+c AS (SELECT host, h FROM h JOIN k USING (r) GROUP BY host, h HAVING count(DISTINCT doc) > {max_docs}),
 rm AS (SELECT r, CAST(sum(words) AS BIGINT) AS removed_words FROM h JOIN c USING (host, h) GROUP BY r),
 m AS (
   SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
@@ -108,11 +115,15 @@ m AS (
   FROM t JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN rm USING (r)),
 b AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (100 * removed_words > {quality_rules.MAX_REMOVED_PERCENT} * n_words) AS kept, removed_words
+  NOT base_failed AND NOT (100 * removed_words > {max_removed_percent} * n_words) AS kept, removed_words
 FROM b
 """
 
 
+QUALITY_SQL = _quality_sql(quality_rules.MAX_DOCS, quality_rules.MAX_REMOVED_PERCENT)
+LINES_SQL = f"SELECT doc_id, n_words, base_failed, kept, removed_words FROM ({_quality_sql(1, 10)})"
+
+
 def _url_sql() -> str:
     lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     site = sorted(url_rules.SITE_RULES, key=lambda r: (-len(r.name), r.name))
@@ -132,4 +143,4 @@ FROM r
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op3_warc": WARC_SQL, "op5_quality_rules": QUALITY_SQL, "op8_url_filters": _url_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_warc": WARC_SQL, "op5_quality_rules": QUALITY_SQL, "op8_url_filters": _url_sql(), "line_frequency": LINES_SQL}

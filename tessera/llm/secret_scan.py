@@ -1,8 +1,9 @@
 """Secret scans with structural confirmation.
 
-Base spans (fixed patterns) are found in every whole text. Then runs of base64 or hex digits are candidates: they
-are reported only if they decode to a key encoding whose nested DER lengths add up, an OpenSSH private key whose
-length-prefixed fields fit, or a signed token whose header is JSON with an algorithm.
+Base spans (fixed patterns) are found in every whole text. Then runs of base64 or hex digits are candidates, base64
+also over lines and escaped line ends: they are reported only if they decode to a private key in DER, opened down to its
+numbers, an OpenSSH private key whose length-prefixed fields fit, or a signed token whose header is JSON with an
+algorithm. Public keys are none.
 
 Spans are (kind, start, end) in code points, end exclusive, ordered by start, then kind as in ``KINDS``.
 
@@ -32,10 +33,13 @@ MIN_ASSIGN, MIN_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "pem_key", "der_key", "ssh_key", "signed_token")
 _ORDER = {kind: k for k, kind in enumerate(KINDS)}
 
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-#: base64 of a DER sequence begins MA to MH if its length is in the short form, MI if in the long one, of an OpenSSH key b3BlbnNzaC1rZXk.
-BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-I]|b3BlbnNzaC1rZXk)[A-Za-z0-9+/_-]{38,}={0,2}")
+#: base64 of a DER sequence begins MA to MH if its length is in the short form, MI if in the long one, of an OpenSSH key
+#: b3BlbnNzaC1rZXk. It may go on over line ends, real ones or escaped.
+_BREAK = r"(?:\r?\n|\\r\\n|\\n)[\x20\t]*"
+BASE64_RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:M[A-I]|b3BlbnNzaC1rZXk)[A-Za-z0-9+/_-]{{38,}}(?:{_BREAK}[A-Za-z0-9+/_-]+)*={{0,2}}")
+_BREAKS, _DIGITS64 = re.compile(_BREAK), re.compile(r"[A-Za-z0-9+/_-]+")
 HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
 _SSH = b"openssh-key-v1\0"
 
@@ -66,44 +70,78 @@ def _children(data: bytes, lo: int, hi: int) -> list[tuple[int, int, int]] | Non
     return out
 
 
+def _is_number(data: bytes, part: tuple[int, int, int], values: tuple[int, ...]) -> bool:
+    return part[0] == 0x02 and part[2] - part[1] == 1 and data[part[1]] in values
+
+
+def _is_curve_key(data: bytes, parts: list[tuple[int, int, int]], nested: bool) -> bool:
+    """Version 1, the secret number, and the curve or the public key (which may be left out within another key)."""
+    if len(parts) < 2 or not _is_number(data, parts[0], (1,)) or parts[1][0] != 0x04 or not 20 <= parts[1][2] - parts[1][1] <= 66:
+        return False
+    more = parts[2:]
+    return all(tag in (0xA0, 0xA1) and _children(data, lo, hi) for tag, lo, hi in more) and bool(more or nested)
+
+
+def _is_number_key(data: bytes, parts: list[tuple[int, int, int]]) -> bool:
+    """Version 0 or 1 and at least five numbers, one of 16 bytes or more among them: RSA and DSA."""
+    return len(parts) >= 6 and _is_number(data, parts[0], (0, 1)) and all(tag == 0x02 and lo < hi for tag, lo, hi in parts) and any(hi - lo >= 16 for _, lo, hi in parts)
+
+
+def _is_algorithm(data: bytes, part: tuple[int, int, int]) -> bool:
+    inner = _children(data, part[1], part[2]) if part[0] == 0x30 else None
+    return bool(inner) and inner[0][0] == 0x06 and inner[0][1] < inner[0][2]
+
+
+def _is_wrapped_key(data: bytes, parts: list[tuple[int, int, int]]) -> bool:
+    """Version, algorithm, and an octet string that holds one whole value: a key of numbers, of a curve, a number or a string."""
+    if len(parts) < 3 or not _is_number(data, parts[0], (0, 1)) or not _is_algorithm(data, parts[1]) or parts[2][0] != 0x04:
+        return False
+    inner = _children(data, parts[2][1], parts[2][2])
+    if not inner or len(inner) != 1:
+        return False
+    tag, lo, hi = inner[0]
+    if tag == 0x30:
+        held = _children(data, lo, hi)
+        return bool(held) and (_is_number_key(data, held) or _is_curve_key(data, held, True))
+    return tag in (0x02, 0x04) and hi - lo >= 16
+
+
+def _is_encrypted_key(data: bytes, parts: list[tuple[int, int, int]]) -> bool:
+    return len(parts) == 2 and _is_algorithm(data, parts[0]) and parts[1][0] == 0x04 and parts[1][2] - parts[1][1] >= 16
+
+
 def der_end(data: bytes) -> int:
-    """Bytes of a DER key at the start of ``data``: a sequence of whole values that holds an integer version or an
-    algorithm identifier, and a number or string of 16 bytes or more. 0 if there is none."""
+    """Bytes of a private key at the start of ``data``: a sequence of whole values that is a key of numbers (RSA, DSA),
+    of a curve, one wrapped with its algorithm, or an encrypted one. 0 if there is none, as for public keys."""
     if len(data) < 18 or data[0] != 0x30:
         return 0
     size, start = _length(data, 1)
     if size < 16 or start + size > len(data):
         return 0
     parts = _children(data, start, start + size)
-    if not parts or len(parts) < 2:
+    if not parts:
         return 0
-    for tag, lo, hi in parts:
-        if tag & 0x20 and _children(data, lo, hi) is None:
-            return 0
-    tags = [tag for tag, _, _ in parts]
-    versioned = tags[0] == 0x02 and parts[0][2] - parts[0][1] <= 1
-    nested = _children(data, parts[0][1], parts[0][2]) if tags[0] == 0x30 else None
-    algorithm = bool(nested) and nested[0][0] == 0x06
-    large = any(hi - lo >= 16 for tag, lo, hi in parts[1:] if tag in (0x02, 0x03, 0x04))
-    return start + size if (versioned or algorithm) and large else 0
+    known = _is_number_key(data, parts) or _is_curve_key(data, parts, False) or _is_wrapped_key(data, parts) or _is_encrypted_key(data, parts)
+    return start + size if known else 0
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """The fields after the magic are three length-prefixed strings, a count of keys, then length-prefixed strings."""
+def ssh_end(data: bytes) -> int:
+    """Bytes of an OpenSSH private key: after the magic three length-prefixed strings, a count of keys, then
+    length-prefixed strings. 0 if there is none."""
     if not data.startswith(_SSH):
-        return False
+        return 0
     at = len(_SSH)
     for k in range(5):
         if k == 3:
             if int.from_bytes(data[at : at + 4], "big") not in range(1, 17):
-                return False
+                return 0
             at += 4
         if at + 4 > len(data):
-            return False
+            return 0
         at += 4 + int.from_bytes(data[at : at + 4], "big")
         if at > len(data):
-            return False
-    return True
+            return 0
+    return at
 
 
 def decode64(run: str) -> bytes:
@@ -132,22 +170,32 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def _digits_end(run: str, n: int) -> int:
+    """Where the first ``n`` digits of a run of lines end, with the padding after them."""
+    at = 0
+    while n:
+        gap = _BREAKS.match(run, at)
+        at = gap.end() if gap else at
+        line = _DIGITS64.match(run, at)
+        at, n = line.start() + min(n, line.end() - line.start()), max(0, n - (line.end() - line.start()))
+    return at + len(run[at:]) - len(run[at:].lstrip("="))
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Candidates that decode to what they look like."""
     spans = []
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            body = decode64("".join(m[2].split()))
-            if is_ssh_key(body) or der_end(body):
+            body = decode64("".join(re.sub(r"\\[nr]", "", m[2]).split()))
+            if ssh_end(body) or der_end(body):
                 spans.append(("pem_key", m.start(), m.end()))
     if "eyJ" in text:
         spans += [("signed_token", m.start(), m.end()) for m in SIGNED.finditer(text) if is_signed_header(m[1])]
     for m in BASE64_RUN.finditer(text):
-        body = decode64(m[0])
-        if is_ssh_key(body):
-            spans.append(("ssh_key", m.start(), m.end()))
-        elif der_end(body):
-            spans.append(("der_key", m.start(), m.end()))
+        body = decode64(_BREAKS.sub("", m[0]))
+        size, kind = (ssh_end(body), "ssh_key") if body.startswith(_SSH) else (der_end(body), "der_key")
+        if size:
+            spans.append((kind, m.start(), m.start() + _digits_end(m[0], -(-4 * size // 3))))
     for m in HEX_RUN.finditer(text):
         size = der_end(bytes.fromhex(m[0][: len(m[0]) // 2 * 2]))
         if size:

@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import fresh_path, materialize, shuffle_width
+from tessera.llm.storage import fresh_path, materialize, shuffle_width, spread_join
 
 MIN_REVISIT_BYTES = 100
 READ_BYTES = 1 << 18
@@ -183,7 +183,19 @@ def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool =
     return listed.mapInArrow(_reader(with_payload), ddl)
 
 
+def verify_revisits(records: DataFrame) -> None:
+    """Every revisit's digest and length are those of the response that it refers to. ``records`` is a written table."""
+    later = records.where("record_type = 'revisit'").select("page_id", F.col("refers_to").alias("first"), "payload_digest", "payload_bytes")
+    held = records.where("record_type = 'response'").select(F.col("page_id").alias("first"), "payload_digest", "payload_bytes").distinct()
+    bad = spread_join(later, held, ["first", "payload_digest", "payload_bytes"], ["page_id"], records.count(), "left_anti")
+    if not bad.isEmpty():
+        raise ValueError("a revisit does not match the record that it refers to")
+
+
 def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to a new folder of archives in the shared folder and read them back."""
+    """Write ``pages`` to a new folder of archives in the shared folder, read them back, and hold revisits against the
+    records that they refer to."""
     spark = pages.sparkSession
-    return read_archives(spark, write_archives(pages, fresh_path(spark, "warc")))
+    records = materialize(read_archives(spark, write_archives(pages, fresh_path(spark, "warc"))), "warc-records")
+    verify_revisits(records)
+    return records

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -72,6 +73,144 @@ def der(tag, body):
     return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x80 | (k := (n.bit_length() + 7) // 8)]) + n.to_bytes(k, "big")) + body
 
 
+def tree(data):
+    """DER values that fill ``data``, nested where constructed; None if they do not fill it."""
+    out, at = [], 0
+    while at < len(data):
+        tag, n, at = data[at], data[at + 1] if at + 1 < len(data) else None, at + 2
+        if n is None:
+            return None
+        if n >= 128:
+            k = n - 128
+            if not 1 <= k <= 4 or at + k > len(data) or data[at] == 0:
+                return None
+            n, at = int.from_bytes(data[at : at + k], "big"), at + k
+        if at + n > len(data):
+            return None
+        out.append((tag, data[at : at + n]))
+        at += n
+    return out
+
+
+def is_private(data):
+    """Whether a DER sequence begins ``data`` that holds a private key."""
+    if len(data) < 18 or data[0] != 0x30:
+        return False
+    head = 2 if data[1] < 128 else 2 + data[1] - 128
+    size = data[1] if data[1] < 128 else int.from_bytes(data[2:head], "big")
+    if data[1] == 128 or data[1] > 132 or len(data) < head + size or size < 16:
+        return False
+    v = tree(data[head : head + size])
+    if not v:
+        return False
+    tags = "".join(f"{t:02x}" for t, _ in v)
+    small = lambda k, *allowed: v[k][0] == 2 and v[k][1] in [bytes([x]) for x in allowed]
+
+    def numbers(w):
+        return len(w) >= 6 and {t for t, _ in w} == {2} and w[0][1] in (b"\0", b"\1") and all(b for _, b in w) and max(len(b) for _, b in w) >= 16
+
+    def curve(w, inner):
+        rest = w[2:]
+        return len(w) > 1 and w[0] == (2, b"\1") and w[1][0] == 4 and 20 <= len(w[1][1]) <= 66 and all(t in (0xA0, 0xA1) and tree(b) for t, b in rest) and (inner or bool(rest))
+
+    def algorithm(b):
+        w = tree(b)
+        return bool(w) and w[0][0] == 6 and bool(w[0][1])
+
+    if numbers(v) or curve(v, False):
+        return True
+    if tags.startswith("023004") and small(0, 0, 1) and algorithm(v[1][1]):
+        w = tree(v[2][1])
+        if w and len(w) == 1:
+            t, b = w[0]
+            if t == 0x30:
+                held = tree(b)
+                return bool(held) and (numbers(held) or curve(held, True))
+            return t in (2, 4) and len(b) >= 16
+        return False
+    return tags == "3004" and algorithm(v[0][1]) and len(v[1][1]) >= 16
+
+
+def plain_found(text):
+    """Whether a text holds a key or signed token at all, by every place at which one could begin."""
+    kinds = set()
+    flat = re.sub(r"(?:\r?\n|\\r\\n|\\n)[ \t]*", "", text)
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_-])(?=(M[A-I][A-Za-z0-9+/_-]{38,}))", flat):
+        run = m[1].replace("-", "+").replace("_", "/")
+        run = run[: len(run) - 1] if len(run) % 4 == 1 else run
+        if is_private(base64.b64decode(run + "=" * (-len(run) % 4))):
+            kinds.add("der_key")
+    for m in re.finditer(r"(?<![0-9A-Fa-f])(?=(30[0-9A-Fa-f]{62,}))", text):
+        if is_private(bytes.fromhex(m[1][: len(m[1]) // 2 * 2])):
+            kinds.add("der_key")
+    return kinds
+
+
+def secret_texts():
+    """Keys in every encoding, public ones and look-alikes too."""
+    rng = random.Random(11)
+    number = lambda k: der(2, b"\1" + rng.randbytes(k - 1))
+    rsa = der(0x30, der(2, b"\0") + b"".join(number(k) for k in (128, 3, 128, 64, 64, 64, 64, 64)))
+    alg, curve = der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")), der(0x30, der(6, b"\x2a\x86\x48\xce") + der(6, b"\x2a\x86"))
+    ec = der(0x30, der(2, b"\1") + der(4, rng.randbytes(32)) + der(0xA0, der(6, b"\x2a\x86")) + der(0xA1, der(3, b"\0" + rng.randbytes(64))))
+    bare = der(0x30, der(2, b"\1") + der(4, rng.randbytes(32)))
+    private = {
+        "rsa": rsa, "ec": ec, "pkcs8_rsa": der(0x30, der(2, b"\0") + alg + der(4, rsa)), "pkcs8_ec": der(0x30, der(2, b"\0") + curve + der(4, bare)),
+        "ed25519": der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, rng.randbytes(32)))), "locked": der(0x30, alg + der(4, rng.randbytes(200))), "dsa": der(0x30, der(2, b"\0") + b"".join(number(k) for k in (128, 20, 128, 128, 20))),
+    }
+    public = {
+        "spki": der(0x30, alg + der(3, b"\0" + der(0x30, number(128) + number(3)))), "rsa_public": der(0x30, number(128) + number(3)), "noise": der(0x30, der(2, b"\0") + der(4, rng.randbytes(40))),
+        "bare_ec": bare, "pkcs8_noise": der(0x30, der(2, b"\0") + alg + der(4, rng.randbytes(90))), "cut": rsa[:-9],
+    }
+    return private, public
+
+
+def wrapped(data, width=64, end="\n"):
+    text = base64.b64encode(data).decode()
+    return end.join(text[k : k + width] for k in range(0, len(text), width))
+
+
+def test_private_keys_are_found_in_every_form_and_public_ones_in_none():
+    private, public = secret_texts()
+    for name, data in private.items():
+        forms = [base64.b64encode(data).decode(), data.hex(), data.hex().upper(), wrapped(data, 64), wrapped(data, 76, "\r\n"), wrapped(data, 64, "\\n"), wrapped(data, 64, "\n    ")]
+        for form in forms:
+            text = f"x: {form} end\nnext"
+            found = secret_scan.confirmed_spans(text)
+            assert [k for k, _, _ in found] == ["der_key"], (name, form[:40])
+            assert (found[0][1], found[0][2]) == (3, 3 + len(form)) and plain_found(text) == {"der_key"}
+        for end in ("\n", "\\n", "\\r\\n"):
+            pem = f'{{"k": "-----BEGIN PRIVATE KEY-----{end}{wrapped(data, 64, end)}{end}-----END PRIVATE KEY-----{end}"}}'
+            assert "pem_key" in {k for k, _, _ in secret_scan.confirmed_spans(pem)}, name
+    for name, data in public.items():
+        for form in (base64.b64encode(data).decode(), data.hex(), wrapped(data)):
+            assert secret_scan.confirmed_spans(f"x {form} y") == [] and plain_found(f"x {form} y") == set(), name
+        assert secret_scan.confirmed_spans(f"-----BEGIN PRIVATE KEY-----\n{wrapped(data)}\n-----END PRIVATE KEY-----") == [], name
+    # words that follow a key on the next line are no part of it
+    key = wrapped(private["rsa"])
+    span = secret_scan.confirmed_spans(f"{key}\nThanks\nall")[0]
+    assert span == ("der_key", 0, len(key)) and secret_scan.redact(f"{key}\nThanks", [span]) == "[SECRET]\nThanks"
+
+
+def test_secret_query_matches_plain_counts_over_whole_tables(spark):
+    private, public = secret_texts()
+    more = [(10_000 + k, f"some {wrapped(d)} text", "x") for k, d in enumerate([*private.values(), *public.values()])]
+    docs = table(spark, "documents").select("doc_id", "text", "lang").union(spark.createDataFrame(more, "doc_id long, text string, lang string"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    confirmed = 0
+    for r in secret_scan.scan_secrets(docs).collect():
+        base = [x for x in plain_spans(texts[r["doc_id"]]).split(",") if x]
+        kinds = Counter(x.split(":")[0] for x in base)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == (kinds["assign"], kinds["access"], kinds["hex"])
+        spans = [x for x in r["spans"].split(",") if x]
+        rest = Counter(spans) - Counter(base)
+        assert not Counter(base) - Counter(spans) and sum(rest.values()) == r["n_confirmed"]
+        assert [int(x.split(":")[1]) for x in spans] == sorted(int(x.split(":")[1]) for x in spans)
+        assert ("der_key" in {x.split(":")[0] for x in rest}) == ("der_key" in plain_found(texts[r["doc_id"]]))
+        confirmed += bool(rest)
+    assert confirmed >= len(private)
+
+
 def test_keys_with_a_short_length_are_confirmed():
     rng = random.Random(8)
     oid = {"ed25519": b"\x2b\x65\x70", "x25519": b"\x2b\x65\x6e", "ed448": b"\x2b\x65\x71"}
@@ -91,7 +230,7 @@ def test_keys_with_a_short_length_are_confirmed():
 def test_structures_are_confirmed_and_look_alikes_are_not():
     rng = random.Random(1)
     number = lambda k: der(2, b"\1" + rng.randbytes(k - 1))
-    key = der(0x30, der(2, b"\0") + b"".join(number(k) for k in (128, 3, 128, 64, 64)))
+    key = der(0x30, der(2, b"\0") + b"".join(number(k) for k in (128, 3, 128, 64, 64, 64, 64, 64)))
     pkcs8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(4, key))
     text64 = base64.b64encode(key).decode()
     field = lambda b: len(b).to_bytes(4, "big") + b
@@ -206,6 +345,16 @@ def test_warc_round_trip(spark):
     assert warc.archive_round_trip(empty(pages)).count() == 0
 
 
+def test_revisits_are_held_against_their_response(spark):
+    rows = [(1, 10, "aa", "response", None), (2, 10, "aa", "revisit", 1), (None, 3, "bb", "response", None), (3, 10, "cc", "response", None)]
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    warc.verify_revisits(spark.createDataFrame(rows, schema))
+    warc.verify_revisits(spark.createDataFrame([], schema))
+    for bad in ((4, 10, "cc", "revisit", 1), (4, 11, "aa", "revisit", 1), (4, 10, "aa", "revisit", 9), (4, 10, "aa", "revisit", 2)):
+        with pytest.raises(ValueError):
+            warc.verify_revisits(spark.createDataFrame([*rows, bad], schema))
+
+
 def test_warc_reader_refuses_broken_archives():
     import io
 
@@ -462,6 +611,49 @@ def test_documents_that_share_most_lines_count_each(spark):
     assert found == {(k, 150, False) for k in range(21)} | {(k, 0, True) for k in range(100, 120)} | {(200, 0, True)}
 
 
+def clashing(docs):
+    """``docs`` with columns of names that operators use within."""
+    from pyspark.sql import functions as F
+
+    names = ["_id", "_hash", "_lines", "_gone", "removed", "row", "key", "rest", "id", "words", "lines", "host", "pos", "line", "row_hash", "_part", "_rows", "h", "n", "page", "item"]
+    return docs.withColumns({c: F.lit(c) for c in names})
+
+
+def test_stages_on_awkward_rows(spark):
+    from pyspark.sql import functions as F
+
+    docs = clashing(awkward(spark))
+    items = spark.createDataFrame([(1, "nothing of this is there at all", "x")], "item_id long, text string, row string")
+    stages = {
+        "quality": lambda d: quality_rules.apply_quality(d), "dedup": lambda d: near_dedup.keep_one(d), "decontaminate": lambda d: decontaminate.remove_contaminated(d, items), "secrets": lambda d: secret_scan.redact_secrets(d),
+    }
+    for name, stage in stages.items():
+        out = stage(docs)
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+        assert stage(docs.where("false")).count() == 0, name
+        kept = Counter(r["doc_id"] for r in out.collect())
+        if name == "quality":
+            verdict = {r[0]: r[7] for r in plain_quality(docs.collect())}
+            assert {d: n for d, n in kept.items() if d is not None} == Counter(r["doc_id"] for r in docs.collect() if r["doc_id"] is not None and verdict[r["doc_id"]]) and kept[None] == 1
+        if name in ("decontaminate", "secrets"):
+            assert kept == Counter(r["doc_id"] for r in docs.collect()), name
+    low = quality_rules.apply_quality(docs.withColumn("n_chars", F.lit(None).cast("long")), max_docs=1, max_removed_percent=100).collect()
+    assert all("page" in r.asDict() for r in low)
+    assert packing.pack_documents(docs).count() > 0 and url_rules.judge_urls(clashing(table(spark, "pages"))).count() == 50
+
+
+def test_lines_fire_on_the_driver_s_table(spark):
+    from tessera.llm.queries import ORACLE_SQL as sql
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{SMALL}/documents.parquet')")
+    found = QUERIES["line_frequency"](spark, SMALL)
+    columns = sorted(found.columns)
+    rows = found.select(*columns).collect()
+    expected = con.execute(f"select {', '.join(columns)} from ({sql['line_frequency']})").fetchall()
+    assert Counter(tuple(map(as_text, r)) for r in rows) == Counter(tuple(map(as_text, r)) for r in expected) and any(r["removed_words"] for r in rows)
+
+
 def test_quality_plan_has_no_python(spark):
     plan = quality_rules.judge_quality(table(spark, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -575,6 +767,66 @@ def test_quality_classifier_on_held_out_labels(spark):
     assert sum((g > b) + (g == b) / 2 for g in good for b in bad) / len(good) / len(bad) > 0.93
 
 
+def test_ftrl_matches_a_plain_one():
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(40):
+        at = np.sort(rng.choice(50, 8, replace=False)).astype(np.int32)
+        rows.append((int(rng.random() < 0.5), at, rng.random(8).astype(np.float32)))
+    z, n, order = defaultdict(float), defaultdict(float), np.random.default_rng(7)
+    alpha, beta, l1, l2 = 0.3, 1.0, 1e-3, 1e-2
+    bias = 1 << quality_classifier.BITS
+
+    def weight(k):
+        if abs(z[k]) <= l1:
+            return 0.0
+        return -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    for _ in range(3):
+        for k in order.permutation(len(rows)):
+            label, at, value = rows[k]
+            x = {**dict(zip(at.tolist(), value.tolist(), strict=True)), bias: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - label) * x[i]
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    found = quality_classifier.train(rows)
+    for i in [*range(50), bias]:
+        assert abs(found[i] - weight(i)) < 1e-4
+    assert not found[50:bias].any()
+
+
+def test_classifier_s_scores_match_plain_ones(spark):
+    weights = np.random.default_rng(6).normal(size=(1 << quality_classifier.BITS) + 1).astype(np.float32)
+    docs = awkward(spark).select("doc_id", "text")
+    plain = Counter()
+    for r in docs.collect():
+        grams = quality_classifier.places(r["text"])
+        z = float(weights[-1]) + sum(float(weights[g]) for g in grams) / math.sqrt(max(1, len(grams)))
+        plain[r["doc_id"], round(1 / (1 + math.exp(-max(-35, min(35, z)))), 5)] += 1
+    assert Counter((r["doc_id"], round(r["score"], 5)) for r in quality_classifier.score(docs, weights).collect()) == plain
+
+
+def test_samples_have_their_bounds(spark):
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    twice = docs.unionByName(docs).unionByName(docs)
+    assert np.array_equal(quality_classifier.fit(docs, labels), quality_classifier.fit(twice, labels))
+    assert not np.array_equal(quality_classifier.fit(docs, labels), quality_classifier.fit(docs, labels, sample_words=500))
+    seen = []
+    whole = language_id.ByteNet.train
+    try:
+        language_id.ByteNet.train = lambda self, x, y: seen.append(len(x))
+        language_id.fit(docs, sample_windows=100)
+        language_id.fit(twice, sample_rows=10)
+        language_id.fit(docs)
+    finally:
+        language_id.ByteNet.train = whole
+    assert 100 <= seen[0] < 300 and seen[1] < seen[2] <= 12_000 + 700
+
+
 def test_classifier_on_awkward_rows(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 13)] + [(None, 1, 0), (2, None, 0), (3, 1, 1)], "doc_id long, quality int, text int")
