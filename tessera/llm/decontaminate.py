@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import mix64
+from tessera.llm.words import mix64, slices
 
 ERROR_RATE = 0.2
 #: A block of items that goes to each executor at once.
@@ -155,7 +155,7 @@ _HITS = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "distance", "i
 def _match(block, error_rate: float):
     def run(batches):
         index = PieceIndex(block.value, error_rate)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for k, distance, first, last, _, _ in index.matches(text):
@@ -200,7 +200,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, error_rate: float = E
 
         def keep(batches, shared=shared):
             index = PieceIndex(shared.value, error_rate)
-            for batch in batches:
+            for batch in slices(batches):
                 clean = [next(index.matches(t), None) is None for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.quality_classifier import fold
+from tessera.llm.words import slices
 
 WINDOW = 192
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 12, 6
@@ -166,7 +167,7 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     def run(batches):
         net = shared.value
         tables = net.folded() if net else None
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(2).to_pylist()
             langs, scores, waiting, owner = [UNKNOWN] * len(texts), [0.0] * len(texts), [], []
             sums = np.zeros((len(texts), len(net.classes))) if net else None

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.storage import discard, materialize, spread_join
-from tessera.llm.words import mix64, shingle_set, split_words, word_hashes
+from tessera.llm.words import mix64, shingle_set, slices, split_words, word_hashes
 from tessera.operators.topology import connected_components
 
 WIDTH = 5
@@ -78,7 +78,7 @@ _SIGNED_DDL = "doc_id long, n_shingles long, set_hi long, set_lo long, tokens ar
 
 def _sign(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n, sets, tokens, folded = [], [], [], []
             for text in batch.column(1).to_pylist():
                 shingles = shingle_set(word_hashes(split_words(text)), width)
@@ -97,11 +97,9 @@ def _sign(width: int):
 
 def _shingle_rows(width: int):
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [shingle_set(word_hashes(split_words(t)), width).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+        for part in slices(batches, 256):
+            sets = [shingle_set(word_hashes(split_words(t)), width).view(np.int64) for t in part.column(1).to_pylist()]
+            yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
     return run
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.words import split_words, window_hashes, word_hashes
+from tessera.llm.words import slices, split_words, window_hashes, word_hashes
 
 BITS = 18
 SAMPLE_ROWS, SAMPLE_WORDS = 8000, 6_000_000
@@ -40,7 +40,7 @@ def places(text: str | None) -> np.ndarray:
 
 
 def _features(batches):
-    for batch in batches:
+    for batch in slices(batches):
         at, values = [], []
         for text in batch.column(1).to_pylist():
             found = places(text)
@@ -107,7 +107,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
     def run(batches):
         w = shared.value
         bias = float(w[-1])
-        for batch in batches:
+        for batch in slices(batches):
             z = np.empty(batch.num_rows)
             for k, text in enumerate(batch.column(2).to_pylist()):
                 found = places(text)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.words import slices
+
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?((?-i:[A-Za-z0-9+/_.=-]+))""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -227,7 +229,7 @@ _FOUND = pa.schema(
 
 
 def _scan(batches):
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             base = ordered(base_spans(text or ""))
@@ -245,5 +247,12 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by a mark; other columns as they are."""
-    clean = F.pandas_udf(lambda texts: texts.map(lambda t: None if t is None else redact(t, base_spans(t) + confirmed_spans(t))), "string")
-    return docs.withColumn("text", clean(F.col("text")))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for part in slices(batches):
+            field = part.schema.field(at)
+            texts = [None if t is None else redact(t, base_spans(t) + confirmed_spans(t)) for t in part.column(at).to_pylist()]
+            yield part.set_column(at, field, pa.array(texts, field.type))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -132,7 +132,8 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     )
     known = known.where(F.col("size") >= min_bytes).select("page_id", "digest")
     first = known.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
-    later = known.join(first.select("digest", "refers_to"), "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    # an error page that very many pages hold meets its first one in parts
+    later = spread_join(known, first.select("digest", "refers_to"), ["digest"], ["page_id"], known.count()).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     return later.select("page_id", "digest", "refers_to").distinct()
 
 
