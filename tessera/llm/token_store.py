@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.storage import fresh_path, remove_path, shuffle_width, spread_join
 from tessera.llm.token_ids import default_vocabulary, text_encoder
-from tessera.llm.words import mix64
+from tessera.llm.words import mix64, slices
 
 END_ID = 2
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 256, 10, 8192
@@ -121,30 +121,28 @@ def _stage(vocabulary: str, end_id: int, seen_most: int = 1 << 19):
     def run(batches):
         encoder, packer = text_encoder(vocabulary), zstandard.ZstdCompressor(level=3)
         end, seen = np.array([end_id], np.uint32), set()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(lo, SLICE_ROWS)
-                out: list[list] = [[] for _ in _STAGED]
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode_many(part.column(1).to_pylist()), strict=True):
-                    ids = np.concatenate([ids, end])
-                    raw = ids.astype("<u4").tobytes()
-                    hashes, sizes, payloads, last = [], [], [], 0
-                    for stop in chunk_bounds(ids):
-                        piece = raw[4 * last : 4 * stop]
-                        address = hashlib.sha256(piece).digest()
-                        hashes.append(address)
-                        sizes.append(stop - last)
-                        if address in seen:  # this task has sent it already
-                            payloads.append(None)
-                        else:
-                            if len(seen) >= seen_most:
-                                seen.clear()
-                            seen.add(address)
-                            payloads.append(encode_payload(ids[last:stop], packer))
-                        last = stop
-                    for column, value in zip(out, (doc_id, len(ids), hashes, sizes, payloads, _leaf(doc_id, len(ids), hashes)), strict=True):
-                        column.append(value)
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, _STAGED, strict=True)], schema=_STAGED)
+        for part in slices(batches, SLICE_ROWS):
+            out: list[list] = [[] for _ in _STAGED]
+            for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode_many(part.column(1).to_pylist()), strict=True):
+                ids = np.concatenate([ids, end])
+                raw = ids.astype("<u4").tobytes()
+                hashes, sizes, payloads, last = [], [], [], 0
+                for stop in chunk_bounds(ids):
+                    piece = raw[4 * last : 4 * stop]
+                    address = hashlib.sha256(piece).digest()
+                    hashes.append(address)
+                    sizes.append(stop - last)
+                    if address in seen:  # this task has sent it already
+                        payloads.append(None)
+                    else:
+                        if len(seen) >= seen_most:
+                            seen.clear()
+                        seen.add(address)
+                        payloads.append(encode_payload(ids[last:stop], packer))
+                    last = stop
+                for column, value in zip(out, (doc_id, len(ids), hashes, sizes, payloads, _leaf(doc_id, len(ids), hashes)), strict=True):
+                    column.append(value)
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, _STAGED, strict=True)], schema=_STAGED)
 
     return run
 
@@ -234,16 +232,14 @@ def _part_roots(recipes: DataFrame) -> DataFrame:
 def _chunk_sums(batches):
     """Address and checksum of each stored chunk, read and verified."""
     names = ["hash", "n_ids", "crc"]
-    for batch in batches:
-        for lo in range(0, batch.num_rows, SLICE_ROWS):
-            part = batch.slice(lo, SLICE_ROWS)
-            hashes, sums = part.column(0).to_pylist(), []
-            for address, n, payload in zip(hashes, part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                raw = decode_payload(payload)
-                if hashlib.sha256(raw).digest() != address or len(raw) != 4 * n:
-                    raise ValueError(f"chunk {address.hex()} does not match its address")
-                sums.append(zlib.crc32(raw))
-            yield pa.record_batch([pa.array(hashes, pa.binary()), part.column(1), pa.array(sums, pa.int64())], names=names)
+    for part in slices(batches, SLICE_ROWS):
+        hashes, sums = part.column(0).to_pylist(), []
+        for address, n, payload in zip(hashes, part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            raw = decode_payload(payload)
+            if hashlib.sha256(raw).digest() != address or len(raw) != 4 * n:
+                raise ValueError(f"chunk {address.hex()} does not match its address")
+            sums.append(zlib.crc32(raw))
+        yield pa.record_batch([pa.array(hashes, pa.binary()), part.column(1), pa.array(sums, pa.int64())], names=names)
 
 
 _ZEROS = bytes(4 * MAX_CHUNK)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,10 +27,22 @@ SLICE_ROWS = 512
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Batches in parts, so that few texts are held as Python objects at a time."""
+    """Batches in parts, so that few texts are held as Python objects at a time. At the end of a task the worker, which
+    lives on, gives back what it does not use."""
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             yield batch.slice(lo, rows)
+    batch = None
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory that Arrow and the C library hold for later goes to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 class WordHashes(dict):
