@@ -124,3 +124,34 @@ def checks(tris: DataFrame, tolerance: float = 0.0) -> DataFrame:
     flags = tris.groupBy("mesh_id").agg(F.count_if(colinear & finite).alias("n_degenerate"), F.min(F.coalesce(finite, F.lit(False))).alias("is_finite"))
     whole = flags.join(count.withColumnRenamed("mesh_id", "_mesh"), F.col("mesh_id").eqNullSafe(F.col("_mesh")))
     return whole.select("mesh_id", "n_degenerate", "is_finite", ((F.col("lo") >= 0) & (F.col("hi") < F.col("n_used"))).alias("is_dense"), "n_used")
+
+
+def matches_normals(tris: DataFrame, tolerance: float) -> DataFrame:
+    """mesh_id, whether every triangle turns left, within ``tolerance``, about the normal (nx, ny, nz) that it carries."""
+    from tessera.functions.linalg import projected
+    from tessera.functions.vectors import ccw
+
+    flat = [projected(vec("n"), vec(p)) for p in "abc"]
+    return tris.groupBy("mesh_id").agg(F.min(ccw(*flat, tolerance) >= 0).alias("matches_normals"))
+
+
+def longest_of_degenerate(tris: DataFrame, tolerance: float) -> DataFrame:
+    """mesh_id, he: the longest side of every triangle whose corners lie within ``tolerance`` of a line, which a swap would
+    take away."""
+    from tessera.functions.linalg import argmax, projected
+    from tessera.functions.vectors import ccw
+
+    n = _normal()
+    flat = [projected(n, vec(p)) for p in "abc"]
+    sizes = [dot(sub(vec(q), vec(p)), sub(vec(q), vec(p))) for p, q in ("ab", "bc", "ca")]
+    return tris.where(ccw(*flat, tolerance) == 0).select("mesh_id", (3 * F.col("tri") + argmax(sizes)).cast("long").alias("he"))
+
+
+def transform_normals(normals: DataFrame, matrix: list[float]) -> DataFrame:
+    """``normals`` (.., nx, ny, nz) of a solid under a 3x4 row-major matrix: by the inverse transpose, of unit length; null
+    where the matrix has no inverse."""
+    from tessera.functions.linalg import apply, inverse, transpose, unit
+
+    m = tuple(tuple(F.lit(float(matrix[4 * r + c])) for c in range(3)) for r in range(3))
+    moved = unit(apply(transpose(inverse(m)), vec("n")))
+    return normals.withColumns({f"n{c}": v for c, v in zip("xyz", moved, strict=True)})

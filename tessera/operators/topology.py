@@ -134,3 +134,38 @@ def connected_components(edges: DataFrame) -> DataFrame:
     least = materialize(ends.groupBy("end").agg(F.least(F.min("at"), F.col("end")).alias("component")), "least")
     named = spread_join(ends, least, ["end"], ["at"], ends.count()).select(F.col("at").alias("node"), "component")
     return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+# ---- faces: flat regions, given as (mesh_id, tri, face)
+
+
+def _faced_sides(tris: DataFrame, faces: DataFrame) -> DataFrame:
+    """mesh_id, lo, hi, how many half-edges and how many faces meet there, least and greatest face of every edge."""
+    named = halfedges(tris).withColumn("tri", F.floor(F.col("he") / 3)).join(faces, ["mesh_id", "tri"])
+    return named.groupBy("mesh_id", F.least("start_v", "end_v").alias("lo"), F.greatest("start_v", "end_v").alias("hi")).agg(F.count("*").alias("n"), F.min("face").alias("one"), F.max("face").alias("other"))
+
+
+def face_sides(tris: DataFrame, faces: DataFrame) -> DataFrame:
+    """mesh_id, face, n_tri, n_side (edges shared with other faces), is_flat_group (three triangles or more) of every face."""
+    rim = _faced_sides(tris, faces).where("one <> other")
+    sides = rim.select("mesh_id", F.explode(F.array("one", "other")).alias("face")).groupBy("mesh_id", "face").agg(F.count("*").alias("n_side"))
+    n = faces.groupBy("mesh_id", "face").agg(F.count("*").alias("n_tri"))
+    return n.join(sides, ["mesh_id", "face"], "left").select("mesh_id", "face", "n_tri", F.coalesce("n_side", F.lit(0)).cast("long").alias("n_side"), (F.col("n_tri") >= 3).alias("is_flat_group"))
+
+
+def collapsible_starts(tris: DataFrame, faces: DataFrame) -> DataFrame:
+    """mesh_id, vert, n_face of vertices that at most two faces surround, so that an edge may be drawn out of them."""
+    corners = tris.select("mesh_id", "tri", F.explode(F.array("v0", "v1", "v2")).alias("vert")).join(faces, ["mesh_id", "tri"])
+    return corners.groupBy("mesh_id", "vert").agg(F.count_distinct("face").alias("n_face")).where("n_face <= 2")
+
+
+def unbroken_pieces(tris: DataFrame, crossed: DataFrame) -> DataFrame:
+    """mesh_id, vert, piece: parts of a solid whose vertices edges hold together that are not ``crossed`` (mesh_id, he, of
+    forward half-edges); the piece is named by a number of one of its vertices."""
+    forward = halfedges(tris).where("start_v < end_v")
+    whole = forward.join(crossed.select("mesh_id", "he").distinct(), ["mesh_id", "he"], "left_anti")
+    key = lambda c: F.shiftleft(F.col("mesh_id").cast("long"), 31) + F.col(c)
+    every = tris.select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("vert")).distinct().withColumn("node", key("vert"))
+    links = whole.select(key("start_v").alias("a"), key("end_v").alias("b"))
+    named = every.join(connected_components(links), "node", "left")
+    return named.select("mesh_id", "vert", F.coalesce("component", "node").bitwiseAND(F.lit((1 << 31) - 1)).alias("piece"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import linalg as L
 from tessera.functions import vectors as V
 from tessera.operators import columns
+from tessera.operators.solids import once
 from tessera.plans.queries import _rounded, _table
 
 
@@ -148,12 +149,14 @@ def matrix_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Determinants up to 4x4, adjugates, inverses, products, and what singular values add up to."""
     df, e = _elements(spark, sf_dir)
     m3, m4, m2 = (tuple(tuple(e[n * r : n * r + n]) for r in range(n)) for n in (3, 4, 2))
-    s = L.singular_values(m3)
+    # passed on as columns: spelled out in every use, they outgrow compiled code
+    df = once(df.withColumns({f"s{k}": v for k, v in enumerate(L.singular_values(m3))}))
+    s = [F.col(f"s{k}") for k in range(3)]
     prod, out, one = L.matmul(m3, L.transpose(m3)), L.outer(m3[0], m3[1]), L.matmul(m4, L.inverse(m4))
     cols = {
         "det2": L.determinant(m2), "det3": L.determinant(m3), "det4": L.determinant(m4), "trace": L.trace(m4), "diagonal": L.diagonal(m3)[1], "adjugate": L.adjugate(m3)[0][2], "product": prod[0][1], "outer": out[2][0],
         "applied": L.apply(m3, m3[0])[1], "one": L.trace(one) / 4, "none": one[0][1] + one[3][2], "squares": s[0] * s[0] + s[1] * s[1] + s[2] * s[2], "volume": s[0] * s[1] * s[2], "pairs": s[0] * s[0] * s[1] * s[1] + s[1] * s[1] * s[2] * s[2] + s[2] * s[2] * s[0] * s[0],
-        "ordered": (L.spectral_norm(m3) >= s[1]) & (s[1] >= s[2]),
+        "ordered": (s[0] >= s[1]) & (s[1] >= s[2]),
     }
     return _picked(df, cols, plain=("ordered",))
 

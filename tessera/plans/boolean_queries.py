@@ -17,25 +17,35 @@ def _facts(tris: DataFrame, *drop: str) -> DataFrame:
     return _rounded(measure.measures(tris).select("mesh_id", "n_tri", "n_vert", "genus", "volume", "area"), "volume", "area").drop(*drop)
 
 
+def _placed(rows: DataFrame, key: Column, s: Column, x, y, z, size) -> DataFrame:
+    shift = {"tx": x, "ty": y, "tz": z}
+    return shapes.triangles(rows.select(key.alias("mesh_id"), *((s * size).alias(f"s{c}") for c in "xyz"), *((s * v).alias(k) for k, v in shift.items())))
+
+
 def _cubes(spark: SparkSession, sf_dir: str, x=0.0, y=0.0, z=0.0, size=1.0) -> DataFrame:
     """A cube for each part, of its size times ``size``, moved by shares of its size."""
-    s = F.col("p_size").cast("double")
-    shift = {"tx": x, "ty": y, "tz": z}
-    row = _table(spark, sf_dir, "part").select(_key().alias("mesh_id"), *((s * size).alias(f"s{c}") for c in "xyz"), *((s * v).alias(k) for k, v in shift.items()))
-    return shapes.triangles(row)
+    return _placed(_table(spark, sf_dir, "part"), _key(), F.col("p_size").cast("double"), x, y, z, size)
+
+
+def _supplied(spark: SparkSession, sf_dir: str, x=0.0, y=0.0, z=0.0) -> DataFrame:
+    """The same for each supplier, for queries that take many steps a solid."""
+    return _placed(_table(spark, sf_dir, "supplier"), F.col("s_suppkey"), (1 + F.col("s_suppkey") % 9).cast("double"), x, y, z, 1.0)
 
 
 _SIZES = "s AS (SELECT p_partkey AS mesh_id, p_size::DOUBLE AS s FROM part)"
+_SUPPLIED = "s AS (SELECT s_suppkey AS mesh_id, (1 + s_suppkey % 9)::DOUBLE AS s FROM supplier)"
 
 
 def solid_booleans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cubes with the same moved: through a corner, along an edge, face to face, edge to edge, apart."""
+    """Cubes with the same moved (through a corner, along an edge, face to face, edge to edge, apart): united, taken off or
+    met, one after another along the parts."""
     a = _cubes(spark, sf_dir)
     step = [F.when(_key() % 5 == 0, 0.5).when(_key() % 5 == 1, 0.5).when(_key() % 5 == 2, 1.0).when(_key() % 5 == 3, 1.0).otherwise(3.0), F.when(_key() % 5 < 2, 0.5).when(_key() % 5 == 3, 1.0).otherwise(0.0), F.when(_key() % 5 == 0, 0.5).otherwise(0.0)]
     b = _cubes(spark, sf_dir, *step)
     out = None
-    for op in ("add", "subtract", "intersect"):
-        part = _facts(booleans.boolean(a, b, op)).withColumn("op", F.lit(op))
+    for k, op in enumerate(("add", "subtract", "intersect")):
+        mine = F.floor(F.col("mesh_id") / 5) % 3 == k
+        part = _facts(booleans.boolean(a.where(mine), b.where(mine), op)).withColumn("op", F.lit(op))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -43,7 +53,7 @@ def solid_booleans(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BOOLEAN_CASES = """(0, 'add', 36, 20, 0, 1.875, 10.5), (0, 'subtract', 24, 14, 0, 0.875, 6), (0, 'intersect', 12, 8, 0, 0.125, 1.5), (1, 'add', 32, 18, 0, 1.75, 9.5), (1, 'subtract', 20, 12, 0, 0.75, 5.5), (1, 'intersect', 12, 8, 0, 0.25, 2.5),
 (2, 'add', 20, 12, 0, 2, 10), (2, 'subtract', 12, 8, 0, 1, 6), (3, 'add', 24, 16, -1, 2, 12), (3, 'subtract', 12, 8, 0, 1, 6), (4, 'add', 24, 16, -1, 2, 12), (4, 'subtract', 12, 8, 0, 1, 6)"""
 BOOLEAN_SQL = f"""WITH {_SIZES} SELECT mesh_id, op, CAST(t AS BIGINT) AS n_tri, CAST(v AS BIGINT) AS n_vert, CAST(g AS BIGINT) AS genus, round(vol::DOUBLE*s*s*s, 4) + 0.0 AS volume, round(ar::DOUBLE*s*s, 4) + 0.0 AS area
-FROM s JOIN (VALUES {_BOOLEAN_CASES}) c(k, op, t, v, g, vol, ar) ON mesh_id % 5 = k"""
+FROM s JOIN (VALUES {_BOOLEAN_CASES}) c(k, op, t, v, g, vol, ar) ON mesh_id % 5 = k AND op = CASE mesh_id // 5 % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'subtract' ELSE 'intersect' END"""
 
 
 def hollow_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,49 +73,49 @@ def _volumes(tris: DataFrame) -> DataFrame:
 
 
 def plane_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both sides of cubes cut through the middle by a slanted plane, by a cutter, and a level trim."""
+    """Both sides of cubes cut through the middle by a slanted plane, or by another solid, in turn along the parts."""
     a = _cubes(spark, sf_dir)
     normal = [1.0, 2.0, 3.0]
     length = sum(x * x for x in normal) ** 0.5
     at = _table(spark, sf_dir, "part").select(_key().alias("mesh_id"), *(F.lit(x).alias(n) for n, x in zip(("nx", "ny", "nz"), normal, strict=True)), (F.col("p_size") * (sum(normal) / 2 / length)).alias("offset"))
-    both = booleans.split_by_plane(a.join(at, "mesh_id"))
-    out = None
-    for side in (0, 1):
-        part = _volumes(both.where(F.col("side") == side).drop("side")).withColumn("kind", F.lit(f"plane {side}"))
-        out = part if out is None else out.unionByName(part)
-    for name, part in zip(("inside", "outside"), booleans.split(a, _cubes(spark, sf_dir, 0.25, 0.25, 0.5)), strict=True):
+    both = booleans.split_by_plane(a.where("mesh_id % 2 = 0").join(at, "mesh_id"))
+    sides = _volumes(both.withColumn("mesh_id", 2 * F.col("mesh_id") + F.col("side")).drop("side"))
+    out = sides.withColumn("kind", F.concat(F.lit("plane "), (F.col("mesh_id") % 2).cast("string"))).withColumn("mesh_id", F.floor(F.col("mesh_id") / 2))
+    odd = a.where("mesh_id % 2 = 1")
+    for name, part in zip(("inside", "outside"), booleans.split(odd, _cubes(spark, sf_dir, 0.25, 0.25, 0.5).where("mesh_id % 2 = 1")), strict=True):
         out = out.unionByName(_volumes(part.select(*booleans._NAMES)).withColumn("kind", F.lit(name)))
     return out
 
 
-SPLIT_SQL = f"""WITH {_SIZES} SELECT mesh_id, kind, CAST(0 AS BIGINT) AS genus, round(k::DOUBLE*s*s*s, 5) + 0.0 AS volume FROM s, (VALUES ('plane 0', 0.5), ('plane 1', 0.5), ('inside', 0.28125), ('outside', 0.71875)) c(kind, k)"""
+SPLIT_SQL = f"""WITH {_SIZES} SELECT mesh_id, kind, CAST(0 AS BIGINT) AS genus, round(k::DOUBLE*s*s*s, 5) + 0.0 AS volume FROM s JOIN (VALUES (0, 'plane 0', 0.5), (0, 'plane 1', 0.5), (1, 'inside', 0.28125), (1, 'outside', 0.71875)) c(i, kind, k) ON mesh_id % 2 = i"""
 
 
 def batch_booleans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three cubes in a row that overlap: all together, the first less the others, what all share."""
+    """Three cubes in a row that overlap: all together, the first less the others, or what all share, one after another
+    along the parts."""
     parts = None
     for k in range(3):
         cube = _cubes(spark, sf_dir, 0.4 * k).withColumn("part", F.lit(k))
         parts = cube if parts is None else parts.unionByName(cube)
     out = None
-    for op in ("add", "subtract", "intersect"):
-        part = _facts(booleans.batch(parts, op), "n_tri", "n_vert").withColumn("op", F.lit(op))
+    for k, op in enumerate(("add", "subtract", "intersect")):
+        part = _facts(booleans.batch(parts.where(F.col("mesh_id") % 3 == k), op), "n_tri", "n_vert").withColumn("op", F.lit(op))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-BATCH_SQL = f"""WITH {_SIZES} SELECT mesh_id, op, CAST(0 AS BIGINT) AS genus, round(k::DOUBLE*s*s*s, 4) + 0.0 AS volume, round((2 + 4*k::DOUBLE)*s*s, 4) + 0.0 AS area FROM s, (VALUES ('add', 1.8), ('subtract', 0.4), ('intersect', 0.2)) c(op, k)"""
+BATCH_SQL = f"""WITH {_SIZES} SELECT mesh_id, op, CAST(0 AS BIGINT) AS genus, round(k::DOUBLE*s*s*s, 4) + 0.0 AS volume, round((2 + 4*k::DOUBLE)*s*s, 4) + 0.0 AS area FROM s JOIN (VALUES (0, 'add', 1.8), (1, 'subtract', 0.4), (2, 'intersect', 0.2)) c(i, op, k) ON mesh_id % 3 = i"""
 
 
 def csg_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(a + b) - c - d ^ e as a plan of solids: nests are flattened before anything is computed."""
-    a, b = csg.Solid(_cubes(spark, sf_dir)), csg.Solid(_cubes(spark, sf_dir, 0.5))
-    c, d = csg.Solid(_cubes(spark, sf_dir, 1.0)), csg.Solid(_cubes(spark, sf_dir, 0.0, 0.5))
-    e = csg.Solid(_cubes(spark, sf_dir, 0.0, 0.0, 0.5)).translate(0.0, 0.0, 0.0)
+    a, b = csg.Solid(_supplied(spark, sf_dir)), csg.Solid(_supplied(spark, sf_dir, 0.5))
+    c, d = csg.Solid(_supplied(spark, sf_dir, 1.0)), csg.Solid(_supplied(spark, sf_dir, 0.0, 0.5))
+    e = csg.Solid(_supplied(spark, sf_dir, 0.0, 0.0, 0.5)).translate(0.0, 0.0, 0.0)
     return _facts((((a + b) - c - d) ^ (a + e)).triangles(), "n_tri", "n_vert")
 
 
-CSG_SQL = f"WITH {_SIZES} SELECT mesh_id, CAST(0 AS BIGINT) AS genus, round(0.5::DOUBLE*s*s*s, 4) + 0.0 AS volume, round(4.0::DOUBLE*s*s, 4) + 0.0 AS area FROM s"
+CSG_SQL = f"WITH {_SUPPLIED} SELECT mesh_id, CAST(0 AS BIGINT) AS genus, round(0.5::DOUBLE*s*s*s, 4) + 0.0 AS volume, round(4.0::DOUBLE*s*s, 4) + 0.0 AS area FROM s"
 
 
 def hull_solids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,12 +152,12 @@ SELF_SQL = "SELECT p_partkey AS mesh_id, p_partkey % 2 = 0 AS is_self_intersecti
 
 def simplifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refined cubes made simple again, and the flat faces of what is refined."""
-    fine = solids.refine(_cubes(spark, sf_dir), 2)
+    fine = solids.refine(_supplied(spark, sf_dir), 2)
     faces = booleans.coplanar_faces(topology.renumber(fine)).groupBy("mesh_id").agg(F.count_distinct("face").alias("n_face"))
     return _facts(booleans.simplify(fine)).join(faces, "mesh_id")
 
 
-SIMPLE_SQL = f"WITH {_SIZES} SELECT mesh_id, CAST(12 AS BIGINT) AS n_tri, CAST(8 AS BIGINT) AS n_vert, CAST(0 AS BIGINT) AS genus, round(s*s*s, 4) + 0.0 AS volume, round(6*s*s, 4) + 0.0 AS area, CAST(6 AS BIGINT) AS n_face FROM s"
+SIMPLE_SQL = f"WITH {_SUPPLIED} SELECT mesh_id, CAST(12 AS BIGINT) AS n_tri, CAST(8 AS BIGINT) AS n_vert, CAST(0 AS BIGINT) AS genus, round(s*s*s, 4) + 0.0 AS volume, round(6*s*s, 4) + 0.0 AS area, CAST(6 AS BIGINT) AS n_face FROM s"
 
 
 def pinched_solids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,7 +299,7 @@ CAST(CASE WHEN k = 0 THEN 4 ELSE 0 END AS BIGINT) AS n_read, round(CASE WHEN k =
 def _soup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cubes as records in which no two triangles share a vertex."""
     rows = F.array_sort(F.collect_list(F.struct("tri", F.array(*(p + c for p in "abc" for c in "xyz")).alias("at"))))
-    packed = _cubes(spark, sf_dir, 0.0, 0.0, 0.0).groupBy("mesh_id").agg(rows.alias("rows"))
+    packed = _supplied(spark, sf_dir).groupBy("mesh_id").agg(rows.alias("rows"))
     return packed.select("mesh_id", F.lit(3).alias("num_prop"), F.flatten("rows.at").alias("vert_properties"), F.sequence(F.lit(0).cast("long"), F.lit(35).cast("long")).alias("tri_verts"))
 
 
@@ -303,7 +313,7 @@ def merged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(merged.select("mesh_id", F.size("merge_from").alias("n_merged")), "mesh_id").join(_facts(tris, "n_tri"), "mesh_id")
 
 
-MERGED_SQL = f"WITH {_SIZES} SELECT mesh_id, 'NotManifold' AS \"before\", 'NoError' AS \"after\", CAST(28 AS INTEGER) AS n_merged, CAST(8 AS BIGINT) AS n_vert, CAST(0 AS BIGINT) AS genus, round(s*s*s, 4) + 0.0 AS volume, round(6*s*s, 4) + 0.0 AS area FROM s"
+MERGED_SQL = f"WITH {_SUPPLIED} SELECT mesh_id, 'NotManifold' AS \"before\", 'NoError' AS \"after\", CAST(28 AS INTEGER) AS n_merged, CAST(8 AS BIGINT) AS n_vert, CAST(0 AS BIGINT) AS genus, round(s*s*s, 4) + 0.0 AS volume, round(6*s*s, 4) + 0.0 AS area FROM s"
 
 
 def exported_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,62 +47,63 @@ round(-1-s, 4) + 0.0 AS min_y, (-1.0)::DOUBLE AS max_y, false AS is_empty, true
 
 
 def section_booleans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union, difference and intersection of squares and the same moved."""
+    """Squares and the same moved: united, taken off or met, one after another along the parts."""
     a = _squares(spark, sf_dir)
     b = sections.translate(a, 2.0, 3.0)
     out = None
-    for op in ("add", "subtract", "intersect"):
-        part = _facts(sections.boolean(a, b, op)).withColumn("op", F.lit(op))
+    for k, op in enumerate(("add", "subtract", "intersect")):
+        mine = F.col("cs_id") % 3 == k
+        part = _facts(sections.boolean(a.where(mine), b.where(mine), op)).withColumn("op", F.lit(op))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 SECTION_SQL = f"""WITH {_PARTS}, c AS (SELECT cs_id, s, (s-2)*(s-3) AS c FROM s) SELECT cs_id, op, CAST(n AS BIGINT) AS n_vert, CAST(1 AS BIGINT) AS n_contour,
-round(CASE op WHEN 'add' THEN 2*s*s - c WHEN 'subtract' THEN s*s - c ELSE c END, 4) + 0.0 AS area FROM c, (VALUES ('add', 8), ('subtract', 6), ('intersect', 4)) v(op, n)"""
+round(CASE op WHEN 'add' THEN 2*s*s - c WHEN 'subtract' THEN s*s - c ELSE c END, 4) + 0.0 AS area FROM c JOIN (VALUES (0, 'add', 8), (1, 'subtract', 6), (2, 'intersect', 4)) v(k, op, n) ON cs_id % 3 = k"""
 
 
 def section_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All parts of a plus sign as one, what its bars share, and the first less the other."""
+    """The bars of a plus sign as one, the first less the other, or what they share, one after another along the parts."""
     flat = sections.squares(_table(spark, sf_dir, "part").select(_key().alias("cs_id"), (3 * _side()).alias("width"), _side().alias("height")))
     tall = sections.translate(sections.rotate(flat, 90.0), 0.0, 0.0).join(_table(spark, sf_dir, "part").select(_key().alias("cs_id"), _side().alias("s")), "cs_id")
     tall = tall.select("cs_id", "contour", "pos", (F.col("x") + 2 * F.col("s")).alias("x"), (F.col("y") - F.col("s")).alias("y"))
     parts = flat.withColumn("part", F.lit(0)).unionByName(tall.withColumn("part", F.lit(1))).unionByName(flat.withColumn("part", F.lit(2)))
-    out = _facts(sections.compose(parts)).withColumn("op", F.lit("add"))
-    for op in ("subtract", "intersect"):
-        out = out.unionByName(_facts(sections.batch(parts.where("part < 2"), op)).withColumn("op", F.lit(op)))
+    out = _facts(sections.compose(parts.where("cs_id % 3 = 0"))).withColumn("op", F.lit("add"))
+    for k, op in ((1, "subtract"), (2, "intersect")):
+        out = out.unionByName(_facts(sections.batch(parts.where(f"part < 2 and cs_id % 3 = {k}"), op)).withColumn("op", F.lit(op)))
     return out
 
 
-BATCH_SQL = f"""WITH {_PARTS} SELECT cs_id, op, CAST(n AS BIGINT) AS n_vert, CAST(m AS BIGINT) AS n_contour, round(k*s*s, 4) + 0.0 AS area FROM s, (VALUES ('add', 12, 1, 5), ('subtract', 8, 2, 2), ('intersect', 4, 1, 1)) v(op, n, m, k)"""
+BATCH_SQL = f"""WITH {_PARTS} SELECT cs_id, op, CAST(n AS BIGINT) AS n_vert, CAST(m AS BIGINT) AS n_contour, round(k*s*s, 4) + 0.0 AS area FROM s JOIN (VALUES (0, 'add', 12, 1, 5), (1, 'subtract', 8, 2, 2), (2, 'intersect', 4, 1, 1)) v(i, op, n, m, k) ON cs_id % 3 = i"""
 
 
 def fill_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A square, half of it wound twice and a clockwise one beside it, under each rule."""
+    """A square, half of it wound twice and a clockwise one beside it, under one rule after another along the parts."""
     a = _squares(spark, sf_dir)
     half = sections.scale(a, 0.5, 1.0).withColumn("contour", F.lit(1))
     beside = sections.translate(a, -20.0, 0.0).withColumns({"contour": F.lit(2), "pos": 3 - F.col("pos")})
     out = None
-    for rule in ("even_odd", "non_zero", "positive", "negative"):
-        part = _facts(sections.filled(a.unionByName(half).unionByName(beside), rule)).withColumn("rule", F.lit(rule))
+    for k, rule in enumerate(("even_odd", "non_zero", "positive", "negative")):
+        part = _facts(sections.filled(a.unionByName(half).unionByName(beside).where(F.col("cs_id") % 4 == k), rule)).withColumn("rule", F.lit(rule))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-FILL_SQL = f"""WITH {_PARTS} SELECT cs_id, rule, CAST(4 * m AS BIGINT) AS n_vert, CAST(m AS BIGINT) AS n_contour, round(k*s*s, 4) + 0.0 AS area FROM s, (VALUES ('even_odd', 2, 1.5::DOUBLE), ('non_zero', 2, 2), ('positive', 1, 1), ('negative', 1, 1)) v(rule, m, k)"""
+FILL_SQL = f"""WITH {_PARTS} SELECT cs_id, rule, CAST(4 * m AS BIGINT) AS n_vert, CAST(m AS BIGINT) AS n_contour, round(k*s*s, 4) + 0.0 AS area FROM s JOIN (VALUES (0, 'even_odd', 2, 1.5::DOUBLE), (1, 'non_zero', 2, 2), (2, 'positive', 1, 1), (3, 'negative', 1, 1)) v(i, rule, m, k) ON cs_id % 4 = i"""
 
 
 def section_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Squares grown with every kind of corner, and shrunk."""
+    """Squares grown with one kind of corner after another along the parts, or shrunk."""
     out = None
-    for join, delta in (("round", 1.0), ("miter", 1.0), ("bevel", 1.0), ("square", 1.0), ("miter", -1.0)):
-        part = _facts(sections.offset(_squares(spark, sf_dir), delta, join, segments=16)).withColumns({"join": F.lit(join), "delta": F.lit(delta)})
+    for k, (join, delta) in enumerate((("round", 1.0), ("miter", 1.0), ("bevel", 1.0), ("square", 1.0), ("miter", -1.0))):
+        part = _facts(sections.offset(_squares(spark, sf_dir).where(F.col("cs_id") % 5 == k), delta, join, segments=16)).withColumns({"join": F.lit(join), "delta": F.lit(delta)})
         out = part if out is None else out.unionByName(part)
     return out
 
 
 OFFSET_SQL = f"""WITH {_PARTS} SELECT cs_id, j AS "join", d::DOUBLE AS delta, CAST(n AS BIGINT) AS n_vert, CAST(1 AS BIGINT) AS n_contour,
 round(s*s + 4*s*d + CASE j WHEN 'round' THEN 8*sin(pi()/8) WHEN 'bevel' THEN 2 WHEN 'square' THEN 8*(sqrt(2)-1) ELSE 4 END, 4) + 0.0 AS area
-FROM s, (VALUES ('round', 1.0::DOUBLE, 20), ('miter', 1.0, 4), ('bevel', 1.0, 8), ('square', 1.0, 8), ('miter', -1.0, 4)) v(j, d, n)"""
+FROM s JOIN (VALUES (0, 'round', 1.0::DOUBLE, 20), (1, 'miter', 1.0, 4), (2, 'bevel', 1.0, 8), (3, 'square', 1.0, 8), (4, 'miter', -1.0, 4)) v(i, j, d, n) ON cs_id % 5 = i"""
 
 
 def section_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,14 +119,16 @@ PIECES_SQL = f"WITH {_PARTS} SELECT cs_id * 2 + k AS cs_id, CAST(8 AS BIGINT) AS
 
 
 def section_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hulls of two squares, and squares with points on their sides made simple, moved by a function and back."""
-    a = _squares(spark, sf_dir)
+    """Hulls of two squares, squares with a point on a side made simple, moved by an expression or by a function of arrays,
+    one after another along the parts."""
+    every = _squares(spark, sf_dir)
+    a = every.where("cs_id % 4 = 0")
     both = a.unionByName(sections.translate(a, 3.0, 3.0).withColumn("contour", F.lit(1)))
-    many = a.unionByName(a.withColumns({"pos": F.col("pos")})).where("contour = 0").dropDuplicates(["cs_id", "pos"])
+    many = every.where("cs_id % 4 = 1")
     middles = many.unionByName(many.where("pos = 0").withColumns({"pos": F.lit(4), "y": F.lit(1.0)}))
     simple = sections.simplify(middles)
-    warped = sections.warp(a, lambda x, y: (x + y / 2, y))
-    batch = sections.warp_batch(a, lambda p: p * 2.0)
+    warped = sections.warp(every.where("cs_id % 4 = 2"), lambda x, y: (x + y / 2, y))
+    batch = sections.warp_batch(every.where("cs_id % 4 = 3"), lambda p: p * 2.0)
     out = _facts(sections.hull(both)).withColumn("kind", F.lit("hull"))
     for kind, df in (("simple", simple), ("warp", warped), ("batch", batch)):
         out = out.unionByName(_facts(df).withColumn("kind", F.lit(kind)))
@@ -133,7 +136,7 @@ def section_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HULLS_SQL = f"""WITH {_PARTS} SELECT cs_id, kind, CAST(n AS BIGINT) AS n_vert, CAST(1 AS BIGINT) AS n_contour, round(CASE kind WHEN 'hull' THEN s*s + 6*s WHEN 'batch' THEN 4*s*s ELSE s*s END, 4) + 0.0 AS area
-FROM s, (VALUES ('hull', 6), ('simple', 4), ('warp', 4), ('batch', 4)) v(kind, n)"""
+FROM s JOIN (VALUES (0, 'hull', 6), (1, 'simple', 4), (2, 'warp', 4), (3, 'batch', 4)) v(i, kind, n) ON cs_id % 4 = i"""
 
 
 def triangulations(spark: SparkSession, sf_dir: str) -> DataFrame:

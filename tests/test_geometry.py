@@ -14,7 +14,7 @@ from tessera.sources import obj
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
 SF = "/root/testdata/sf0.001"
-TABLES = ("part", "lineitem", "embeddings", "orders", "customer", "nation", "region")
+TABLES = ("part", "supplier", "lineitem", "embeddings", "orders", "customer", "nation", "region")
 
 
 def one(spark, **scale):
