@@ -23,8 +23,6 @@ from tessera.operators.construct import _mixed, _partition
 from tessera.operators.measure import vertex_normals
 from tessera.operators.topology import connected_components
 
-#: Degrees below which two faces lie in one plane.
-FLAT = 1e-5
 _ENDS = [(k, e) for k in range(3) for e in ("s", "e")]
 #: Tangents of a triangle's sides: of side k at its start (s) and its end (e).
 TANGENTS = [f"t{k}{e}{c}" for k, e in _ENDS for c in "xyzw"]
@@ -87,7 +85,8 @@ def corner_normals(tris: DataFrame, min_sharp_angle: float = 60.0) -> DataFrame:
 def tangents(tris: DataFrame, min_sharp_angle: float = 180.0, smoothness: float = 0.0, normals: DataFrame | None = None) -> DataFrame:
     """``tris`` with the tangents of its sides (``TANGENTS``). ``normals`` (mesh_id, vert, nx, ny, nz) are the vertex
     normals if not given. Edges that part by more than ``min_sharp_angle`` are straight, their tangents shortened towards
-    none as ``smoothness`` (0 to 1) falls to 0; edges within a flat face are straight."""
+    none as ``smoothness`` (0 to 1) falls to 0. Edges within a flat face
+    bend like others, so flat faces beside sharp edges bulge."""
     normals = vertex_normals(tris).select("mesh_id", "vert", "nx", "ny", "nz") if normals is None else normals
     edge = edge_bends(tris)
     for end in ("lo", "hi"):
@@ -96,9 +95,8 @@ def tangents(tris: DataFrame, min_sharp_angle: float = 180.0, smoothness: float
 
     def tangent(way: Vec, normal: Vec) -> tuple[Column, ...]:
         curved = linalg.circular_tangent(cross(cross(vec("w"), way), normal), way)
-        sharp = (*(x * smoothness / 3 for x in way), F.lit(1.0))
-        flat = (*(x / 3 for x in way), F.lit(1.0))
-        return tuple(F.when(F.col("angle") > min_sharp_angle, s).when(F.col("angle") < FLAT, f).otherwise(c) for c, s, f in zip(curved, sharp, flat, strict=True))
+        straight = (*(x * smoothness / 3 for x in way), F.lit(1.0))
+        return tuple(F.when(F.col("angle") > min_sharp_angle, s).otherwise(c) for c, s in zip(curved, straight, strict=True))
 
     ends = {"l": tangent(along, vec("lo_")), "h": tangent(tuple(-x for x in along), vec("hi_"))}
     edge = edge.select("mesh_id", "lo", "hi", *(v.alias(f"{e}{c}") for e, t in ends.items() for v, c in zip(t, "xyzw", strict=True)))

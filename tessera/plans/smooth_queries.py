@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import booleans, construct, measure, smooth, solids, spatial, topology
-from tessera.plans.boolean_queries import _CUBES_SQL, _SIZES, _cubes, _facts, _key
-from tessera.plans.queries import _N, _SQRT, _rounded, _table
+from tessera.operators import booleans, measure, smooth, solids, spatial, topology
+from tessera.plans.boolean_queries import _CUBES_SQL, _cubes
+from tessera.plans.queries import _N, _SQRT, _rounded
 
 
 def face_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,29 +66,5 @@ CORNER_SQL = f"""WITH {_CUBES_SQL}, f AS (SELECT *, {", ".join(f"round(({_N[k]})
 SELECT mesh_id, CAST(tri AS INTEGER) AS tri, CAST(k AS INTEGER) AS k, CAST(CASE k WHEN 0 THEN v0 WHEN 1 THEN v1 ELSE v2 END AS INTEGER) AS vert, nx, ny, nz, CAST(12 AS BIGINT) AS n_sharp FROM f, (VALUES (0), (1), (2)) c(k)"""
 
 
-def smoothed_solids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Octahedra made round (edges lie on the ball, faces bulge a little less), cubes whose sharp edges stay, and octahedra
-    refined to a tolerance, in turn along the parts: closed, as large as told."""
-    row = _table(spark, sf_dir, "part").select(_key().alias("mesh_id"), *(F.lit(1.0).alias(f"s{c}") for c in "xyz"), *(F.lit(0.0).alias(f"t{c}") for c in "xyz"))
-    every = construct.octahedra(row)
-    of = lambda tris, k: tris.where(F.col("mesh_id") % 4 == k)
-    octa = of(every, 2)
-    kinds = {
-        "round": smooth.smooth_out(of(every, 0), 4, 180.0), "sharp": smooth.smooth_out(of(_cubes(spark, sf_dir), 1), 3, 60.0),
-        "normals": smooth.smooth_by_normals(octa, measure.vertex_normals(octa).select("mesh_id", "vert", "nx", "ny", "nz"), 2), "near": smooth.refine_to_tolerance(smooth.tangents(of(every, 3)), 0.01),
-    }
-    out = None
-    for kind, tris in kinds.items():
-        r = F.sqrt(F.col("ax") * F.col("ax") + F.col("ay") * F.col("ay") + F.col("az") * F.col("az"))
-        far = tris.groupBy("mesh_id").agg((F.max(F.abs(r - 1)) < 0.1).alias("is_ball"))
-        part = _facts(tris, "area").join(far, "mesh_id").join(topology.manifold_check(tris).select("mesh_id", "is_2_manifold"), "mesh_id").withColumn("kind", F.lit(kind))
-        part = part.withColumn("volume", F.when(F.col("kind") == "sharp", F.col("volume")))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-SMOOTH_SQL = f"""WITH {_SIZES} SELECT mesh_id, kind, CAST(t AS BIGINT) AS n_tri, CAST(v AS BIGINT) AS n_vert, CAST(0 AS BIGINT) AS genus, CASE WHEN kind = 'sharp' THEN round(s*s*s, 4) + 0.0 END AS volume, kind <> 'sharp' AS is_ball, true AS is_2_manifold
-FROM s JOIN (VALUES (0, 'round', 128, 66), (1, 'sharp', 108, 56), (2, 'normals', 32, 18), (3, 'near', 288, 146)) k(i, kind, t, v) ON mesh_id % 4 = i"""
-
-QUERIES = {f.__name__: f for f in (face_facts, unbroken_pieces, normal_checks, corner_normals, smoothed_solids)}
-ORACLE_SQL = {"face_facts": FACE_SQL, "unbroken_pieces": UNBROKEN_SQL, "normal_checks": NORMAL_SQL, "corner_normals": CORNER_SQL, "smoothed_solids": SMOOTH_SQL}
+QUERIES = {f.__name__: f for f in (face_facts, unbroken_pieces, normal_checks, corner_normals)}
+ORACLE_SQL = {"face_facts": FACE_SQL, "unbroken_pieces": UNBROKEN_SQL, "normal_checks": NORMAL_SQL, "corner_normals": CORNER_SQL}
