@@ -132,8 +132,7 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     )
     known = known.where(F.col("size") >= min_bytes).select("page_id", "digest")
     first = known.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
-    # an error page that very many pages hold meets its first one in parts
-    later = spread_join(known, first.select("digest", "refers_to"), ["digest"], ["page_id"], known.count()).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    later = known.join(first.select("digest", "refers_to"), "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     return later.select("page_id", "digest", "refers_to").distinct()
 
 
@@ -184,11 +183,11 @@ def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool =
     return listed.mapInArrow(_reader(with_payload), ddl)
 
 
-def verify_revisits(records: DataFrame) -> None:
-    """Every revisit's digest and length are those of the response that it refers to. ``records`` is a written table."""
+def verify_revisits(records: DataFrame, total: int) -> None:
+    """Every revisit's digest and length are those of the response that it refers to; ``total`` records, about."""
     later = records.where("record_type = 'revisit'").select("page_id", F.col("refers_to").alias("first"), "payload_digest", "payload_bytes")
     held = records.where("record_type = 'response'").select(F.col("page_id").alias("first"), "payload_digest", "payload_bytes").distinct()
-    bad = spread_join(later, held, ["first", "payload_digest", "payload_bytes"], ["page_id"], records.count(), "left_anti")
+    bad = spread_join(later, held, ["first", "payload_digest", "payload_bytes"], ["page_id"], total, "left_anti")
     if not bad.isEmpty():
         raise ValueError("a revisit does not match the record that it refers to")
 
@@ -197,6 +196,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` to a new folder of archives in the shared folder, read them back, and hold revisits against the
     records that they refer to."""
     spark = pages.sparkSession
-    records = materialize(read_archives(spark, write_archives(pages, fresh_path(spark, "warc"))), "warc-records")
-    verify_revisits(records)
+    manifest = write_archives(pages, fresh_path(spark, "warc"))
+    records = read_archives(spark, manifest)
+    verify_revisits(records, manifest.agg(F.sum("records")).first()[0] or 0)
     return records

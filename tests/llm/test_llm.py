@@ -348,11 +348,11 @@ def test_warc_round_trip(spark):
 def test_revisits_are_held_against_their_response(spark):
     rows = [(1, 10, "aa", "response", None), (2, 10, "aa", "revisit", 1), (None, 3, "bb", "response", None), (3, 10, "cc", "response", None)]
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    warc.verify_revisits(spark.createDataFrame(rows, schema))
-    warc.verify_revisits(spark.createDataFrame([], schema))
+    warc.verify_revisits(spark.createDataFrame(rows, schema), 4)
+    warc.verify_revisits(spark.createDataFrame([], schema), 0)
     for bad in ((4, 10, "cc", "revisit", 1), (4, 11, "aa", "revisit", 1), (4, 10, "aa", "revisit", 9), (4, 10, "aa", "revisit", 2)):
         with pytest.raises(ValueError):
-            warc.verify_revisits(spark.createDataFrame([*rows, bad], schema))
+            warc.verify_revisits(spark.createDataFrame([*rows, bad], schema), 5)
 
 
 def test_warc_reader_refuses_broken_archives():
