@@ -16,12 +16,12 @@ def sequence(sizes: DataFrame) -> DataFrame:
 
 def gather(values: DataFrame, index: DataFrame) -> DataFrame:
     """i, value: for each (i, at) of ``index`` the value (i, value) at that place; null where there is none."""
-    return index.join(values.select(F.col("i").alias("at"), "value"), "at", "left").select("i", "value")
+    return index.hint("merge").join(values.select(F.col("i").alias("at"), "value"), "at", "left").select("i", "value")
 
 
 def scatter(values: DataFrame, index: DataFrame) -> DataFrame:
     """i, value: the value at i goes to place ``at``; the last one where several do."""
-    moved = values.join(index, "i").select(F.col("at").alias("i"), F.col("i").alias("from"), "value")
+    moved = values.hint("merge").join(index, "i").select(F.col("at").alias("i"), F.col("i").alias("from"), "value")
     return moved.groupBy("i").agg(F.max_by("value", "from").alias("value"))
 
 

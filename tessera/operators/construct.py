@@ -50,11 +50,11 @@ def cylinders(instances: DataFrame, center: bool = False) -> DataFrame:
     high = F.when(F.col("radius_high") < 0, F.col("radius_low")).otherwise(F.col("radius_high"))
     df = df.select("mesh_id", F.col("height").cast("double"), F.col("radius_low").cast("double").alias("radius"), high.cast("double").alias("high"), _segments(F.greatest("radius_low", high), None, instances.columns).cast("int").alias("n"))
     df = df.withColumn("segments", F.col("n"))
-    ring = shapes.circle(df).join(df.select("mesh_id", "height", "radius", "high"), "mesh_id")
+    ring = shapes.circle(df).hint("merge").join(df.select("mesh_id", "height", "radius", "high"), "mesh_id")
     out = solids.extrude(ring.select("mesh_id", "pos", "x", "y", "height", F.lit(0).alias("divisions"), F.lit(0.0).alias("twist"), (F.col("high") / F.col("radius")).alias("scale_top")))
     if center:
         half = df.select("mesh_id", (F.col("height") / 2).alias("_half"))
-        out = out.join(half, "mesh_id").withColumns({f"{p}z": F.col(f"{p}z") - F.col("_half") for p in "abc"}).drop("_half")
+        out = out.hint("merge").join(half, "mesh_id").withColumns({f"{p}z": F.col(f"{p}z") - F.col("_half") for p in "abc"}).drop("_half")
     return out
 
 

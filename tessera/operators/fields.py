@@ -72,9 +72,9 @@ def interpolate_properties(points: DataFrame, tris: DataFrame, props: DataFrame,
     weights; channels that a mesh lacks are 0."""
     from tessera.functions.linalg import barycentric
 
-    df = points.join(tris.select("mesh_id", "tri", "v0", "v1", "v2", *CORNERS), ["mesh_id", "tri"])
+    df = points.hint("merge").join(tris.select("mesh_id", "tri", "v0", "v1", "v2", *CORNERS), ["mesh_id", "tri"])
     for k in range(3):
-        df = df.join(props.select("mesh_id", F.col("vert").alias(f"v{k}"), F.col("props").alias(f"q{k}")), ["mesh_id", f"v{k}"], "left")
+        df = df.hint("merge").join(props.select("mesh_id", F.col("vert").alias(f"v{k}"), F.col("props").alias(f"q{k}")), ["mesh_id", f"v{k}"], "left")
     w = barycentric(tuple(F.col(c) for c in "xyz"), tuple(tuple(F.col(p + c) for c in "xyz") for p in "abc"), tolerance)
     df = df.withColumns({f"w{k}": x for k, x in enumerate(w)})
     held = F.zip_with(F.zip_with("q0", "q1", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.col("q2"), lambda s, c: s["a"] * F.col("w0") + s["b"] * F.col("w1") + c * F.col("w2"))
@@ -93,7 +93,7 @@ def runs(tris: DataFrame, instances: DataFrame) -> DataFrame:
     """mesh_id, original_id, n_tri, start: how many triangles of each instance a solid holds, in the order of ids;
     instances (mesh_id, original_id) without triangles keep an empty run."""
     n = tris.groupBy("mesh_id", "original_id").agg(F.count("*").alias("n_tri"))
-    df = instances.select("mesh_id", "original_id").join(n, ["mesh_id", "original_id"], "full").withColumn("n_tri", F.coalesce("n_tri", F.lit(0)).cast("long"))
+    df = instances.select("mesh_id", "original_id").hint("merge").join(n, ["mesh_id", "original_id"], "full").withColumn("n_tri", F.coalesce("n_tri", F.lit(0)).cast("long"))
     before = Window.partitionBy("mesh_id").orderBy("original_id").rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("start", F.coalesce(3 * F.sum("n_tri").over(before), F.lit(0)).cast("long"))
 

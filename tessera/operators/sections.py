@@ -235,7 +235,7 @@ def check_triangulation(points: DataFrame, tris: DataFrame, epsilon: float = 0.0
     at = points.withColumn("v", (F.row_number().over(Window.partitionBy("cs_id").orderBy("contour", "pos")) - 1).cast("long")).select("cs_id", "v", "x", "y")
     df = tris
     for k in range(3):
-        df = df.join(at.select("cs_id", F.col("v").alias(f"v{k}"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}")), ["cs_id", f"v{k}"])
+        df = df.hint("merge").join(at.select("cs_id", F.col("v").alias(f"v{k}"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}")), ["cs_id", f"v{k}"])
     turn = (F.col("x1") - F.col("x0")) * (F.col("y2") - F.col("y0")) - (F.col("y1") - F.col("y0")) * (F.col("x2") - F.col("x0"))
     left = df.groupBy("cs_id").agg((F.min(turn) >= -epsilon).alias("all_left"))
-    return match.join(left, "cs_id", "left")
+    return match.hint("merge").join(left, "cs_id", "left")

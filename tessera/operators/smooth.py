@@ -64,10 +64,10 @@ def corner_normals(tris: DataFrame, min_sharp_angle: float = 60.0) -> DataFrame:
     df = _with_normals(tris)
     key = lambda tri, k: tri.cast("long") * 3 + k
     sides = _sides(df).select("mesh_id", "s", "e", key(F.col("tri"), F.col("k")).alias("at_s"), key(F.col("tri"), F.when(F.col("k") == 2, 0).otherwise(F.col("k") + 1)).alias("at_e"))
-    sides = sides.join(soft, (sides["mesh_id"] == soft["mesh_id"]) & (F.least("s", "e") == soft["lo"]) & (F.greatest("s", "e") == soft["hi"]), "left_semi")
+    sides = sides.hint("merge").join(soft, (sides["mesh_id"] == soft["mesh_id"]) & (F.least("s", "e") == soft["lo"]) & (F.greatest("s", "e") == soft["hi"]), "left_semi")
     other = sides.select("mesh_id", F.col("s").alias("e"), F.col("e").alias("s"), F.col("at_s").alias("o_e"), F.col("at_e").alias("o_s"))
     node = lambda c: F.xxhash64("mesh_id", c)
-    met = sides.join(other, ["mesh_id", "s", "e"])
+    met = sides.hint("merge").join(other, ["mesh_id", "s", "e"])
     links = met.select(node("at_s").alias("a"), node("o_s").alias("b")).union(met.select(node("at_e"), node("o_e")))
 
     def angle(p: str, q: str, r: str) -> Column:
@@ -76,10 +76,10 @@ def corner_normals(tris: DataFrame, min_sharp_angle: float = 60.0) -> DataFrame:
 
     corners = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"v{k}").alias("vert"), angle(p, q, r).alias("w")) for k, (p, q, r) in enumerate(("abc", "bca", "cab"))))
     rows = df.select("mesh_id", "tri", "ux", "uy", "uz", F.explode(corners).alias("p")).select("mesh_id", "tri", "ux", "uy", "uz", "p.*")
-    rows = rows.withColumn("node", node(key(F.col("tri"), F.col("k")))).join(connected_components(links), "node", "left").withColumn("fan", F.coalesce("component", "node"))
+    rows = rows.withColumn("node", node(key(F.col("tri"), F.col("k")))).hint("merge").join(connected_components(links), "node", "left").withColumn("fan", F.coalesce("component", "node"))
     sums = rows.groupBy("mesh_id", "fan").agg(*(F.sum(F.col("w") * F.col(f"u{c}")).alias(f"s{c}") for c in "xyz"))
     unit = linalg.safe_normalize(vec("s"))
-    return rows.select("mesh_id", "tri", "k", "vert", "fan").join(sums, ["mesh_id", "fan"]).select("mesh_id", "tri", "k", "vert", *(u.alias(f"n{c}") for u, c in zip(unit, "xyz", strict=True)))
+    return rows.select("mesh_id", "tri", "k", "vert", "fan").hint("merge").join(sums, ["mesh_id", "fan"]).select("mesh_id", "tri", "k", "vert", *(u.alias(f"n{c}") for u, c in zip(unit, "xyz", strict=True)))
 
 
 def tangents(tris: DataFrame, min_sharp_angle: float = 180.0, smoothness: float = 0.0, normals: DataFrame | None = None) -> DataFrame:
@@ -90,7 +90,7 @@ def tangents(tris: DataFrame, min_sharp_angle: float = 180.0, smoothness: float
     normals = vertex_normals(tris).select("mesh_id", "vert", "nx", "ny", "nz") if normals is None else normals
     edge = edge_bends(tris)
     for end in ("lo", "hi"):
-        edge = edge.join(normals.select("mesh_id", F.col("vert").alias(end), *(F.col(f"n{c}").alias(f"{end}_{c}") for c in "xyz")), ["mesh_id", end])
+        edge = edge.hint("merge").join(normals.select("mesh_id", F.col("vert").alias(end), *(F.col(f"n{c}").alias(f"{end}_{c}") for c in "xyz")), ["mesh_id", end])
     along = sub(vec("q"), vec("p"))
 
     def tangent(way: Vec, normal: Vec) -> tuple[Column, ...]:
@@ -104,7 +104,7 @@ def tangents(tris: DataFrame, min_sharp_angle: float = 180.0, smoothness: float
     for k in range(3):
         s, e = F.col(f"v{k}"), F.col(f"v{(k + 1) % 3}")
         part = edge.select(F.col("mesh_id").alias("_m"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), *(F.col(f"{n}{c}").alias(f"_{n}{c}") for n in "lh" for c in "xyzw"))
-        out = out.join(part, (out["mesh_id"] == part["_m"]) & (F.least(s, e) == part["_lo"]) & (F.greatest(s, e) == part["_hi"]))
+        out = out.hint("merge").join(part, (out["mesh_id"] == part["_m"]) & (F.least(s, e) == part["_lo"]) & (F.greatest(s, e) == part["_hi"]))
         pick = {f"t{k}{end}{c}": F.when((s < e) == F.lit(end == "s"), F.col(f"_l{c}")).otherwise(F.col(f"_h{c}")) for end in ("s", "e") for c in "xyzw"}
         out = out.withColumns(pick).drop("_m", "_lo", "_hi", *(f"_{n}{c}" for n in "lh" for c in "xyzw"))
     return out
@@ -210,7 +210,7 @@ def parts_to_tolerance(tris: DataFrame, tolerance: float) -> DataFrame:
         way = linalg.safe_normalize(sub(vec(q), vec(p)))
         d += [length(linalg.orthogonal_to(tuple(F.col(f"t{k}{end}{c}") for c in "xyz"), way)) for end in "se"]
     most = tris.groupBy("mesh_id").agg(F.max(F.greatest(*d)).alias("_d"))
-    out = tris.join(most, "mesh_id")
+    out = tris.hint("merge").join(most, "mesh_id")
     return out.withColumn("parts", (F.floor(F.sqrt(3 * F.col("_d") / (4 * tolerance))) + 1).cast("int")).drop("_d")
 
 

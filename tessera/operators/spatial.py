@@ -52,7 +52,7 @@ def overlap_join(left: DataFrame, right: DataFrame, self_join: bool = False, key
     levels = sorted({r[0] for r in left.select("level").union(right.select("level")).distinct().collect()} - {None}) or [0]
     a, b = _cells(left, levels, list(keys), "a_"), _cells(right, levels, list(keys), "b_")
     side = lambda n, e: tuple(F.col(f"{n}{e}_{k}") for k in "xyz")
-    pairs = a.join(b, [*keys, "on", "cx", "cy", "cz"]).where(F.col("on") == F.greatest("a_level", "b_level"))
+    pairs = a.hint("merge").join(b, [*keys, "on", "cx", "cy", "cz"]).where(F.col("on") == F.greatest("a_level", "b_level"))
     pairs = pairs.where(overlap(side("a_", "lo"), side("a_", "hi"), side("b_", "lo"), side("b_", "hi")))
     for k in "xyz":
         pairs = pairs.where(F.col(f"c{k}") == _cell(F.greatest(f"a_lo_{k}", f"b_lo_{k}"), F.col("on")))

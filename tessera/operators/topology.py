@@ -73,7 +73,7 @@ def edge_predicates(tris: DataFrame, epsilon: float) -> DataFrame:
     sides = F.array(*(F.struct(F.lit(k).alias("k"), sum(((F.col(p + c) - F.col(q + c)) * (F.col(p + c) - F.col(q + c)) for c in "xyz"), F.lit(0.0)).alias("d")) for k, (p, q) in enumerate(("ab", "bc", "ca"))))
     size = tris.select("mesh_id", "tri", F.explode(sides).alias("h")).select("mesh_id", (3 * F.col("tri") + F.col("h.k")).alias("he"), F.col("h.d").alias("d"))
     flags = paired(halfedges(tris)).select("mesh_id", "he", (F.col("start_v") < F.col("end_v")).alias("is_forward"), F.col("paired").isNotNull().alias("is_paired"))
-    return flags.join(size, ["mesh_id", "he"]).select("mesh_id", "he", "is_forward", (F.col("d") < epsilon * epsilon).alias("is_short"), "is_paired")
+    return flags.hint("merge").join(size, ["mesh_id", "he"]).select("mesh_id", "he", "is_forward", (F.col("d") < epsilon * epsilon).alias("is_short"), "is_paired")
 
 
 def renumber(tris: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def renumber(tris: DataFrame) -> DataFrame:
     ranks = used.withColumn("new", F.row_number().over(Window.partitionBy("mesh_id").orderBy("old")) - 1)
     out = tris
     for k in range(3):
-        out = out.join(ranks.select("mesh_id", F.col("old").alias(f"v{k}"), F.col("new").cast("long").alias(f"w{k}")), ["mesh_id", f"v{k}"])
+        out = out.hint("merge").join(ranks.select("mesh_id", F.col("old").alias(f"v{k}"), F.col("new").cast("long").alias(f"w{k}")), ["mesh_id", f"v{k}"])
     return out.withColumns({f"v{k}": F.col(f"w{k}") for k in range(3)}).select(*tris.columns)
 
 
@@ -141,7 +141,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def _faced_sides(tris: DataFrame, faces: DataFrame) -> DataFrame:
     """mesh_id, lo, hi, how many half-edges and how many faces meet there, least and greatest face of every edge."""
-    named = halfedges(tris).withColumn("tri", F.floor(F.col("he") / 3)).join(faces, ["mesh_id", "tri"])
+    named = halfedges(tris).withColumn("tri", F.floor(F.col("he") / 3)).hint("merge").join(faces, ["mesh_id", "tri"])
     return named.groupBy("mesh_id", F.least("start_v", "end_v").alias("lo"), F.greatest("start_v", "end_v").alias("hi")).agg(F.count("*").alias("n"), F.min("face").alias("one"), F.max("face").alias("other"))
 
 
@@ -150,12 +150,12 @@ def face_sides(tris: DataFrame, faces: DataFrame) -> DataFrame:
     rim = _faced_sides(tris, faces).where("one <> other")
     sides = rim.select("mesh_id", F.explode(F.array("one", "other")).alias("face")).groupBy("mesh_id", "face").agg(F.count("*").alias("n_side"))
     n = faces.groupBy("mesh_id", "face").agg(F.count("*").alias("n_tri"))
-    return n.join(sides, ["mesh_id", "face"], "left").select("mesh_id", "face", "n_tri", F.coalesce("n_side", F.lit(0)).cast("long").alias("n_side"), (F.col("n_tri") >= 3).alias("is_flat_group"))
+    return n.hint("merge").join(sides, ["mesh_id", "face"], "left").select("mesh_id", "face", "n_tri", F.coalesce("n_side", F.lit(0)).cast("long").alias("n_side"), (F.col("n_tri") >= 3).alias("is_flat_group"))
 
 
 def collapsible_starts(tris: DataFrame, faces: DataFrame) -> DataFrame:
     """mesh_id, vert, n_face of vertices that at most two faces surround, so that an edge may be drawn out of them."""
-    corners = tris.select("mesh_id", "tri", F.explode(F.array("v0", "v1", "v2")).alias("vert")).join(faces, ["mesh_id", "tri"])
+    corners = tris.select("mesh_id", "tri", F.explode(F.array("v0", "v1", "v2")).alias("vert")).hint("merge").join(faces, ["mesh_id", "tri"])
     return corners.groupBy("mesh_id", "vert").agg(F.count_distinct("face").alias("n_face")).where("n_face <= 2")
 
 
@@ -163,9 +163,9 @@ def unbroken_pieces(tris: DataFrame, crossed: DataFrame) -> DataFrame:
     """mesh_id, vert, piece: parts of a solid whose vertices edges hold together that are not ``crossed`` (mesh_id, he, of
     forward half-edges); the piece is named by a number of one of its vertices."""
     forward = halfedges(tris).where("start_v < end_v")
-    whole = forward.join(crossed.select("mesh_id", "he").distinct(), ["mesh_id", "he"], "left_anti")
+    whole = forward.hint("merge").join(crossed.select("mesh_id", "he").distinct(), ["mesh_id", "he"], "left_anti")
     key = lambda c: F.shiftleft(F.col("mesh_id").cast("long"), 31) + F.col(c)
     every = tris.select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("vert")).distinct().withColumn("node", key("vert"))
     links = whole.select(key("start_v").alias("a"), key("end_v").alias("b"))
-    named = every.join(connected_components(links), "node", "left")
+    named = every.hint("merge").join(connected_components(links), "node", "left")
     return named.select("mesh_id", "vert", F.coalesce("component", "node").bitwiseAND(F.lit((1 << 31) - 1)).alias("piece"))

@@ -378,7 +378,7 @@ def gather_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = columns.gather(values, index).withColumnRenamed("value", "gathered")
     sent = columns.scatter(values, values.select("i", F.floor(F.col("i") / 2).cast("long").alias("at"))).withColumnRenamed("value", "scattered")
     turned = columns.permute(values, values.select("i", (F.lit(-1) - F.col("i")).alias("at")).withColumn("at", F.col("at") * -1 - 1)).withColumnRenamed("value", "permuted")
-    return back.join(sent, "i", "left").join(turned, "i")
+    return back.hint("merge").join(sent, "i", "left").hint("merge").join(turned, "i")
 
 
 GATHER_SQL = """WITH v AS (SELECT o_orderkey AS i, o_custkey AS value FROM orders), s AS (SELECT i // 2 AS at, max_by(value, i) AS value FROM v GROUP BY ALL)

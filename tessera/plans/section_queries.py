@@ -38,7 +38,7 @@ _PARTS = "s AS (SELECT p_partkey AS cs_id, (4 + p_size % 7)::DOUBLE AS s FROM pa
 def section_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles, moved, turned, mirrored; areas, counts, bounds, convexity."""
     df = sections.mirror(sections.rotate(sections.translate(_ringed(spark, sf_dir), 1.0, 2.0), 90.0), 0.0, 1.0)
-    out = sections.measures(df).join(sections.is_convex(_squares(spark, sf_dir)), "cs_id").join(sections.is_convex(df).withColumnRenamed("is_convex", "ring_convex"), "cs_id")
+    out = sections.measures(df).hint("merge").join(sections.is_convex(_squares(spark, sf_dir)), "cs_id").hint("merge").join(sections.is_convex(df).withColumnRenamed("is_convex", "ring_convex"), "cs_id")
     return _rounded(out, "area", "min_x", "max_x", "min_y", "max_y")
 
 
@@ -65,7 +65,7 @@ round(CASE op WHEN 'add' THEN 2*s*s - c WHEN 'subtract' THEN s*s - c ELSE c END,
 def section_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bars of a plus sign as one, the first less the other, or what they share, one after another along the parts."""
     flat = sections.squares(_table(spark, sf_dir, "part").select(_key().alias("cs_id"), (3 * _side()).alias("width"), _side().alias("height")))
-    tall = sections.translate(sections.rotate(flat, 90.0), 0.0, 0.0).join(_table(spark, sf_dir, "part").select(_key().alias("cs_id"), _side().alias("s")), "cs_id")
+    tall = sections.translate(sections.rotate(flat, 90.0), 0.0, 0.0).hint("merge").join(_table(spark, sf_dir, "part").select(_key().alias("cs_id"), _side().alias("s")), "cs_id")
     tall = tall.select("cs_id", "contour", "pos", (F.col("x") + 2 * F.col("s")).alias("x"), (F.col("y") - F.col("s")).alias("y"))
     parts = flat.withColumn("part", F.lit(0)).unionByName(tall.withColumn("part", F.lit(1))).unionByName(flat.withColumn("part", F.lit(2)))
     out = _facts(sections.compose(parts.where("cs_id % 3 = 0"))).withColumn("op", F.lit("add"))
@@ -144,7 +144,7 @@ def triangulations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = _ringed(spark, sf_dir)
     tris = sections.triangulate(ring)
     check = sections.check_triangulation(ring, tris)
-    return check.join(tris.groupBy("cs_id").agg(F.count("*").alias("n_tri")), "cs_id")
+    return check.hint("merge").join(tris.groupBy("cs_id").agg(F.count("*").alias("n_tri")), "cs_id")
 
 
 TRIANGULATE_SQL = "SELECT p_partkey AS cs_id, true AS edges_match, true AS all_left, CAST(8 AS BIGINT) AS n_tri FROM part"
@@ -153,7 +153,7 @@ TRIANGULATE_SQL = "SELECT p_partkey AS cs_id, true AS edges_match, true AS all_l
 def contour_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sides of contours, and how many contours a region's nested form has."""
     ring = _ringed(spark, sf_dir)
-    return sections.edges(ring).join(sections.polygons(ring).select("cs_id", F.size("polygons").alias("n_polygons")), "cs_id")
+    return sections.edges(ring).hint("merge").join(sections.polygons(ring).select("cs_id", F.size("polygons").alias("n_polygons")), "cs_id")
 
 
 EDGES_SQL = """SELECT p_partkey AS cs_id, CAST(c AS INTEGER) AS contour, CAST(k AS INTEGER) AS pos, CAST(4*c + CASE WHEN c = 0 THEN k ELSE k END AS BIGINT) AS start_v, CAST(4*c + (k + 1) % 4 AS BIGINT) AS end_v, CAST(2 AS INTEGER) AS n_polygons
@@ -182,7 +182,7 @@ round(s*s*15/16*h / CASE WHEN prism THEN 1 ELSE 3 END, 4) + 0.0 AS volume FROM d
 def axis_revolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squares of which half lies left of the axis, turned fully or in part: cylinders and wedges of them."""
     key = F.col("cs_id")
-    df = _squares(spark, sf_dir).join(_table(spark, sf_dir, "part").select(_key().alias("cs_id"), _side().alias("s")), "cs_id")
+    df = _squares(spark, sf_dir).hint("merge").join(_table(spark, sf_dir, "part").select(_key().alias("cs_id"), _side().alias("s")), "cs_id")
     df = df.select("cs_id", "contour", "pos", (F.col("x") - F.col("s") / 2).alias("x"), "y", (4 + key % 5).cast("int").alias("segments"), F.when(key % 2 == 0, 360.0).otherwise(90.0).alias("degrees"))
     return _solid_facts(construct.revolve(df))
 
@@ -199,7 +199,7 @@ def cylinders(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = part.select(_key().alias("mesh_id"), (1.0 + _key() % 4).alias("height"), r.alias("radius_low"), F.when(_key() % 3 == 0, -1.0).when(_key() % 3 == 1, 0.0).otherwise(r / 2).alias("radius_high"), F.when(_key() % 2 == 0, 5).otherwise(0).alias("segments"))
     out = construct.cylinders(df, center=True)
     low = out.groupBy("mesh_id").agg(F.round(F.min("az"), 4).alias("low"))
-    return _solid_facts(out).drop("area").join(low, "mesh_id")
+    return _solid_facts(out).drop("area").hint("merge").join(low, "mesh_id")
 
 
 CYLINDER_SQL = """WITH p AS (SELECT p_partkey AS mesh_id, p_partkey AS k, p_size / 3.0::DOUBLE AS r, 1 + p_partkey % 4 AS h FROM part), q AS (SELECT *, CAST(least(36, floor(2 * pi() * r)) AS INTEGER) + 3 AS m, CASE k % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0 ELSE 0.5 END AS t FROM p),
@@ -242,7 +242,7 @@ def length_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = {"x": F.lit(1.0), "y": 1.0 + F.col("mesh_id") % 2, "z": F.lit(0.5)}
     outer = sum((((F.abs(F.col(c)) < 1e-9) | (F.abs(F.col(c) - s) < 1e-9)).cast("int") for c, s in side.items()), F.lit(0))
     on_edges = fields.vertices(tris).groupBy("mesh_id").agg(F.count_if(outer >= 2).alias("n_on_edges"))
-    return _solid_facts(tris).drop("n_tri", "n_vert").join(on_edges, "mesh_id")
+    return _solid_facts(tris).drop("n_tri", "n_vert").hint("merge").join(on_edges, "mesh_id")
 
 
 LENGTH_SQL = "SELECT p_partkey AS mesh_id, CAST(0 AS BIGINT) AS genus, (1 + p_partkey % 2) * 0.5::DOUBLE AS volume, round(2.0::DOUBLE * ((1 + p_partkey % 2) * 1.5 + 0.5), 4) AS area, CAST(20 + CASE WHEN p_partkey % 2 = 0 THEN 8 ELSE 20 END AS BIGINT) AS n_on_edges FROM part"

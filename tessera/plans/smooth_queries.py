@@ -18,7 +18,7 @@ def face_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         sides = topology.face_sides(tris, faces)
         few = topology.collapsible_starts(tris, faces).groupBy("mesh_id").agg(F.count("*").alias("n_few"))
         part = sides.groupBy("mesh_id").agg(F.count("*").alias("n_face"), F.sum("n_tri").alias("n_tri"), F.sum("n_side").alias("n_side"), F.count_if("is_flat_group").alias("n_flat"))
-        part = part.join(few, "mesh_id", "left").withColumns({"n_few": F.coalesce("n_few", F.lit(0)).cast("long"), "kind": F.lit(kind)})
+        part = part.hint("merge").join(few, "mesh_id", "left").withColumns({"n_few": F.coalesce("n_few", F.lit(0)).cast("long"), "kind": F.lit(kind)})
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -48,7 +48,7 @@ def normal_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = moved.groupBy("mesh_id").agg(F.sum(F.abs("nx")).alias("sx"), F.sum(F.abs("ny")).alias("sy"), F.sum(F.abs("nz")).alias("sz"))
     flat = _cubes(spark, sf_dir).withColumns({f"{p}z": F.lit(0.0) for p in "abc"})
     long = measure.longest_of_degenerate(flat, 1e-9).groupBy("mesh_id").agg(F.count("*").alias("n_long"))
-    out = _rounded(sums, "sx", "sy", "sz").join(measure.matches_normals(wrong, 1e-9), "mesh_id").join(long, "mesh_id")
+    out = _rounded(sums, "sx", "sy", "sz").hint("merge").join(measure.matches_normals(wrong, 1e-9), "mesh_id").hint("merge").join(long, "mesh_id")
     return out
 
 
@@ -59,7 +59,7 @@ def corner_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normals of cubes' corners, split at their edges, and how many edges are sharp."""
     a = _cubes(spark, sf_dir)
     sharp = smooth.sharp_edges(a, 60.0).groupBy("mesh_id").agg(F.count("*").alias("n_sharp"))
-    return _rounded(smooth.corner_normals(a, 60.0), "nx", "ny", "nz").join(sharp, "mesh_id")
+    return _rounded(smooth.corner_normals(a, 60.0), "nx", "ny", "nz").hint("merge").join(sharp, "mesh_id")
 
 
 CORNER_SQL = f"""WITH {_CUBES_SQL}, f AS (SELECT *, {", ".join(f"round(({_N[k]}) / {_SQRT}, 4) + 0.0 AS n{c}" for k, c in enumerate("xyz"))} FROM t)

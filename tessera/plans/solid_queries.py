@@ -39,7 +39,7 @@ CAST(0 AS BIGINT) AS genus, round({_AREA}*r*r*h*(1+s+s*s)/3, 4) + 0.0 AS volume
 
 def revolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings: contours moved away from the axis."""
-    ring = _contours(spark, sf_dir).join(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mesh_id"), F.col("p_size").alias("r")), "mesh_id")
+    ring = _contours(spark, sf_dir).hint("merge").join(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mesh_id"), F.col("p_size").alias("r")), "mesh_id")
     return _facts(solids.revolve(ring.select("mesh_id", "pos", (F.col("x") + 3 * F.col("r")).alias("x"), "y", (4 + F.col("mesh_id") % 5).cast("int").alias("segments"))))
 
 
@@ -73,7 +73,7 @@ def refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cubes with every edge in three: the same solid, still closed."""
     tris = solids.refine(shapes.triangles(instances(spark, sf_dir)), 3)
     sums = _rounded(measure.measures(tris).select(*_FACTS, "area"), "volume", "area")
-    return sums.join(topology.manifold_check(tris).select("mesh_id", "is_2_manifold"), "mesh_id")
+    return sums.hint("merge").join(topology.manifold_check(tris).select("mesh_id", "is_2_manifold"), "mesh_id")
 
 
 REFINE_SQL = f"""WITH {INSTANCES} SELECT mesh_id, CAST(108 AS BIGINT) AS n_tri, CAST(56 AS BIGINT) AS n_vert, CAST(0 AS BIGINT) AS genus, round(abs(sx*sy*sz), 4) + 0.0 AS volume, round(2*(abs(sx*sy) + abs(sy*sz) + abs(sx*sz)), 4) + 0.0 AS area, true AS is_2_manifold FROM i"""

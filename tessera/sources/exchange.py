@@ -104,7 +104,7 @@ def load(meshes: DataFrame) -> tuple[DataFrame, DataFrame]:
     tris = _triangles(counted.where("error is null"))
     pairs = undirected(halfedges(tris)).groupBy("mesh_id").agg(F.max(F.abs(F.col("forward") - F.col("backward"))).alias("open"))
     open_ = pairs.where("open > 0").select(F.col("mesh_id").alias("bad"))
-    joined = counted.join(open_, F.col("mesh_id").eqNullSafe(F.col("bad")), "left")
+    joined = counted.hint("merge").join(open_, F.col("mesh_id").eqNullSafe(F.col("bad")), "left")
     status = F.coalesce("error", F.when(F.col("bad").isNotNull(), "NotManifold"), F.lit("NoError"))
     places = F.filter("vert_properties", lambda x, i: i % F.col("num_prop") < 3)
     scale = F.coalesce(F.array_max(F.transform(places, F.abs)), F.lit(0.0))
@@ -113,7 +113,7 @@ def load(meshes: DataFrame) -> tuple[DataFrame, DataFrame]:
         "mesh_id", status.alias("status"), *(F.when(empty, F.lit(0)).otherwise(F.col(c)).cast("long").alias(c) for c in ("n_vert", "n_tri")), "num_prop",
         F.when(empty, F.lit(0.0)).otherwise(PRECISION * scale).alias("epsilon"), F.when(empty, F.lit(0.0)).otherwise(F.greatest("tolerance", PRECISION * scale)).alias("tolerance"),
     )
-    return out, tris.join(open_, F.col("mesh_id").eqNullSafe(F.col("bad")), "left_anti")
+    return out, tris.hint("merge").join(open_, F.col("mesh_id").eqNullSafe(F.col("bad")), "left_anti")
 
 
 def load_single(meshes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,7 +132,7 @@ def set_tolerance(status: DataFrame, tolerance: Column | float) -> DataFrame:
 def set_epsilon(status: DataFrame, bounds: DataFrame, least: float = 0.0) -> DataFrame:
     """epsilon: ``least``, but not below what the bounds (mesh_id, min_x..max_z) ask for; tolerance not below epsilon."""
     scale = F.greatest(*(F.abs(F.col(f"{e}_{c}")) for e in ("min", "max") for c in "xyz"))
-    df = status.drop("epsilon").join(bounds.select("mesh_id", F.greatest(F.lit(float(least)), PRECISION * scale).alias("epsilon")), "mesh_id", "left")
+    df = status.drop("epsilon").hint("merge").join(bounds.select("mesh_id", F.greatest(F.lit(float(least)), PRECISION * scale).alias("epsilon")), "mesh_id", "left")
     return df.withColumn("tolerance", F.greatest("tolerance", "epsilon"))
 
 
@@ -145,16 +145,16 @@ def merge(meshes: DataFrame) -> DataFrame:
     tris = _triangles(good)
     ends = open_edges(tris).select("mesh_id", F.explode(F.array("start_v", "end_v")).alias("vert")).distinct()
     scale = F.array_max(F.transform(F.filter("vert_properties", lambda x, i: i % F.col("num_prop") < 3), F.abs))
-    places = ends.join(good.select("mesh_id", "vert_properties", "num_prop", F.greatest("tolerance", PRECISION * scale).alias("reach")), "mesh_id")
+    places = ends.hint("merge").join(good.select("mesh_id", "vert_properties", "num_prop", F.greatest("tolerance", PRECISION * scale).alias("reach")), "mesh_id")
     at = {c: F.get("vert_properties", (F.col("vert") * F.col("num_prop") + k).cast("int")) for k, c in enumerate("xyz")}
     boxes = places.select("mesh_id", F.col("vert").alias("id"), *((at[c] + (F.col("reach") / 2 if e == "hi" else -F.col("reach") / 2)).alias(f"{e}_{c}") for e in ("lo", "hi") for c in "xyz"))
     pairs = overlap_join(boxes, boxes, self_join=True, keys=("mesh_id",))
     # one number for mesh and vertex, by rank, so that solids' vertices are nodes of one graph
     nodes = boxes.select("mesh_id", "id").withColumn("node", F.xxhash64("mesh_id", "id"))
     links = pairs.select(F.xxhash64("mesh_id", "a_id").alias("a"), F.xxhash64("mesh_id", "b_id").alias("b"))
-    groups = nodes.join(connected_components(links), "node").withColumn("to", F.min("id").over(Window.partitionBy("mesh_id", "component")))
+    groups = nodes.hint("merge").join(connected_components(links), "node").withColumn("to", F.min("id").over(Window.partitionBy("mesh_id", "component")))
     lists = groups.where("id <> to").groupBy("mesh_id").agg(F.array_sort(F.collect_list(F.struct("id", "to"))).alias("m"))
-    out = counted.join(lists, "mesh_id", "left")
+    out = counted.hint("merge").join(lists, "mesh_id", "left")
     both = {c: F.concat(F.col(c), F.coalesce(F.col("m")[f], F.array().cast("array<bigint>"))) for c, f in (("merge_from", "id"), ("merge_to", "to"))}
     return out.withColumns(both).drop("m", "n_vert", "n_tri", "error")
 
@@ -167,7 +167,7 @@ def export(tris: DataFrame, props: DataFrame | None = None, single: bool = False
     corners = F.explode(F.array(*(F.struct(F.col(f"v{k}").cast("long").alias("vert"), *(F.col(p + c).alias(c) for c in "xyz")) for k, p in enumerate("abc")))).alias("p")
     verts = tris.select("mesh_id", corners).select("mesh_id", "p.*").groupBy("mesh_id", "vert").agg(*(F.min(c).alias(c) for c in "xyz"))
     if props is not None:
-        verts = verts.join(props.select("mesh_id", F.col("vert").cast("long"), "props"), ["mesh_id", "vert"], "left")
+        verts = verts.hint("merge").join(props.select("mesh_id", F.col("vert").cast("long"), "props"), ["mesh_id", "vert"], "left")
     else:
         verts = verts.withColumn("props", F.array().cast("array<double>"))
     one = F.struct("vert", F.concat(F.array("x", "y", "z"), F.coalesce("props", F.array().cast("array<double>"))).alias("p"))
@@ -179,7 +179,7 @@ def export(tris: DataFrame, props: DataFrame | None = None, single: bool = False
     number = lambda v: F.array_position("old", v).cast("long") - 1
     dense = F.col("old")[F.size("old") - 1] == F.size("old") - 1
     index = F.flatten(F.transform("rows", lambda t: F.array(*(F.when(dense, t[f"v{k}"]).otherwise(number(t[f"v{k}"])) for k in range(3)))))
-    out = packed.join(faces, "mesh_id")
+    out = packed.hint("merge").join(faces, "mesh_id")
     cols = ["mesh_id", "num_prop", "vert_properties", index.alias("tri_verts")]
     if runs:
         ids = F.array_distinct(F.col("rows.original_id"))
