@@ -448,14 +448,14 @@ def next_halfedge(he: Column) -> Column:
 
 
 def encode_place(x: Column, y: Column, z: Column, bits: int = 20) -> Column:
-    """A place of a grid as one long; coordinates from -1 up to 2^bits - 2."""
+    """A place of a grid as one long; coordinates from -1 up to 2^bits - 2, the first one up to 2^(63 - 2 bits) - 2."""
     up = [(c + 1).cast("long") for c in (x, y, z)]
     return F.shiftleft(up[0], 2 * bits).bitwiseOR(F.shiftleft(up[1], bits)).bitwiseOR(up[2])
 
 
 def decode_place(key: Column, bits: int = 20) -> tuple[Column, Column, Column]:
     mask = F.lit((1 << bits) - 1)
-    return tuple(F.shiftright(key, s * bits).bitwiseAND(mask) - 1 for s in (2, 1, 0))
+    return F.shiftright(key, 2 * bits) - 1, F.shiftright(key, bits).bitwiseAND(mask) - 1, key.bitwiseAND(mask) - 1
 
 
 def wrap(x: Column) -> Column:

@@ -3,12 +3,14 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tessera.functions import linalg
 
 SF = "/root/testdata/sf0.001"
 PLAIN = [
-    "projections",
+    "projections", "trims", "face_orders", "vertex_orbits", "edge_crossings", "self_intersections", "solid_gaps", "dense_numbers", "cylinders",
 ]
 
 
@@ -17,3 +19,10 @@ PLAIN = [
 def test_nothing_is_broadcast(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_first_coordinate_takes_the_bits_left(spark):
+    places = [(-1, -1, -1), (0, 2**20 - 2, 7), (2**20 - 1, 3, -1), (1_200_000, 60_000, 7), (2**23 - 2, 2**20 - 2, 2**20 - 2)]
+    df = spark.createDataFrame(places, "x long, y long, z long")
+    back = linalg.decode_place(linalg.encode_place(F.col("x"), F.col("y"), F.col("z")))
+    assert sorted(tuple(r) for r in df.select(*back).collect()) == sorted(places)
