@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cross, dot, overlap, sub, vec
@@ -27,11 +27,11 @@ def _cell(x, level):
     return F.when(level == ENDLESS, 0).otherwise(F.floor(x / F.pow(F.lit(2.0), level))).cast("long")
 
 
-def _cells(boxes: DataFrame, levels: list[int], keys: list[str], name: str) -> DataFrame:
+def _cells(boxes: DataFrame, levels: Column, keys: list[str], name: str) -> DataFrame:
     """One row a grid cell that a box touches on its own level and each coarser one of ``levels``: at most eight a
     level, however large the box is. Columns but ``keys`` get the prefix ``name``."""
-    at = F.explode(F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col("level"))).alias("on")
-    df = boxes.select(*keys, *(F.col(c).alias(name + c) for c in boxes.columns if c not in keys), at)
+    at = F.explode(F.filter(levels, lambda x: x >= F.col("level"))).alias("on")
+    df = boxes.select(*keys, *(F.col(c).alias(name + c) for c in boxes.columns if c not in keys and c != "_levels"), at)
     for k in "xyz":
         df = df.withColumn(f"c{k}", F.explode(F.sequence(_cell(F.col(f"{name}lo_{k}"), F.col("on")), _cell(F.col(f"{name}hi_{k}"), F.col("on")))))
     return df
@@ -43,13 +43,19 @@ def overlap_join(left: DataFrame, right: DataFrame, self_join: bool = False, key
 
     A box belongs to the level of its width, in powers of two; two boxes meet on the coarser level of both, in the cell
     that holds the lower corner of their common part, so no pair comes twice and nothing is made distinct. The levels
-    that occur are listed first: a few dozen numbers.
+    that occur are listed first: a few dozen numbers, with ``keys`` those of each key alone.
 
     Boxes with a null bound or a null key meet none; a box whose bounds cross (an empty one) meets none; infinite ones
     meet all they overlap; repeated ids are boxes of their own.
     """
     left, right = _level(left), _level(right)
-    levels = sorted({r[0] for r in left.select("level").union(right.select("level")).distinct().collect()} - {None}) or [0]
+    every = left.select(*keys, "level").union(right.select(*keys, "level"))
+    if keys:
+        held = every.groupBy(*keys).agg(F.collect_set("level").alias("_levels"))
+        left, right = (df.hint("merge").join(held, list(keys)) for df in (left, right))
+        levels = F.col("_levels")
+    else:
+        levels = F.array(*map(F.lit, sorted({r[0] for r in every.distinct().collect()} - {None}) or [0]))
     a, b = _cells(left, levels, list(keys), "a_"), _cells(right, levels, list(keys), "b_")
     side = lambda n, e: tuple(F.col(f"{n}{e}_{k}") for k in "xyz")
     pairs = a.hint("merge").join(b, [*keys, "on", "cx", "cy", "cz"]).where(F.col("on") == F.greatest("a_level", "b_level"))

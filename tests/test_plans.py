@@ -10,7 +10,7 @@ from tessera.functions import linalg
 
 SF = "/root/testdata/sf0.001"
 PLAIN = [
-    "projections", "trims", "face_orders", "vertex_orbits", "self_intersections", "solid_gaps", "exported_records",
+    "projections", "trims", "face_orders", "vertex_orbits", "self_intersections", "solid_gaps", "exported_records", "edge_crossings",
 ]
 
 
