@@ -19,8 +19,9 @@ from tessera.functions import quality
 from tessera.functions.vectors import Vec, circular_segments, length, sub
 from tessera.kernels import plane
 from tessera.operators import shapes, solids
-from tessera.operators.booleans import CORNERS, TRIANGLES, _frame
-from tessera.operators.sections import POINTS, _contours, _plain, _rows
+from tessera.operators.booleans import CORNERS, TRIANGLES, _solid
+from tessera.operators.groups import NULL, each_group
+from tessera.operators.sections import POINTS, _plain, _rings, _rows
 from tessera.operators.spatial import slice_segments
 
 
@@ -97,15 +98,16 @@ def extrude(points: DataFrame) -> DataFrame:
     """Solids of contours of any kind (contour points with, per cs_id, height, divisions, twist in degrees, scale_x,
     scale_y): mesh_id is the cs_id."""
 
-    def run(key, frame):
-        k = frame.iloc[0]
-        knobs = [float(k[c]) for c in ("height", "twist", "scale_x", "scale_y")]
-        good = np.isfinite(knobs).all()
-        found = _extruded(plane.filled(_contours(frame)), knobs[0], int(k["divisions"]), knobs[1], (knobs[2], knobs[3])) if good else (np.empty((0, 3)), np.empty((0, 3), int))
-        return _frame(key[0], *found)
+    knobs = ["height", "twist", "scale_x", "scale_y"]
+
+    def run(whole, real):
+        height, twist, *scale = real[0, 2:].tolist()
+        good = np.isfinite(real[0, 2:]).all() and whole[0, 1] != NULL
+        found = _extruded(plane.filled(_rings(whole[:, 0], real[:, :2])), height, int(whole[0, 1]), twist, tuple(scale)) if good else (np.empty((0, 3)), np.empty((0, 3), int))
+        return _solid(*found)
 
-    rows = _plain(points, *(F.col(c).cast("double") for c in ("height", "twist", "scale_x", "scale_y")), F.col("divisions").cast("int"))
-    return rows.groupBy("cs_id").applyInPandas(run, TRIANGLES)
+    rows = _plain(points, *(F.col(c).cast("double") for c in knobs), F.col("divisions").cast("int"))
+    return each_group(rows, "cs_id", ["contour", "pos"], ["contour", "divisions"], ["x", "y", *knobs], run, TRIANGLES, ("extrude",))
 
 
 def _revolved(contours, n: int, degrees: float) -> tuple[np.ndarray, np.ndarray]:
@@ -151,15 +153,14 @@ def revolve(points: DataFrame) -> DataFrame:
     """Solids of contours (contour points with, per cs_id, segments and degrees) turned about the y axis, which becomes
     z: what lies left of the axis is cut off, points on it are used once, a part of a turn gets two caps."""
 
-    def run(key, frame):
-        k = frame.iloc[0]
-        contours, degrees = plane.filled(_contours(frame)), float(k["degrees"])
+    def run(whole, real):
+        contours, degrees, n = plane.filled(_rings(whole[:, 0], real[:, :2])), float(real[0, 2]), int(whole[0, 1])
         reach = max((x for c in contours for x, _ in c), default=0.0)
-        n = int(k["segments"]) if k["segments"] > 2 else max(int(quality.circular_segments(reach) * min(degrees, 360.0) / 360), 1)
-        return _frame(key[0], *_revolved(contours, n, degrees))
+        n = n if n > 2 else max(int(quality.circular_segments(reach) * min(degrees, 360.0) / 360), 1)
+        return _solid(*_revolved(contours, n, degrees))
 
     rows = _plain(points, F.col("degrees").cast("double"), F.col("segments").cast("int"))
-    return rows.groupBy("cs_id").applyInPandas(run, TRIANGLES)
+    return each_group(rows, "cs_id", ["contour", "pos"], ["contour", "segments"], ["x", "y", "degrees"], run, TRIANGLES, ("revolve",))
 
 
 def project(tris: DataFrame) -> DataFrame:

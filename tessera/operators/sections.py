@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosd, sind
 from tessera.kernels import plane
+from tessera.operators.groups import NULL, each_group
 
 POINTS = "cs_id long, contour int, pos int, x double, y double"
 
@@ -32,6 +33,14 @@ def _contours(frame: pd.DataFrame) -> list[list[tuple[float, float]]]:
     return [list(zip(g["x"].tolist(), g["y"].tolist(), strict=True)) for _, g in frame.groupby("contour", sort=True)]
 
 
+def _rings(contour: np.ndarray, at: np.ndarray) -> list[list[tuple[float, float]]]:
+    """The same of sorted rows, given as arrays."""
+    good = np.isfinite(at).all(axis=1) & (contour != NULL)
+    contour, at = contour[good], at[good]
+    parts = np.split(at, np.flatnonzero(contour[1:] != contour[:-1]) + 1) if len(at) else []
+    return [list(map(tuple, p.tolist())) for p in parts]
+
+
 def _plain(points: DataFrame, *more: str) -> DataFrame:
     return points.select(F.col("cs_id").cast("long"), F.col("contour").cast("int"), F.col("pos").cast("int"), F.col("x").cast("double"), F.col("y").cast("double"), *more)
 
@@ -143,11 +152,11 @@ def compose(parts: DataFrame) -> DataFrame:
 def decompose(points: DataFrame) -> DataFrame:
     """``points`` by outer contour: ``piece`` numbers each with its holes; islands in holes are pieces of their own."""
 
-    def run(key, frame):
-        out = [_rows(key[0], group).assign(piece=np.int32(k)) for k, group in enumerate(plane.pieces(_contours(frame)))]
-        return pd.concat(out) if out else _rows(key[0], []).assign(piece=pd.Series([], dtype="int32"))
+    def run(whole, real):
+        rows = [(c, k, *p, piece) for piece, group in enumerate(plane.pieces(_rings(whole[:, 0], real))) for c, ring in enumerate(group) for k, p in enumerate(ring)]
+        return tuple(zip(*rows, strict=True)) if rows else ((),) * 5
 
-    return _plain(points).groupBy("cs_id").applyInPandas(run, POINTS + ", piece int")
+    return each_group(_plain(points), "cs_id", ["contour", "pos"], ["contour"], ["x", "y"], run, POINTS + ", piece int", ("pieces",))
 
 
 def hull(points: DataFrame) -> DataFrame:
@@ -208,11 +217,11 @@ def triangulate(points: DataFrame, allow_convex: bool = True) -> DataFrame:
     """cs_id, tri, v0, v1, v2: triangles that cover each region, holes left out; corners are numbered contour after
     contour. Every contour edge is a side of one triangle and every other side of two, whatever the input."""
 
-    def run(key, frame):
-        found = np.array(plane.triangulate(_contours(frame), allow_convex)).reshape(-1, 3)
-        return pd.DataFrame({"cs_id": pd.array([key[0]] * len(found), "Int64"), "tri": np.arange(len(found)), **{f"v{k}": found[:, k] for k in range(3)}})
+    def run(whole, real):
+        found = np.array(plane.triangulate(_rings(whole[:, 0], real), allow_convex), int).reshape(-1, 3)
+        return np.arange(len(found)), *found.T
 
-    return _plain(points).groupBy("cs_id").applyInPandas(run, "cs_id long, tri long, v0 long, v1 long, v2 long")
+    return each_group(_plain(points), "cs_id", ["contour", "pos"], ["contour"], ["x", "y"], run, "cs_id long, tri long, v0 long, v1 long, v2 long", ("triangulate", allow_convex))
 
 
 def edges(points: DataFrame) -> DataFrame:
