@@ -139,10 +139,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 # ---- faces: flat regions, given as (mesh_id, tri, face)
 
 
+def _faced(tris: DataFrame, faces: DataFrame) -> DataFrame:
+    """Numbers of triangles with their face: joined before triangles are exploded, so a third of the rows meet."""
+    return tris.select("mesh_id", "tri", "v0", "v1", "v2").hint("merge").join(faces, ["mesh_id", "tri"])
+
+
 def _faced_sides(tris: DataFrame, faces: DataFrame) -> DataFrame:
     """mesh_id, lo, hi, how many half-edges and how many faces meet there, least and greatest face of every edge."""
-    named = halfedges(tris).withColumn("tri", F.floor(F.col("he") / 3)).hint("merge").join(faces, ["mesh_id", "tri"])
-    return named.groupBy("mesh_id", F.least("start_v", "end_v").alias("lo"), F.greatest("start_v", "end_v").alias("hi")).agg(F.count("*").alias("n"), F.min("face").alias("one"), F.max("face").alias("other"))
+    sides = F.array(*(F.struct(F.least(f"v{k}", f"v{(k + 1) % 3}").alias("lo"), F.greatest(f"v{k}", f"v{(k + 1) % 3}").alias("hi")) for k in range(3)))
+    named = _faced(tris, faces).select("mesh_id", "face", F.explode(sides).alias("h")).select("mesh_id", "face", "h.lo", "h.hi")
+    return named.groupBy("mesh_id", "lo", "hi").agg(F.count("*").alias("n"), F.min("face").alias("one"), F.max("face").alias("other"))
 
 
 def face_sides(tris: DataFrame, faces: DataFrame) -> DataFrame:
@@ -155,7 +161,7 @@ def face_sides(tris: DataFrame, faces: DataFrame) -> DataFrame:
 
 def collapsible_starts(tris: DataFrame, faces: DataFrame) -> DataFrame:
     """mesh_id, vert, n_face of vertices that at most two faces surround, so that an edge may be drawn out of them."""
-    corners = tris.select("mesh_id", "tri", F.explode(F.array("v0", "v1", "v2")).alias("vert")).hint("merge").join(faces, ["mesh_id", "tri"])
+    corners = _faced(tris, faces).select("mesh_id", "face", F.explode(F.array("v0", "v1", "v2")).alias("vert"))
     return corners.groupBy("mesh_id", "vert").agg(F.count_distinct("face").alias("n_face")).where("n_face <= 2")
 
 

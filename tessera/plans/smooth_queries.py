@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from tessera.operators import booleans, measure, smooth, solids, spatial, topology
 from tessera.plans.boolean_queries import _CUBES_SQL, _cubes
 from tessera.plans.queries import _N, _SQRT, _rounded
+from tessera.storage import materialize
 
 
 def face_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat faces of cubes, whole and refined: triangles, sides, and vertices that few faces surround."""
     out = None
     for kind, tris in (("whole", _cubes(spark, sf_dir)), ("fine", topology.renumber(solids.refine(_cubes(spark, sf_dir), 2)))):
-        faces = booleans.coplanar_faces(tris)
+        # each is read by several steps, which would make it anew
+        tris = materialize(tris, "faced")
+        faces = materialize(booleans.coplanar_faces(tris), "faces")
         sides = topology.face_sides(tris, faces)
         few = topology.collapsible_starts(tris, faces).groupBy("mesh_id").agg(F.count("*").alias("n_few"))
         part = sides.groupBy("mesh_id").agg(F.count("*").alias("n_face"), F.sum("n_tri").alias("n_tri"), F.sum("n_side").alias("n_side"), F.count_if("is_flat_group").alias("n_flat"))

@@ -42,3 +42,9 @@ def test_settings_are_told_apart(spark):
     b = a.withColumns({f"{p}x": a[f"{p}x"] + 0.5 for p in "abc"})
     size = {op: {r[0]: r[1] for r in booleans.boolean(a, b, op).groupBy("mesh_id").agg({"bx": "max"}).collect()} for op in ("add", "subtract", "intersect")}
     assert size == {"add": dict.fromkeys((1, 2, None), 1.5), "subtract": dict.fromkeys((1, 2, None), 0.5), "intersect": dict.fromkeys((1, 2, None), 1.0)}
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
+def test_faces_are_made_once(spark):
+    plan = entry.queries()["face_facts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "tessera-faced" in plan and "tessera-faces" in plan and "Python" not in plan and "Broadcast" not in plan
