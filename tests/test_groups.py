@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from tessera.operators import booleans, groups, shapes
 
 SF = "/root/testdata/sf0.001"
-BATCHED = ["pinched_solids", "ring_extrusions", "hollow_cubes", "solid_booleans", "section_pieces", "hull_solids", "axis_revolutions", "batch_booleans"]
+BATCHED = ["pinched_solids", "ring_extrusions", "hollow_cubes", "solid_booleans", "section_pieces", "hull_solids", "axis_revolutions", "batch_booleans", "triangulations"]
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
