@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.storage import discard, materialize, spread_join
 
+#: Links that a worker contracts at a time, and about so many vertices of a solid go to one task for it.
+LINKS, VERTS = 1 << 18, 1 << 16
+
 
 def halfedges(tris: DataFrame) -> DataFrame:
     """mesh_id, he (3 tri + side), start_v, end_v."""
@@ -136,6 +141,56 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the links once, and the least node that they connect it with: greater roots hang themselves onto
+    lesser neighbours until none are left, which at least halves the roots that still have links each time."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        p, q = root[x], root[y]
+        live = p != q
+        if not live.any():
+            return nodes, nodes[root]
+        x, y, p, q = x[live], y[live], p[live], q[live]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def near_components(edges: DataFrame) -> DataFrame:
+    """``connected_components`` of links (a, b: long) of which most neighbours lie side by side, as those of a solid do.
+
+    Workers contract each run of links where it lies to one row a node, with the least node it is connected with; a node
+    that several runs hold links their least nodes. Only these links, none where no solid is cut, take rounds.
+    ``edges`` are read once.
+    """
+
+    def run(batches):
+        def rows():
+            a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in range(2))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in _stars(a, b)], names=["node", "root"])
+
+        held = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= LINKS:
+                yield rows()
+                held = []
+        if sum(x.num_rows for x in held):
+            yield rows()
+
+    links = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null")
+    ordered = Window.partitionBy("node").orderBy("root")
+    stars = links.mapInArrow(run, "node long, root long").select("node", "root", F.first("root").over(ordered).alias("least"), F.row_number().over(ordered).alias("place"))
+    stars = materialize(stars, "stars")
+    nodes, between = stars.where("place = 1"), stars.where("root <> least").select(F.col("root").alias("a"), F.col("least").alias("b"))
+    if between.isEmpty():
+        return nodes.select("node", F.col("least").alias("component"))
+    ends = connected_components(between).withColumnRenamed("node", "least")
+    return spread_join(nodes.select("node", "least"), ends, ["least"], ["node"], nodes.count(), "left").select("node", F.coalesce("component", "least").alias("component"))
+
+
 # ---- faces: flat regions, given as (mesh_id, tri, face)
 
 
@@ -172,6 +227,8 @@ def unbroken_pieces(tris: DataFrame, crossed: DataFrame) -> DataFrame:
     whole = forward.hint("merge").join(crossed.select("mesh_id", "he").distinct(), ["mesh_id", "he"], "left_anti")
     key = lambda c: F.shiftleft(F.col("mesh_id").cast("long"), 31) + F.col(c)
     every = tris.select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("vert")).distinct().withColumn("node", key("vert"))
-    links = whole.select(key("start_v").alias("a"), key("end_v").alias("b"))
-    named = every.hint("merge").join(connected_components(links), "node", "left")
+    # hashed by half-edge so far; the links of a solid are to lie side by side
+    near = whole.repartition("mesh_id", F.floor(F.col("start_v") / VERTS)).sortWithinPartitions("mesh_id", "start_v")
+    links = near.select(key("start_v").alias("a"), key("end_v").alias("b"))
+    named = every.hint("merge").join(near_components(links), "node", "left")
     return named.select("mesh_id", "vert", F.coalesce("component", "node").bitwiseAND(F.lit((1 << 31) - 1)).alias("piece"))
