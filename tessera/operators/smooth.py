@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,9 @@ from tessera.functions import linalg
 from tessera.functions.vectors import Vec, cross, dot, length, sub, vec
 from tessera.operators.booleans import CORNERS, TRIANGLES
 from tessera.operators.construct import _mixed, _partition
+from tessera.operators.groups import NULL, whole_groups
 from tessera.operators.measure import vertex_normals
-from tessera.operators.topology import connected_components
+from tessera.operators.topology import least_linked
 
 _ENDS = [(k, e) for k in range(3) for e in ("s", "e")]
 #: Tangents of a triangle's sides: of side k at its start (s) and its end (e).
@@ -59,27 +61,62 @@ def sharp_edges(tris: DataFrame, min_angle: float = 60.0) -> DataFrame:
 
 def corner_normals(tris: DataFrame, min_sharp_angle: float = 60.0) -> DataFrame:
     """mesh_id, tri, k, vert, nx, ny, nz of every corner: the mean of the normals of the faces that reach it without
-    crossing a sharp edge, each weighted by its angle there."""
-    soft = edge_bends(tris).where(F.col("angle") <= min_sharp_angle).select("mesh_id", "lo", "hi")
-    df = _with_normals(tris)
-    key = lambda tri, k: tri.cast("long") * 3 + k
-    sides = _sides(df).select("mesh_id", "s", "e", key(F.col("tri"), F.col("k")).alias("at_s"), key(F.col("tri"), F.when(F.col("k") == 2, 0).otherwise(F.col("k") + 1)).alias("at_e"))
-    sides = sides.hint("merge").join(soft, (sides["mesh_id"] == soft["mesh_id"]) & (F.least("s", "e") == soft["lo"]) & (F.greatest("s", "e") == soft["hi"]), "left_semi")
-    other = sides.select("mesh_id", F.col("s").alias("e"), F.col("e").alias("s"), F.col("at_s").alias("o_e"), F.col("at_e").alias("o_s"))
-    node = lambda c: F.xxhash64("mesh_id", c)
-    met = sides.hint("merge").join(other, ["mesh_id", "s", "e"])
-    links = met.select(node("at_s").alias("a"), node("o_s").alias("b")).union(met.select(node("at_e"), node("o_e")))
+    crossing a sharp edge, each weighted by its angle there.
+
+    Corners are dealt by their vertex: all that decides on its fans is known there, so nothing is joined. The faces round
+    one vertex must fit a task.
+    """
+    df = _with_normals(tris).where("mesh_id is not null")
 
     def angle(p: str, q: str, r: str) -> Column:
         x, y = sub(vec(q), vec(p)), sub(vec(r), vec(p))
         return linalg.acos(F.coalesce(F.try_divide(dot(x, y), length(x) * length(y)), F.lit(1.0)))
 
-    corners = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"v{k}").alias("vert"), angle(p, q, r).alias("w")) for k, (p, q, r) in enumerate(("abc", "bca", "cab"))))
-    rows = df.select("mesh_id", "tri", "ux", "uy", "uz", F.explode(corners).alias("p")).select("mesh_id", "tri", "ux", "uy", "uz", "p.*")
-    rows = rows.withColumn("node", node(key(F.col("tri"), F.col("k")))).hint("merge").join(connected_components(links), "node", "left").withColumn("fan", F.coalesce("component", "node"))
-    sums = rows.groupBy("mesh_id", "fan").agg(*(F.sum(F.col("w") * F.col(f"u{c}")).alias(f"s{c}") for c in "xyz"))
+    corners = F.array(*(F.struct(F.lit(k).alias("k"), *(F.col(f"v{(k + i) % 3}").cast("long").alias(n) for i, n in enumerate(("vert", "after", "before"))), angle(p, q, r).alias("w")) for k, (p, q, r) in enumerate(("abc", "bca", "cab"))))
+    whole = [F.col(c).cast("long").alias(c.removeprefix("p.")) for c in ("mesh_id", "p.vert", "p.after", "p.before", "tri", "p.k")]
+    rows = df.select("mesh_id", "tri", "ux", "uy", "uz", F.explode(corners).alias("p")).select(F.xxhash64("mesh_id", "p.vert").alias("at"), *whole, "ux", "uy", "uz", "p.w")
+
+    def run(batches):
+        for part in whole_groups(batches):
+            sums = _fan_sums(part[:, 1:5], np.ascontiguousarray(part[:, 7:]).view(float), min_sharp_angle)
+            vert = part[:, 2]
+            yield pa.RecordBatch.from_arrays([pa.array(part[:, 1]), pa.array(part[:, 5]), pa.array(part[:, 6]), pa.array(vert, mask=vert == NULL), *map(pa.array, sums.T)], names=["mesh_id", "tri", "k", "vert", "sx", "sy", "sz"])
+
+    sums = rows.repartition("at").sortWithinPartitions("at").mapInArrow(run, "mesh_id long, tri long, k long, vert long, sx double, sy double, sz double")
     unit = linalg.safe_normalize(vec("s"))
-    return rows.select("mesh_id", "tri", "k", "vert", "fan").hint("merge").join(sums, ["mesh_id", "fan"]).select("mesh_id", "tri", "k", "vert", *(u.alias(f"n{c}") for u, c in zip(unit, "xyz", strict=True)))
+    kinds = dict(tris.dtypes)
+    names = [F.col(c).cast(kind).alias(c) for c, kind in (("mesh_id", kinds["mesh_id"]), ("tri", kinds["tri"]), ("k", "int"), ("vert", kinds["v0"]))]
+    return sums.select(*names, *(u.alias(f"n{c}") for u, c in zip(unit, "xyz", strict=True)))
+
+
+def _fan_sums(whole: np.ndarray, real: np.ndarray, min_sharp_angle: float) -> np.ndarray:
+    """For each corner (mesh_id, vert, the vertices after and before it; its face's normal and its angle) the sum of the
+    weighted normals of its fan. All corners at a vertex are given together; those of many vertices may be."""
+    n, u = len(whole), real[:, :3]
+    # each corner has two edges at its vertex: one that its face runs along, one that it comes back by
+    corner, way = np.tile(np.arange(n), 2), np.repeat([0, 1], n)
+    far = np.concatenate([whole[:, 2], whole[:, 3]])
+    known = (far != NULL) & (whole[corner, 1] != NULL) & (far != whole[corner, 1])
+    corner, way, far = corner[known], way[known], far[known]
+    order = np.lexsort((way, far, whole[corner, 1], whole[corner, 0]))
+    corner, way, far = corner[order], way[order], far[order]
+    fresh = np.ones(len(corner), bool)
+    fresh[1:] = (whole[corner[1:], :2] != whole[corner[:-1], :2]).any(axis=1) | (far[1:] != far[:-1])
+    edge = np.cumsum(fresh) - 1
+    normal = np.full((int(fresh.sum()), 2, 3), -np.inf)
+    np.maximum.at(normal, (edge, way), u[corner])
+    met = np.zeros((len(normal), 2), bool)
+    met[edge, way] = True
+    soft = np.zeros(len(normal), bool)
+    both = met.all(axis=1)
+    cosine = (normal[both, 0] * normal[both, 1]).sum(axis=1)
+    # as edge_bends has it: what is no number counts as flat
+    soft[both] = np.degrees(np.arccos(np.clip(np.where(np.isnan(cosine), 1.0, cosine), -1.0, 1.0))) <= min_sharp_angle
+    linked = ~fresh[1:] & soft[edge[1:]]
+    fan = np.arange(n)
+    nodes, root = least_linked(corner[1:][linked], corner[:-1][linked])
+    fan[nodes] = root
+    return np.column_stack([np.bincount(fan, real[:, 3] * u[:, k], n) for k in range(3)])[fan]
 
 
 def tangents(tris: DataFrame, min_sharp_angle: float = 180.0, smoothness: float = 0.0, normals: DataFrame | None = None) -> DataFrame:

@@ -141,7 +141,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def least_linked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every node of the links once, and the least node that they connect it with: greater roots hang themselves onto
     lesser neighbours until none are left, which at least halves the roots that still have links each time."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -169,7 +169,7 @@ def near_components(edges: DataFrame) -> DataFrame:
     def run(batches):
         def rows():
             a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in range(2))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in _stars(a, b)], names=["node", "root"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in least_linked(a, b)], names=["node", "root"])
 
         held = []
         for batch in batches:
