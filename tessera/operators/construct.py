@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import quality
-from tessera.functions.vectors import Vec, circular_segments, length, sub
+from tessera.functions.vectors import Vec, circular_segments, cosd, length, sind, sub
 from tessera.kernels import plane
 from tessera.operators import shapes, solids
 from tessera.operators.booleans import CORNERS, TRIANGLES, _solid
 from tessera.operators.groups import NULL, each_group
 from tessera.operators.sections import POINTS, _plain, _rings, _rows
 from tessera.operators.spatial import slice_segments
+from tessera.storage import shuffle_width
 
 
 def cubes(instances: DataFrame, center: bool = False) -> DataFrame:
@@ -50,13 +51,13 @@ def cylinders(instances: DataFrame, center: bool = False) -> DataFrame:
     df = instances.where("height > 0 and radius_low > 0")
     high = F.when(F.col("radius_high") < 0, F.col("radius_low")).otherwise(F.col("radius_high"))
     df = df.select("mesh_id", F.col("height").cast("double"), F.col("radius_low").cast("double").alias("radius"), high.cast("double").alias("high"), _segments(F.greatest("radius_low", high), None, instances.columns).cast("int").alias("n"))
-    df = df.withColumn("segments", F.col("n"))
-    ring = shapes.circle(df).hint("merge").join(df.select("mesh_id", "height", "radius", "high"), "mesh_id")
-    out = solids.extrude(ring.select("mesh_id", "pos", "x", "y", "height", F.lit(0).alias("divisions"), F.lit(0.0).alias("twist"), (F.col("high") / F.col("radius")).alias("scale_top")))
-    if center:
-        half = df.select("mesh_id", (F.col("height") / 2).alias("_half"))
-        out = out.hint("merge").join(half, "mesh_id").withColumns({f"{p}z": F.col(f"{p}z") - F.col("_half") for p in "abc"}).drop("_half")
-    return out
+    # each row makes up to hundreds of triangles, so rows are dealt evenly before; a regular contour knows its neighbours
+    df = df.where("n >= 3").repartition(shuffle_width(df.sparkSession)).withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    df = df.withColumn("q", (F.col("pos") + 1) % F.col("n"))
+    ends = {"x": F.col("pos"), "qx": F.col("q"), "ox": F.lit(0)}
+    at = [v.alias(p[:-1] + c) for p, pos in ends.items() for c, v in zip("xy", (F.col("radius") * cosd(360.0 * pos / F.col("n")), F.col("radius") * sind(360.0 * pos / F.col("n"))), strict=True)]
+    ring = solids.once(df.select("mesh_id", "pos", "q", F.col("n").cast("long"), "height", F.lit(0).alias("divisions"), F.lit(0.0).alias("twist"), (F.col("high") / F.col("radius")).alias("scale_top"), *at))
+    return solids.extrude_ring(ring, -(F.col("height") / 2) if center else None)
 
 
 def _extruded(contours, height: float, divisions: int, twist: float, scale: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:

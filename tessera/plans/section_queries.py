@@ -197,9 +197,8 @@ def cylinders(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part")
     r = F.col("p_size").cast("double") / 3
     df = part.select(_key().alias("mesh_id"), (1.0 + _key() % 4).alias("height"), r.alias("radius_low"), F.when(_key() % 3 == 0, -1.0).when(_key() % 3 == 1, 0.0).otherwise(r / 2).alias("radius_high"), F.when(_key() % 2 == 0, 5).otherwise(0).alias("segments"))
-    out = construct.cylinders(df, center=True)
-    low = out.groupBy("mesh_id").agg(F.round(F.min("az"), 4).alias("low"))
-    return _solid_facts(out).drop("area").hint("merge").join(low, "mesh_id")
+    facts = measure.measures(construct.cylinders(df, center=True))
+    return _rounded(facts.select("mesh_id", "n_tri", "n_vert", "genus", "volume", F.round("min_z", 4).alias("low")), "volume")
 
 
 CYLINDER_SQL = """WITH p AS (SELECT p_partkey AS mesh_id, p_partkey AS k, p_size / 3.0::DOUBLE AS r, 1 + p_partkey % 4 AS h FROM part), q AS (SELECT *, CAST(least(36, floor(2 * pi() * r)) AS INTEGER) + 3 AS m, CASE k % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0 ELSE 0.5 END AS t FROM p),
