@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import Vec
+from tessera.storage import shuffle_width
 
 CORNERS = [p + c for p in "abc" for c in "xyz"]
 TRIANGLES = "mesh_id long, tri long, v0 long, v1 long, v2 long, " + ", ".join(f"{c} double" for c in CORNERS)
@@ -139,7 +140,8 @@ def _faces(boxes: DataFrame, edge: float) -> DataFrame:
     """One row a face between two cells of each box's grid (also those at its border, next to a flat outer cell)."""
     df = boxes.select("mesh_id", *(F.col(f"{e}_{c}").cast("double") for e in ("lo", "hi") for c in "xyz"))
     df = df.withColumns({f"n{m}": F.greatest(F.lit(1), F.ceil((F.col(f"hi_{c}") - F.col(f"lo_{c}")) / edge)).cast("int") for m, c in zip("ijk", "xyz", strict=True)})
-    df = df.where(" and ".join(f"hi_{c} > lo_{c}" for c in "xyz"))
+    # a row becomes tens of faces or far more, so the few rows are dealt evenly before
+    df = df.where(" and ".join(f"hi_{c} > lo_{c}" for c in "xyz")).repartition(shuffle_width(boxes.sparkSession))
     df = df.withColumn("axis", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     for k, m in enumerate("ijk"):
         df = df.withColumn(m, F.explode(F.sequence(F.when(F.col("axis") == k, -1).otherwise(0), F.col(f"n{m}") - 1)))

@@ -26,3 +26,11 @@ def test_first_coordinate_takes_the_bits_left(spark):
     df = spark.createDataFrame(places, "x long, y long, z long")
     back = linalg.decode_place(linalg.encode_place(F.col("x"), F.col("y"), F.col("z")))
     assert sorted(tuple(r) for r in df.select(*back).collect()) == sorted(places)
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
+@pytest.mark.parametrize("name", ["level_sets", "cylinders"])
+def test_few_rows_are_dealt_before_they_become_many(spark, name):
+    """A small file is read by one task, which would make all triangles."""
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan
