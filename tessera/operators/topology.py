@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.storage import discard, materialize, spread_join
 
 #: Links that a worker contracts at a time, and about so many vertices of a solid go to one task for it.
 LINKS, VERTS = 1 << 18, 1 << 16
+#: Rows of one solid that a worker holds while it gives its vertices new numbers.
+HELD_ROWS = 1 << 17
 
 
 def halfedges(tris: DataFrame) -> DataFrame:
@@ -81,17 +86,106 @@ def edge_predicates(tris: DataFrame, epsilon: float) -> DataFrame:
     return flags.hint("merge").join(size, ["mesh_id", "he"]).select("mesh_id", "he", "is_forward", (F.col("d") < epsilon * epsilon).alias("is_short"), "is_paired")
 
 
+def dense(groups: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """The rank of each number (n, 3) among the different ones of its group; ``groups`` (n) ascend."""
+    flat, of = old.reshape(-1), np.repeat(groups, 3)
+    order = np.lexsort((flat, of))
+    flat, of = flat[order], of[order]
+    first = np.r_[True, of[1:] != of[:-1]]
+    rank = np.cumsum(np.r_[True, (flat[1:] != flat[:-1]) | first[1:]])
+    out = np.empty(len(rank), np.int64)
+    out[order] = rank - rank[first][np.cumsum(first) - 1]
+    return out.reshape(-1, 3)
+
+
+def _renumbered(names: list[str]):
+    """Batches sorted by mesh_id with dense numbers. Of a solid that goes on over more than HELD_ROWS rows, only the
+    different numbers are held; its rows wait in a file of the task."""
+    corners = ["v0", "v1", "v2"]
+
+    def numbers(rows: pa.Table) -> np.ndarray:
+        return np.column_stack([rows.column(c).cast(pa.int64()).to_numpy() for c in corners])
+
+    def keys(rows) -> np.ndarray:
+        at = rows.column(names.index("mesh_id"))
+        code = at.dictionary_encode(null_encoding="encode")
+        return code.indices.to_numpy()
+
+    def put(rows: pa.Table, new: np.ndarray) -> list[pa.RecordBatch]:
+        for k, c in enumerate(corners):
+            rows = rows.set_column(names.index(c), c, pa.array(np.ascontiguousarray(new[:, k])))
+        return rows.combine_chunks().to_batches()
+
+    def run(batches):
+        open_rows, spooled, writer, known = [], None, None, None
+
+        def spool(rows: pa.Table):
+            nonlocal spooled, writer, known
+            if spooled is None:
+                spooled, known = tempfile.TemporaryFile(), np.empty(0, np.int64)
+                writer = pa.ipc.new_stream(spooled, rows.schema)
+            known = np.union1d(known, numbers(rows))
+            writer.write_table(rows)
+
+        def done():
+            """The open solid, which has come to its end."""
+            nonlocal spooled, known
+            if spooled is not None:
+                if open_rows:
+                    spool(pa.Table.from_batches(open_rows))
+                writer.close()
+                spooled.seek(0)
+                for batch in pa.ipc.open_stream(spooled):
+                    rows = pa.Table.from_batches([batch])
+                    yield from put(rows, np.searchsorted(known, numbers(rows)))
+                spooled.close()
+                spooled = known = None
+            elif open_rows:
+                rows = pa.Table.from_batches(open_rows)
+                yield from put(rows, dense(np.zeros(rows.num_rows, np.int64), numbers(rows)))
+            open_rows.clear()
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = keys(batch)
+            starts = np.r_[0, np.flatnonzero(code[1:] != code[:-1]) + 1]
+            key = batch.column(names.index("mesh_id"))
+            goes_on = last is not None and key[0].as_py() == last[0]
+            if not goes_on:
+                yield from done()
+            if len(starts) > 1:
+                lo = 0
+                if open_rows or spooled is not None:
+                    lo = int(starts[1])
+                    open_rows.append(batch.slice(0, lo))
+                    yield from done()
+                hi = int(starts[-1])
+                if hi > lo:
+                    rows = pa.Table.from_batches([batch.slice(lo, hi - lo)])
+                    yield from put(rows, dense(np.cumsum(np.r_[0, code[lo + 1 : hi] != code[lo : hi - 1]]), numbers(rows)))
+                batch = batch.slice(hi)
+            open_rows.append(batch)
+            if sum(b.num_rows for b in open_rows) > HELD_ROWS:
+                spool(pa.Table.from_batches(open_rows))
+                open_rows.clear()
+            last = (key[len(key) - 1].as_py(),)
+        yield from done()
+
+    return run
+
+
 def renumber(tris: DataFrame) -> DataFrame:
     """``tris`` with vertices numbered from 0 in the order of their old numbers, those not used left out.
 
-    Numbers are ranks within a solid; they reach the triangles by joins on (mesh_id, old number).
+    Numbers are ranks within a solid, found where its triangles lie after one move: the numbers in use of one solid must
+    fit a worker, its triangles need not. Triangles with a null number are left out; null is a mesh_id too.
     """
-    used = tris.select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("old")).distinct()
-    ranks = used.withColumn("new", F.row_number().over(Window.partitionBy("mesh_id").orderBy("old")) - 1)
-    out = tris
-    for k in range(3):
-        out = out.hint("merge").join(ranks.select("mesh_id", F.col("old").alias(f"v{k}"), F.col("new").cast("long").alias(f"w{k}")), ["mesh_id", f"v{k}"])
-    return out.withColumns({f"v{k}": F.col(f"w{k}") for k in range(3)}).select(*tris.columns)
+    long = T.LongType()
+    schema = T.StructType([T.StructField(f.name, long if f.name in ("v0", "v1", "v2") else f.dataType) for f in tris.schema])
+    rows = tris.where("v0 is not null and v1 is not null and v2 is not null").repartition("mesh_id").sortWithinPartitions("mesh_id")
+    return rows.mapInArrow(_renumbered(tris.columns), schema)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
