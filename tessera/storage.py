@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 DEFAULT_SHARED = "file:///tmp/checkpoints"
 #: A key is hot from so many rows on, and from the share 1 / MOST_HOT of all rows: so at most MOST_HOT keys are.
 HOT_ROWS, MOST_HOT = 1 << 16, 1 << 16
+#: The driver's garbage is collected between two intermediates when its heap takes more than this share of its limit, and
+#: more than a tenth above what it took after the last collection.
+GROWN = 0.5
+_after = 0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,9 +33,26 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex[:12]}"
 
 
+def ease_driver(spark: SparkSession) -> bool:
+    """Have the driver's garbage collected if its heap has grown; whether it was.
+
+    Only a whole collection lets Spark drop what the plans that are gone leave behind (sizes of shuffled blocks, broadcast
+    tasks, shuffle files) and gives memory back: left alone, a heap grows to its limit however little of it is in use.
+    """
+    global _after
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() <= max(GROWN * heap.maxMemory(), 1.1 * _after):
+        return False
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+    _after = heap.totalMemory()
+    return True
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it again."""
     spark = df.sparkSession
+    ease_driver(spark)
     path = fresh_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
