@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tessera.functions import linalg, quality
 from tessera.kernels import plane, solid
 from tessera.operators import booleans, construct, csg, fields, measure, sections, shapes, solids, spatial, topology
@@ -99,6 +100,22 @@ def test_hulls():
     assert ((points @ n.T - (n * at[tris][:, 0]).sum(axis=1)) < 1e-9).all() and facts(at, tris)[4:] == (0, 0)
 
 
+def test_hulls_of_all_kinds(spark, tmp_path):
+    """The hull of a ball's vertices is the ball, which is convex; the query has it for every part, beside the others."""
+    duckdb = pytest.importorskip("duckdb")
+    sizes = {1: 1, 2: 7, 40000: 50, 5: 7}
+    spark.createDataFrame([*sizes.items()], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = entry.queries()["hull_solids"](spark, str(tmp_path))
+    rows = [tuple(r) for r in found.select("mesh_id", "kind", "n_tri", "n_vert", "genus", "volume", "area").collect()]
+    assert sorted(r[:2] for r in rows) == sorted((k, kind) for k in sizes for kind in ("points", "two", "ball"))
+    for key, _, n_tri, n_vert, genus, volume, area in (r for r in rows if r[1] == "ball"):
+        whole = size_of(ball(spark, 3, float(sizes[key])))
+        assert (n_vert, n_tri, genus) == whole[2:5] == (38, 72, 0) and np.allclose((volume, area), whole[:2], atol=1e-4)
+    told = duckdb.connect()
+    told.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    assert sorted(told.execute(entry.oracle_sql()["hull_solids"]).fetchall()) == sorted(rows)
+
+
 def test_triangle_gaps_against_sampling():
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=(60, 3, 3)), rng.normal(size=(60, 3, 3)) + [1.5, 0, 0]
